@@ -36,10 +36,11 @@ def page_cols(fn):
     return wrapper
 
 
-def parsed(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """Add ``toks``, ``ntok`` and ``text`` to a page table."""
+def parsed(pages: DataFrame, html_col: str = "html", with_text: bool = True) -> DataFrame:
+    """Add ``toks``, ``ntok`` and (unless ``with_text`` is False) ``text`` to a page table."""
     with_tok = H.with_entities(pages).withColumn("toks", H.classify(H.tokenize(F.col(html_col))))
-    return with_tok.withColumn("ntok", F.size("toks")).withColumn("text", H.visible_text(F.col(html_col)))
+    out = with_tok.withColumn("ntok", F.size("toks"))
+    return out.withColumn("text", H.visible_text(F.col(html_col))) if with_text else out
 
 
 def let(value: Column, body) -> Column:
