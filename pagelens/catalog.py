@@ -452,12 +452,12 @@ def q_cert_expiry(spark, sf_dir):
 @query("extract_errors")
 def q_extract_errors(spark, sf_dir):
     """Pages whose body is missing get default sections and an error note; others none."""
-    g = with_envelope(FX.graph_pages(spark, sf_dir))
+    g = H.with_entities(with_envelope(FX.graph_pages(spark, sf_dir)))
     missing = F.col("html").isNull()
     zero = F.struct(F.lit(0).cast("bigint").alias("word_count"), F.lit(0).cast("bigint").alias("character_count"))
-    ws = text.word_count(F.col("html"))
+    page_text = H.visible_text(F.col("html"))
     out = audit.with_errors(g, {
-        "text_stats": (F.struct(ws.alias("word_count"), F.char_length("html").cast("bigint").alias("character_count")), missing, zero),
+        "text_stats": (F.struct(text.word_count(page_text).alias("word_count"), F.char_length(page_text).cast("bigint").alias("character_count")), missing, zero),
         "technologies": (audit.technologies(F.col("html"), F.col("headers")), missing, F.array().cast("array<string>")),
     })
     return out.select("page_id", F.col("text_stats.word_count").alias("word_count"), F.array_join("_errors", "; ").alias("errors"))
