@@ -95,17 +95,29 @@ def _decode_ref(ref: Column, emap: Column) -> Column:
               | ((num >= 0x7F) & (num <= 0x9F)), F.lit(""))
         .otherwise(_codepoint_char(num.cast("bigint")))
     )
-    named = F.coalesce(F.element_at(emap, body), ref)
+    # the references that make up nearly all real text are tried in a five-entry map first; the
+    # full table (a linear lookup over 2,231 keys) only sees the rest
+    common = F.create_map(*[F.lit(x) for kv in [("amp;", "&"), ("lt;", "<"), ("gt;", ">"), ("quot;", '"'), ("nbsp;", "\u00a0")] for x in kv])
+    named = F.coalesce(F.element_at(common, body), F.element_at(emap, body), ref)
     return F.when(body.startswith("#"), numeric).otherwise(named)
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` (``transform`` over a one-element array)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def unescape(c: Column) -> Column:
     """Decode named, decimal and hex character references; unknown ones stay as written."""
     emap = entity_map()
-    parts = F.split(c, ENTITY_RX, -1)
-    refs = F.transform(F.regexp_extract_all(c, F.lit(ENTITY_RX), 0), lambda r: _decode_ref(r, emap))
-    joined = F.array_join(F.zip_with(parts, refs, lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
-    return F.when(c.contains("&"), joined).otherwise(c)
+
+    def dec(s):
+        parts = F.split(s, ENTITY_RX, -1)
+        refs = F.transform(F.regexp_extract_all(s, F.lit(ENTITY_RX), 0), lambda r: _decode_ref(r, emap))
+        joined = F.array_join(F.zip_with(parts, refs, lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
+        return F.when(s.contains("&"), joined).otherwise(s)
+
+    return bind(c, dec)
 
 
 # --------------------------------------------------------------------------- tokens
@@ -116,25 +128,34 @@ def tokenize(html: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(TOKEN_RX), 0)
 
 
+def _is_letter(c: Column) -> Column:
+    return ((c >= "a") & (c <= "z")) | ((c >= "A") & (c <= "Z"))
+
+
 def token_kind(t: Column) -> Column:
+    """Kind from the first characters only (a failed anchored pattern would rescan long text)."""
+    c1, c2, c3 = F.substring(t, 1, 1), F.substring(t, 2, 1), F.substring(t, 3, 1)
     return (
-        F.when(t.startswith("<!--") & t.endswith("-->") & (F.length(t) >= 7), "comment")
-        .when(t.rlike(r"^</[a-zA-Z]"), "end")
-        .when(t.rlike(r"^<[a-zA-Z]"), "start")
-        .when(t.rlike(r"^<[!?/]") & t.endswith(">"), "decl")
+        F.when(c1 != "<", "text")
+        .when(t.startswith("<!--") & t.endswith("-->") & (F.length(t) >= 7), "comment")
+        .when((c2 == "/") & _is_letter(c3), "end")
+        .when(_is_letter(c2), "start")
+        .when(c2.isin("!", "?", "/") & t.endswith(">"), "decl")
         .otherwise("text")
     )
 
 
 def tag_name(t: Column) -> Column:
-    return F.lower(F.regexp_extract(t, TAG_NAME_RX, 1))
+    """Lower-cased tag name of a start/end tag token; '' for every other token."""
+    c1, c2, c3 = F.substring(t, 1, 1), F.substring(t, 2, 1), F.substring(t, 3, 1)
+    is_tag = (c1 == "<") & (_is_letter(c2) | ((c2 == "/") & _is_letter(c3)))
+    return F.when(is_tag, F.lower(F.regexp_extract(t, TAG_NAME_RX, 1))).otherwise(F.lit(""))
 
 
 def classify(tok: Column) -> Column:
     """array<struct<i INT, t STRING, kind STRING, name STRING>> with 0-based positions."""
 
     def one(t, i):
-        # the name pattern only matches start/end tags, so it is '' for every other kind
         return F.struct(i.alias("i"), t.alias("t"), token_kind(t).alias("kind"), tag_name(t).alias("name"))
 
     return F.transform(tok, one)

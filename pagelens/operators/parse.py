@@ -37,10 +37,22 @@ def page_cols(fn):
 
 
 def parsed(pages: DataFrame, html_col: str = "html", with_text: bool = True) -> DataFrame:
-    """Add ``toks``, ``ntok`` and (unless ``with_text`` is False) ``text`` to a page table."""
-    with_tok = H.with_entities(pages).withColumn("toks", H.classify(H.tokenize(F.col(html_col))))
-    out = with_tok.withColumn("ntok", F.size("toks"))
-    return out.withColumn("text", H.visible_text(F.col(html_col))) if with_text else out
+    """Add ``toks``, ``ntok`` and (unless ``with_text`` is False) ``text`` to a page table.
+
+    Both are computed inside one bound value (``let``), and the columns are field reads of it: the
+    optimizer may copy a cheap field read into every consumer, but never the tokenizer or the
+    visible-text scan, so each page's HTML is scanned once per pass.
+    """
+    html = F.col(html_col)
+    base = H.with_entities(pages)
+    if with_text:
+        bundle = let(H.visible_text(html), lambda t: F.struct(H.classify(H.tokenize(html)).alias("toks"), t.alias("text")))
+    else:
+        bundle = let(H.classify(H.tokenize(html)), lambda tk: F.struct(tk.alias("toks")))
+    out = base.withColumn("_parse", bundle).withColumn("toks", F.col("_parse.toks"))
+    if with_text:
+        out = out.withColumn("text", F.col("_parse.text"))
+    return out.withColumn("ntok", F.size("toks"))
 
 
 def let(value: Column, body) -> Column:
