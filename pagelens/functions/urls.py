@@ -58,11 +58,12 @@ def _let(value: Column, body) -> Column:
 
 
 def _split(c: Column) -> Column:
-    """struct<s (lower-cased), raw_s, n, p, q, f> of a URL; each part '' when absent."""
-    return F.struct(
-        F.lower(_part(c, 1)).alias("s"), _part(c, 1).alias("raw_s"), _part(c, 2).alias("n"),
-        _part(c, 3).alias("p"), _part(c, 4).alias("q"), _part(c, 5).alias("f"),
-    )
+    """struct<s (lower-cased), raw_s, n, p, q, f> of a URL; each part '' when absent. The input is
+    evaluated once however complex it is."""
+    return _let(c, lambda x: F.struct(
+        F.lower(_part(x, 1)).alias("s"), _part(x, 1).alias("raw_s"), _part(x, 2).alias("n"),
+        _part(x, 3).alias("p"), _part(x, 4).alias("q"), _part(x, 5).alias("f"),
+    ))
 
 
 def _unsplit(sch: Column, net: Column, path: Column, query: Column, frag: Column) -> Column:

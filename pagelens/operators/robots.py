@@ -39,14 +39,19 @@ def robots_summary(robots: DataFrame) -> DataFrame:
 
 
 def pct_quote(c: Column) -> Column:
-    """Python ``urllib.parse.quote`` with the default safe set ("/")."""
-    chars = F.split(c, "(?!^)", -1)
-    enc = F.transform(
-        chars,
-        lambda ch: F.when(ch.rlike(r"^[A-Za-z0-9_.~/\-]$") | (ch == ""), ch).otherwise(
-            F.regexp_replace(F.hex(F.encode(ch, "UTF-8")), "(..)", "%$1")),
-    )
-    return F.array_join(enc, "")
+    """Python ``urllib.parse.quote`` with the default safe set ("/"). Strings made only of safe
+    characters (nearly all paths) skip the per-character pass."""
+    from pagelens.operators.parse import let
+
+    def quote(x):
+        enc = F.transform(
+            F.split(x, "(?!^)", -1),
+            lambda ch: F.when(ch.rlike(r"^[A-Za-z0-9_.~/\-]$") | (ch == ""), ch).otherwise(
+                F.regexp_replace(F.hex(F.encode(ch, "UTF-8")), "(..)", "%$1")),
+        )
+        return F.when(x.rlike(r"^[A-Za-z0-9_.~/\-]*$"), x).otherwise(F.array_join(enc, ""))
+
+    return let(c, quote)
 
 
 def pct_unquote(c: Column) -> Column:
@@ -124,36 +129,44 @@ def url_key(url: Column) -> Column:
         F.when(s["q"] != "", F.concat(F.lit("?"), s["q"])).otherwise(F.lit("")),
         F.when(s["f"] != "", F.concat(F.lit("#"), s["f"])).otherwise(F.lit("")),
     )
-    q = pct_quote(rest)
-    return F.when(q == "", F.lit("/")).otherwise(q)
+    from pagelens.operators.parse import let
 
+    return let(pct_quote(rest), lambda q: F.when(q == "", F.lit("/")).otherwise(q))
 
-def can_fetch(urls: DataFrame, rules: DataFrame, user_agent: str = dims.DEFAULT_USER_AGENT, url_col: str = "url") -> DataFrame:
-    """D3: adds ``allowed`` to every URL row.
 
-    The group that applies to the agent is chosen per host first (tiny: one row per host), then
-    URL rows join their host's rules on host (an equi-join; a host holding a third of all URLs is
-    split by AQE's skew handling) and take the first matching rule by rule number.
-    """
+def host_rules(rules: DataFrame, user_agent: str = dims.DEFAULT_USER_AGENT) -> DataFrame:
+    """The rule group that applies to ``user_agent`` on each host, as one row per host:
+    (host, rules ARRAY<STRUCT<rule_no, path, allow>>) in file order. The first non-default group
+    whose agent is a substring of the crawler's token wins, else the default group. A row holds
+    one robots file's group, so its size is bounded by the file."""
     token = agent_token(user_agent)
     ent = rules.select("host", "entry", "agents", "is_default").distinct()
     matches = ent.filter(~F.col("is_default") & F.exists("agents", lambda a: F.instr(F.lit(token), F.lower(a)) > 0))
     chosen = matches.groupBy("host").agg(F.min("entry").alias("entry"))
     default = ent.filter("is_default").select("host", F.col("entry").alias("dentry"))
     pick = chosen.join(default, "host", "full").select("host", F.coalesce("entry", "dentry").alias("entry"))
-    active = rules.join(pick, ["host", "entry"]).select("host", "rule_no", "allow", "path")
+    active = rules.join(pick, ["host", "entry"])
+    return active.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("rule_no", "path", "allow"))).alias("rules"))
 
-    from pagelens.functions.urls import hostname, netloc
 
-    u = urls.withColumn("_host", F.lower(netloc(F.col(url_col)))).withColumn("_key", url_key(F.col(url_col)))
-    u = u.withColumn("_rid", F.monotonically_increasing_id())
-    hit = u.select("_rid", "_host", "_key").join(active, u["_host"] == active["host"]).filter(
-        (F.col("path") == "*") | F.col("_key").startswith(F.col("path"))
-    )
-    first = hit.groupBy("_rid").agg(F.min_by("allow", "rule_no").alias("_allow"))
-    return u.join(first, "_rid", "left").select(
-        *[c for c in urls.columns], F.coalesce("_allow", F.lit(True)).alias("allowed")
-    )
+def can_fetch(urls: DataFrame, rules: DataFrame, user_agent: str = dims.DEFAULT_USER_AGENT, url_col: str = "url") -> DataFrame:
+    """D3: adds ``allowed`` to every URL row.
+
+    URL rows meet their host's applicable rule group in one equi-join on host (AQE broadcasts the
+    per-host table when it is small and splits a host that holds a large share of the URLs), and
+    the first rule in file order whose path is a prefix of the URL key decides; no rule or no
+    robots row allows. The URL side is read once and never regrouped.
+    """
+    from pagelens.functions.urls import netloc
+    from pagelens.operators.parse import let
+
+    hr = host_rules(rules, user_agent).withColumnRenamed("host", "_rhost")
+    u = urls.withColumn("_host", F.lower(netloc(F.col(url_col))))
+    j = u.join(hr, u["_host"] == hr["_rhost"], "left")
+    first = let(url_key(F.col(url_col)), lambda k: F.get(
+        F.filter(F.coalesce(F.col("rules"), F.array().cast("array<struct<rule_no:int,path:string,allow:boolean>>")),
+                 lambda r: (r["path"] == "*") | F.startswith(k, r["path"])), 0))
+    return j.select(*[F.col(c) for c in urls.columns], F.coalesce(first["allow"], F.lit(True)).alias("allowed"))
 
 
 def sitemaps(summary: DataFrame, status: DataFrame) -> DataFrame:
