@@ -85,11 +85,9 @@ TEXT_SAMPLE_CHARS = 300
 LINK_TEXT_CHARS = 80
 TOP_KEYWORDS = 15
 
-# default user agent of the crawler; robots matching uses the text before the first "/"
-DEFAULT_USER_AGENT = (
-    "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 "
-    "(KHTML, like Gecko) Chrome/124.0.0.0 Safari/537.36 WebO/0.0.1"
-)
+# default user agent of the crawler; robots matching uses only the lower-cased text before the
+# first "/", i.e. "mozilla"
+DEFAULT_USER_AGENT = "Mozilla/5.0 (X11; Linux x86_64) pagelens/0.1"
 
 # URL schemes that resolve relative references / carry a network location (Python's urllib lists)
 USES_RELATIVE = ["", "ftp", "http", "gopher", "nntp", "imap", "wais", "file", "https", "shttp", "mms",
