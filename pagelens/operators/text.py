@@ -97,10 +97,9 @@ def keyword_density(text: Column | None = None, top_n: int = dims.TOP_KEYWORDS)
     """
     stop = F.array(*[F.lit(w) for w in dims.stopword_list()])
     low = F.transform(words(text), lambda w: F.lower(w))
-    kept = F.filter(
-        F.transform(low, lambda w, i: F.struct(w.alias("word"), i.alias("pos"))),
-        lambda x: (F.length(x["word"]) > 2) & ~F.array_contains(stop, F.replace(x["word"], F.lit("'"), F.lit(""))),
-    )
+    # the length test is per occurrence (cheap); the stop-word test runs once per distinct word
+    cand = F.filter(F.transform(low, lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), lambda x: F.length(x["word"]) > 2)
+
     def count_runs(srt):
         n = F.size(srt)
         idx = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -118,16 +117,22 @@ def keyword_density(text: Column | None = None, top_n: int = dims.TOP_KEYWORDS)
                     F.get(srt, F.get(rs, j))["word"].alias("word"),
                 ),
             )
-            top = F.slice(F.array_sort(runs), 1, top_n)
-            return F.transform(
-                top,
-                lambda r: F.struct(
-                    r["word"].alias("word"),
-                    (-r["neg_count"]).cast("bigint").alias("count"),
-                    F.round(-r["neg_count"] / n * 100, 2).alias("density_pct"),
-                ),
-            )
+            kept = F.filter(runs, lambda r: ~F.array_contains(stop, F.replace(r["word"], F.lit("'"), F.lit(""))))
+
+            def top_of(kr):
+                total = F.aggregate(kr, F.lit(0).cast("bigint"), lambda acc, r: acc - r["neg_count"])
+                top = F.slice(F.array_sort(kr), 1, top_n)
+                return let(total, lambda tot: F.transform(
+                    top,
+                    lambda r: F.struct(
+                        r["word"].alias("word"),
+                        (-r["neg_count"]).cast("bigint").alias("count"),
+                        F.round(-r["neg_count"] / tot * 100, 2).alias("density_pct"),
+                    ),
+                ))
+
+            return let(kept, top_of)
 
         return let(run_starts, runs_of)
 
-    return let(F.array_sort(kept), count_runs)
+    return let(F.array_sort(cand), count_runs)
