@@ -522,10 +522,8 @@ def _crawl(spark, sf_dir):
     from pagelens.session import checkpoint_dir
 
     checkpoint_dir(spark)
-    f = _graph_fetches(spark, sf_dir).checkpoint()
-    outcomes = f.select("url", "outcome", "reason")
-    edges = crawl.edges_from_fetches(f)
-    return crawl.crawl(spark, outcomes, edges, GRAPH_SEED, GRAPH_DEPTH, GRAPH_MAX_PAGES)
+    corpus = with_envelope(FX.graph_pages(spark, sf_dir))
+    return crawl.crawl(spark, None, None, GRAPH_SEED, GRAPH_DEPTH, GRAPH_MAX_PAGES, pages=corpus)
 
 
 @query("crawl_bfs")

@@ -18,13 +18,21 @@ from pagelens.session import checkpoint_dir
 
 RECORD_COLS = ["seq", "url", "depth", "outcome", "reason"]
 
+# a level takes at most the remaining page budget, so its URL list has a known bound; up to this
+# many rows it is broadcast against the corpus scan, beyond it the join shuffles
+BROADCAST_TAKEN_MAX = 100_000
 
-def crawl(spark: SparkSession, outcomes: DataFrame, edges: DataFrame, seed: str, depth: int, max_pages: int,
-          rules: DataFrame | None = None, user_agent: str = dims.DEFAULT_USER_AGENT) -> tuple[DataFrame, DataFrame]:
+
+def crawl(spark: SparkSession, outcomes: DataFrame | None, edges: DataFrame | None, seed: str, depth: int, max_pages: int,
+          rules: DataFrame | None = None, user_agent: str = dims.DEFAULT_USER_AGENT,
+          pages: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """FIFO breadth-first crawl from ``seed``.
 
     ``outcomes``: (url, outcome, reason) per stored fetch, keyed by the requested URL;
     ``edges``: (src, rank, dst) internal links of ok pages in document order, fragments cut.
+    Alternatively pass ``pages`` (the stored corpus with its envelope): then each level fetches
+    only the pages it takes — the corpus scan is joined with the level's URL list and only those
+    pages are parsed — so the parsing work follows the crawl budget, not the corpus size.
     Returns (records, blocked): records (seq, url, depth, outcome, reason) in crawl order, at
     most ``max_pages``; blocked (url, depth) robots-blocked URLs that were dequeued.
 
@@ -62,7 +70,15 @@ def crawl(spark: SparkSession, outcomes: DataFrame, edges: DataFrame, seed: str,
         if n_taken == budget:
             blocked = blocked.crossJoin(F.broadcast(last_ord)).filter(F.col("ord") < F.col("m"))
         blocked = blocked.select("url", F.lit(d).alias("depth")).checkpoint()
-        recs = ranked.join(outcomes, "url", "left").select(
+        if pages is not None:
+            want = ranked.select("url")
+            want = F.broadcast(want) if budget <= BROADCAST_TAKEN_MAX else want
+            fetched = fetch_table(pages.join(want, "url")).checkpoint()
+            lvl_outcomes = fetched.select("url", "outcome", "reason")
+            lvl_edges = edges_from_fetches(fetched)
+        else:
+            lvl_outcomes, lvl_edges = outcomes, edges
+        recs = ranked.join(lvl_outcomes, "url", "left").select(
             (F.col("r") + F.lit(taken_so_far)).cast("long").alias("seq"), "url", F.lit(d).alias("depth"),
             F.coalesce("outcome", F.lit("error")).alias("outcome"),
             F.when(F.col("outcome").isNull(), F.lit("not in the stored corpus")).otherwise(F.col("reason")).alias("reason"),
@@ -74,7 +90,7 @@ def crawl(spark: SparkSession, outcomes: DataFrame, edges: DataFrame, seed: str,
         if taken_so_far >= max_pages or d == depth:
             break
         nxt = recs.filter(F.col("outcome") == "ok").select(F.col("url").alias("src"), F.col("seq").alias("parent_seq"))
-        frontier = nxt.join(edges, "src").select(
+        frontier = nxt.join(lvl_edges, "src").select(
             F.col("dst").alias("url"), "parent_seq", F.col("rank").cast("int").alias("link_rank")
         ).filter(netloc(F.col("url")) == seed_net).checkpoint()
     return records.select(*RECORD_COLS), blocked_all
