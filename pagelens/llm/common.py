@@ -35,3 +35,50 @@ def lower_ascii(text: Column) -> Column:
 
 def text_of(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
+
+
+#: Bits of the map in ``maybe_among``: 512 rows of 4 KB, 2 MB whatever the number of ids.
+MAP_BITS, MAP_ROW = 1 << 24, 1 << 15
+
+
+def maybe_among(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """Adds ``__maybe``: false only if the row's id is surely not among ``ids`` (one column).
+
+    The ids are hashed into a bitmap of fixed size, which alone is broadcast; where they fill it, more
+    rows are true and the exact join that follows moves more, with the same result.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS)).cast("bigint")
+    key = ids.select(place(F.col(ids.columns[0]).cast("bigint")).alias("p"))
+    bits = key.groupBy(F.floor(F.col("p") / MAP_ROW).cast("bigint").alias("__row")).agg(F.bitmap_construct_agg(F.col("p") % MAP_ROW).alias("__bits"))
+    bits = F.broadcast(written(bits, "id-bitmap"))
+    p = place(F.col(id_col).cast("bigint"))
+    out = df.withColumn("__p", p).join(bits, F.floor(F.col("__p") / MAP_ROW).cast("bigint") == F.col("__row"), "left")
+    at = F.col("__p") % MAP_ROW
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.getbit(byte, (at % 8).cast("int")) == 1
+    return out.withColumn("__maybe", F.coalesce(bit, F.lit(False))).drop("__p", "__row", "__bits")
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """Connected components of edges (a, b): node, root (the smallest node reachable), for every node that has an edge.
+
+    Each round every node points to its smallest neighbour, pointers are shortened, and the edges are
+    contracted to what their ends point to, until none is left. Nodes are never gathered: a hub's edges
+    are summed to a minimum before they are moved.
+    """
+    both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = written(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
+    roots = None
+    while not edges.isEmpty():
+        to = both(edges).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
+        for _ in range(2):
+            up = to.select(F.col("node").alias("up"), F.col("root").alias("up_root"))
+            to = written(to.join(up, F.col("root") == F.col("up"), "left").select("node", F.coalesce("up_root", "root").alias("root")), f"{name}-to")
+        if roots is None:
+            roots = to
+        else:
+            up = to.select(F.col("node").alias("up"), F.col("root").alias("up_root"))
+            roots = written(roots.join(up, F.col("root") == F.col("up"), "left").select("node", F.coalesce("up_root", "root").alias("root")), f"{name}-roots")
+        a, b = to.select(F.col("node").alias("a"), F.col("root").alias("ra")), to.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        edges = written(edges.join(a, "a").join(b, "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), f"{name}-edges")
+    return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
