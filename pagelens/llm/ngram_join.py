@@ -18,8 +18,10 @@ verified on the whole sets. Hashes have 64 bits.
 
 Hot tokens: a token among the first of more than ``COLD`` classes does not bring all pairs. The class with
 the smallest share of tokens of its own, most likely what the others were copied from, is compared with
-each. Then only pairs of classes that are not yet connected are compared, so nothing is lost. Tokens
-are counted before they are moved, and joins on tokens and classes are split by adaptive execution.
+each. Groups that this does not connect are filtered again, by the tokens in which members differ from
+that leader: what all have in common no longer counts, so few are left to compare, and nothing is lost.
+Tokens are counted before they are moved, and joins on tokens and classes are split by adaptive
+execution.
 
 Defined cases: texts without words or null texts have an empty set, link with nothing and are their own
 component; a document with a null id links with nothing and has a null component; repeated rows are
@@ -117,38 +119,67 @@ def near_duplicates(docs: DataFrame, width: int = 3, threshold: tuple[int, int]
         return F.transform(F.slice(order, F.lit(1), F.col("keep")), lambda x: x["t"])
 
     filters = written(hits.select("c", "n", ((F.col("n") - F.size("hits")) / F.col("n")).alias("own"), first(2).alias("second"), first(3).alias("third")), "ngram-filters")
-    near_size = lambda a, b: F.least(a, b) >= least_common(F.greatest(a, b), threshold)
-
-    listed = filters.select("c", "n", "own", F.explode("second").alias("t"))
-    lead = listed.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("own", "c", "n")).alias("lead")).filter("m > 1")
-    lead = written(lead, "ngram-tokens")
-    group = listed.join(lead.filter(F.col("m") <= cold).select("t"), "t").groupBy("t").agg(F.sort_array(F.collect_list(F.struct("c", "n"))).alias("g"))
-    each = F.flatten(F.transform("g", lambda x: F.transform(
-        F.filter("g", lambda y: (y["c"] > x["c"]) & near_size(x["n"], y["n"])), lambda y: F.struct(x["c"].alias("a"), y["c"].alias("b")))))
-    pairs = group.select(F.explode(each).alias("p")).select("p.a", "p.b")
-    hot = lead.filter(F.col("m") > cold)
-    star = listed.join(hot.select("t", "lead"), "t").filter((F.col("c") != F.col("lead.c")) & near_size(F.col("n"), F.col("lead.n"))).select(
-        F.least("c", "lead.c").alias("a"), F.greatest("c", "lead.c").alias("b"))
-    links = _verified(pairs.union(star).distinct(), filters, sets, threshold)
-    links = written(links, "ngram-links")
-    roots = components(links, "ngram-components")
-
-    # hot tokens whose classes are not all connected: the pairs of classes in different components
-    if not hot.isEmpty():
-        member = listed.select("t", "c", "n").join(hot.select("t"), "t").join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-        split = member.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("t")
-        member = written(member.join(split, "t"), "ngram-open")
-        x, y = member.alias("x"), member.alias("y")
-        rest = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.c") < F.col("y.c")) & near_size(F.col("x.n"), F.col("y.n")))
-        rest = rest.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct().join(links.select("a", "b"), ["a", "b"], "left_anti")
-        more = written(_verified(rest, filters, sets, threshold), "ngram-more-links")
-        if not more.isEmpty():
-            roots = components(links.union(more), "ngram-components2")
+    roots = _linked(filters, sets, threshold, cold)
     class_root = classes.select(F.col("digest").alias("d"), "c").join(roots, F.col("c") == F.col("node"), "left").select("d", F.coalesce("root", "c").alias("root"))
     out = signed.select("id", "n", "digest").join(class_root, (F.col("digest") == F.col("d")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
 
 
+def _linked(filters: DataFrame, sets: DataFrame, threshold: tuple[int, int], cold: int) -> DataFrame:
+    """node, root of the classes that have links."""
+    near_size = lambda a, b: F.least(a, b) >= least_common(F.greatest(a, b), threshold)
+    # groups of classes that may link: first by the first tokens of order 2
+    groups = filters.select(F.explode("second").alias("g"), "c", "n", "own").withColumn("root", F.col("c"))
+    links, roots, level = None, None, 0
+    while True:
+        lead = groups.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("own", "c", "n")).alias("lead"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        lead = written(lead.filter("lo <> hi").select("g", "m", "lead"), f"ngram-groups{level}")
+        few = groups.join(lead.filter(F.col("m") <= cold).select("g"), "g").groupBy("g").agg(F.sort_array(F.collect_list(F.struct("c", "n", "root"))).alias("l"))
+        each = F.flatten(F.transform("l", lambda x: F.transform(
+            F.filter("l", lambda y: (y["c"] > x["c"]) & (y["root"] != x["root"]) & near_size(x["n"], y["n"])), lambda y: F.struct(x["c"].alias("a"), y["c"].alias("b")))))
+        pairs = few.select(F.explode(each).alias("p")).select("p.a", "p.b")
+        hot = lead.filter(F.col("m") > cold).select("g", F.col("lead.c").alias("lead"), F.col("lead.n").alias("lead_n"))
+        member = written(groups.select("g", "c", "n").join(hot, "g").filter("c <> lead"), f"ngram-hot{level}")
+        star = member.filter(near_size(F.col("n"), F.col("lead_n"))).select(F.least("c", "lead").alias("a"), F.greatest("c", "lead").alias("b"))
+        found = written(_verified(pairs.union(star).distinct(), filters, sets, threshold), f"ngram-links{level}")
+        links = found if links is None else links.union(found)
+        roots = components(links, f"ngram-components{level}")
+        # hot groups that are not connected yet: their members against each other, told apart by what
+        # each has other than its leader
+        to = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root"))
+        member = member.join(to("c"), "c", "left").join(to("lead"), "lead", "left")
+        root, lead_root = F.coalesce("c_root", "c"), F.coalesce("lead_root", "lead")
+        is_open = member.groupBy("g").agg(F.min(root).alias("lo"), F.max(root).alias("hi"), F.min(lead_root).alias("of_lead")).filter("lo <> hi OR lo <> of_lead").select("g")
+        pending = member.join(is_open, "g").select("lead", "c", "n", root.alias("root")).distinct()
+        pending = written(pending, f"ngram-open{level}")
+        if pending.isEmpty():
+            return roots
+        groups = _rebased(pending, sets, threshold, level)
+        level += 1
+
+
+def _rebased(members: DataFrame, sets: DataFrame, threshold: tuple[int, int], level: int) -> DataFrame:
+    """Groups (g, c, n, own, root) such that members (lead, c, n, root) of one lead that may link and are not connected share one.
+
+    With D the tokens found in just one of a set and its leader's, two linked sets differ in
+    |Dx| + |Dy| - 2 |Dx and Dy| tokens, at most n (1 - t) / t for the smaller n. So Dx and Dy share at
+    least |Dx| - n (1 - t) / t tokens; and at least one, as a pair without any would both link with the
+    leader. That is the same prefix filter again, on far smaller sets: rare tokens first, those of one
+    member only leading. A leader is in none of its groups, so groups shrink from level to level.
+    """
+    num, den = threshold
+    whole = lambda k: sets.select(F.col("c").alias(k), F.col("tokens").alias(f"set_{k}"))
+    d = members.join(whole("c"), "c").join(whole("lead"), "lead")
+    d = d.withColumn("d", F.concat(F.array_except("set_c", "set_lead"), F.array_except("set_lead", "set_c")))
+    d = written(d.select(F.struct("lead", "c").alias("c"), "n", "root", "d", F.size("d").cast("bigint").alias("own")), f"ngram-differ{level}")
+    token = d.select("c", F.explode("d").alias("e")).select("c", F.xxhash64("c.lead", "e").alias("t"))
+    hits = shared_tokens(token).join(d.select("c", "n", "root", "own"), "c")
+    asked = F.greatest(F.lit(1), F.col("own") - F.floor(F.col("n") * (den - num) / num))
+    hits = hits.withColumn("keep", (F.size("hits") - asked + 1).cast("int")).filter("keep > 0")
+    first = F.transform(F.slice(F.sort_array("hits"), F.lit(1), F.col("keep")), lambda x: x["t"])
+    return written(hits.select(F.explode(first).alias("g"), F.col("c.c").alias("c"), "n", "own", "root"), f"ngram-rebased{level}")
+
+
 def _verified(pairs: DataFrame, filters: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Of pairs (a, b) from order 2, those that also share a first token under order 3 and whose sets reach the threshold."""
     num, den = threshold
