@@ -20,6 +20,7 @@ Hot tokens: a token among the first of more than ``COLD`` classes does not bring
 the smallest share of tokens of its own, most likely what the others were copied from, is compared with
 each. Groups that this does not connect are filtered again, by the tokens in which members differ from
 that leader: what all have in common no longer counts, so few are left to compare, and nothing is lost.
+``COLD`` grows eightfold with each such level, so their number stays small.
 Tokens are counted before they are moved, and joins on tokens and classes are split by adaptive
 execution.
 
@@ -130,7 +131,7 @@ def _linked(filters: DataFrame, sets: DataFrame, threshold: tuple[int, int], col
     near_size = lambda a, b: F.least(a, b) >= least_common(F.greatest(a, b), threshold)
     # groups of classes that may link: first by the first tokens of order 2
     groups = filters.select(F.explode("second").alias("g"), "c", "n", "own").withColumn("root", F.col("c"))
-    links, roots, level = None, None, 0
+    roots, level = None, 0
     while True:
         lead = groups.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("own", "c", "n")).alias("lead"), F.min("root").alias("lo"), F.max("root").alias("hi"))
         lead = written(lead.filter("lo <> hi").select("g", "m", "lead"), f"ngram-groups{level}")
@@ -142,8 +143,7 @@ def _linked(filters: DataFrame, sets: DataFrame, threshold: tuple[int, int], col
         member = written(groups.select("g", "c", "n").join(hot, "g").filter("c <> lead"), f"ngram-hot{level}")
         star = member.filter(near_size(F.col("n"), F.col("lead_n"))).select(F.least("c", "lead").alias("a"), F.greatest("c", "lead").alias("b"))
         found = written(_verified(pairs.union(star).distinct(), filters, sets, threshold), f"ngram-links{level}")
-        links = found if links is None else links.union(found)
-        roots = components(links, f"ngram-components{level}")
+        roots = components(found, f"ngram-components{level}") if roots is None else _joined(roots, found, level)
         # hot groups that are not connected yet: their members against each other, told apart by what
         # each has other than its leader
         to = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root"))
@@ -155,7 +155,20 @@ def _linked(filters: DataFrame, sets: DataFrame, threshold: tuple[int, int], col
         if pending.isEmpty():
             return roots
         groups = _rebased(pending, sets, threshold, level)
-        level += 1
+        level, cold = level + 1, cold * 8
+
+
+def _joined(roots: DataFrame, links: DataFrame, level: int) -> DataFrame:
+    """``roots`` (node, root) after more links."""
+    to = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root"))
+    edges = links.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).filter("a <> b")
+    edges = written(edges.distinct(), f"ngram-joins{level}")
+    if edges.isEmpty():
+        return roots
+    more = components(edges, f"ngram-components{level}")
+    up = more.select(F.col("node").alias("up"), F.col("root").alias("up_root"))
+    moved = roots.join(up, F.col("root") == F.col("up"), "left").select("node", F.coalesce("up_root", "root").alias("root"))
+    return written(moved.union(more.join(roots.select("node"), "node", "left_anti")), f"ngram-roots{level}")
 
 
 def _rebased(members: DataFrame, sets: DataFrame, threshold: tuple[int, int], level: int) -> DataFrame:
