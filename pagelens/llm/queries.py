@@ -147,3 +147,14 @@ def q_ngram_jaccard(spark, sf_dir):
     from pagelens.llm.ngram_join import near_duplicates
 
     return near_duplicates(_documents(spark, sf_dir))
+
+
+@query("op2_pii_boosting")
+def q_pii_boosting(spark, sf_dir):
+    """2: personal data in every whole text: base spans and those that boosted trees add."""
+    from pagelens.llm.pii import KINDS, listed, personal_data
+
+    found = personal_data(_documents(spark, sf_dir))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind_no"] == KINDS.index(k))).cast("bigint").alias(f"n_{k}")
+    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        listed(F.array_distinct(F.concat("base", "added"))).alias("spans"))
