@@ -158,3 +158,11 @@ def q_pii_boosting(spark, sf_dir):
     count = lambda k: F.size(F.filter("base", lambda s: s["kind_no"] == KINDS.index(k))).cast("bigint").alias(f"n_{k}")
     return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
                         listed(F.array_distinct(F.concat("base", "added"))).alias("spans"))
+
+
+@query("op1_suffix_dedup")
+def q_suffix_dedup(spark, sf_dir):
+    """1: bytes covered by 100-byte strings that also start earlier go."""
+    from pagelens.llm.suffix_dedup import suffix_dedup
+
+    return suffix_dedup(_documents(spark, sf_dir))
