@@ -43,6 +43,8 @@ ANCHOR = 32
 BLOCK = 50_000
 #: Bytes that one suffix array is built over, unless a single anchor has more.
 ARRAY_BYTES = 1 << 16
+#: Texts are hashed in slices of about this size: their arrays stay in a core's cache.
+HASHED_BYTES = 1 << 16
 BITS = 1 << 27
 LAST = (1 << 63) - 1
 _U = np.uint64
@@ -116,7 +118,7 @@ def suffix_array(s: list[int]) -> list[int]:
     return out
 
 
-def contexts(bodies: list[bytes]) -> tuple[np.ndarray, ...]:
+def contexts(bodies: list[bytes], only_anchors: bool = False) -> tuple[np.ndarray, ...]:
     """Of every run of windows with one anchor: document index, first window, windows, offset of the anchor,
     hash of the anchor, hash of the context (places in bytes of the document)."""
     values, _, base, _ = _tables()
@@ -150,6 +152,8 @@ def contexts(bodies: list[bytes]) -> tuple[np.ndarray, ...]:
     new = np.flatnonzero(np.diff(anchor, prepend=-1))
     first, last = start[new], start[np.append(new[1:], len(start)) - 1]
     a = anchor[new]
+    if only_anchors:
+        return (h[a],)
     up, down = _powers(1 << max(20, (len(joined) + 1).bit_length()))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters * up[: len(raw)], dtype=np.uint64)])
     body = mix((total[last + LENGTH] - total[first]) * down[first] + (a - first).astype(np.uint64))
@@ -163,7 +167,7 @@ def _sliced(texts) -> Iterator[list[bytes]]:
         b = t.encode("utf-8", "surrogatepass")
         out.append(b)
         size += len(b)
-        if size >= SLICE_BYTES:
+        if size >= HASHED_BYTES:
             yield out
             out, size = [], 0
     if out:
@@ -173,7 +177,7 @@ def _sliced(texts) -> Iterator[list[bytes]]:
 def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for bodies in _sliced(pdf["text"]):
-            yield pd.DataFrame({"h": contexts(bodies)[4].view(np.int64)})
+            yield pd.DataFrame({"h": contexts(bodies, only_anchors=True)[-1].view(np.int64)})
 
 
 def _repeated(bits, with_body: bool):
@@ -247,68 +251,115 @@ def equal_windows(strings: list[bytes]) -> Iterator[list[tuple[int, int]]]:
 OWNED = "h bigint, body bigint, wins int, k0 int, k1 int, own_id bigint, own_first bigint, window binary"
 
 
+def _owners(group: list[tuple], runs: list[tuple[int, int, int, int]], same: dict[int, dict[int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(context, first window, end, owner's id, owner's first window) of the contexts of one anchor.
+
+    ``runs`` are (context, first window, end, string), ``same`` tells the windows of a string that other strings have.
+    """
+    earliest: dict[int, tuple[int, int]] = {}
+    for k, a, _, i in runs:
+        place = (group[k][3], group[k][4] + a)
+        if i not in earliest or place < earliest[i]:
+            earliest[i] = place
+    shared: dict[int, tuple[int, int]] = {}
+    for i, (id_, first) in earliest.items():
+        for w, n in same.get(i, {}).items():
+            place = (id_, first + w)
+            if n not in shared or place < shared[n]:
+                shared[n] = place
+    parts: dict[int, list[tuple[int, int, int, int]]] = {}
+    for _, a, b, i in runs:
+        if i in parts:
+            continue
+        (id_, first), mine, parts[i], begin, now = earliest[i], same.get(i), [], 0, earliest[i]
+        if mine:
+            for w in range(1, b - a + 1):
+                own = None if w == b - a else shared[mine[w]] if w in mine else (id_, first + w)
+                if w == 1:
+                    now = shared[mine[0]] if 0 in mine else earliest[i]
+                if own is None or own != (now[0], now[1] + w - begin):
+                    parts[i].append((begin, w, *now))
+                    begin, now = w, own
+        else:
+            parts[i].append((0, b - a, *now))
+    done = [0] * len(group)
+    for k, a, b, i in runs:
+        if a > done[k]:
+            yield k, done[k], a, group[k][3], group[k][4] + done[k]
+        for x, y, id_, first in parts[i]:
+            yield k, a + x, a + y, id_, first
+        done[k] = b
+    for k, r in enumerate(group):
+        if done[k] < r[2]:
+            yield k, done[k], r[2], r[3], r[4] + done[k]
+
+
+def _ordered(groups: list[list[tuple]]) -> pd.DataFrame:
+    """Rows (h, body, wins, id, first, bytes, blocks) of whole anchors or blocks -> OWNED."""
+    flat = [r[5] for g in groups for r in g]
+    runs = _windows_twice(flat)
+    out, at, base = [], 0, 0
+    strings: dict[bytes, int] = {}
+    held: list[tuple[list[tuple], list[tuple[int, int, int, int]]]] = []
+
+    def emit() -> None:
+        several = list(strings)
+        same: dict[int, dict[int, int]] = {}
+        for n, found in enumerate(equal_windows(several) if len(several) > 1 else ()):
+            for i, w in found:
+                same.setdefault(i, {})[w] = n
+        for group, mine in held:
+            for k, a, b, id_, first in _owners(group, mine, same):
+                r = group[k]
+                if r[6] == 1:
+                    out.append((*r[:3], a, b, id_, first, None))
+                else:
+                    out.extend((*r[:3], w, w + 1, id_, first + w - a, hashlib.blake2b(r[5][w:w + LENGTH], digest_size=16).digest()) for w in range(a, b))
+        strings.clear()
+        held.clear()
+
+    size = 0
+    for group in groups:
+        mine, cut = [], {}
+        while at < len(runs) and runs[at][0] < base + len(group):
+            k, a, b = runs[at]
+            mine.append((k - base, a, b, group[k - base][5][a:b + LENGTH - 1]))
+            at += 1
+        base += len(group)
+        for x in mine:
+            cut.setdefault(x[3], len(cut))
+        if len(cut) > 1:  # else equal windows are in equal strings
+            for x in cut:
+                cut[x] = strings.setdefault(x, len(strings))
+                size += len(x)
+        else:
+            cut = dict.fromkeys(cut, -1)
+        held.append((group, [(k, a, b, cut[x]) for k, a, b, x in mine]))
+        if size > ARRAY_BYTES:
+            emit()
+            size = 0
+    emit()
+    return pd.DataFrame(out, columns=["h", "body", "wins", "k0", "k1", "own_id", "own_first", "window"])
+
+
 def _order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Contexts of anchors, an anchor's (or a block's) rows together -> the owner of each window, in runs; per
     window with its digest where the anchor is dealt over several blocks."""
-    todo: list[tuple[list[dict], list[tuple[int, int, int]]]] = []
-    size = 0
-
-    def flush() -> pd.DataFrame:
-        cut: dict[bytes, int] = {}
-        rows = []
-        for group, runs in todo:
-            for k, a, b in runs:
-                cut.setdefault(group[k]["bytes"][a:b + LENGTH - 1], len(cut))
-        strings = list(cut)
-        same: dict[tuple[int, int], int] = {}
-        if len(strings) > 1:
-            for n, found in enumerate(equal_windows(strings)):
-                for x in found:
-                    same[x] = n
-        for group, runs in todo:
-            owners: dict = {}
-            keys = []
-            for k, a, b in runs:
-                i, r = cut[group[k]["bytes"][a:b + LENGTH - 1]], group[k]
-                mine = {w: same.get((i, w - a), (i, w - a)) for w in range(a, b)}
-                keys.append((k, mine))
-                for w, key in mine.items():
-                    place = (r["id"], r["first"] + w)
-                    if key not in owners or place < owners[key]:
-                        owners[key] = place
-            per = [[(r["id"], r["first"] + w) for w in range(r["wins"])] for r in group]
-            for k, mine in keys:
-                for w, key in mine.items():
-                    per[k][w] = min(per[k][w], owners[key])
-            for r, own in zip(group, per):
-                head = (r["h"], r["body"], r["wins"])
-                if r["blocks"] > 1:
-                    rows.extend((*head, w, w + 1, *own[w], hashlib.blake2b(r["bytes"][w:w + LENGTH], digest_size=16).digest()) for w in range(r["wins"]))
-                    continue
-                a = 0
-                for w in range(1, r["wins"] + 1):
-                    if w == r["wins"] or own[w] != (own[a][0], own[a][1] + w - a):
-                        rows.append((*head, a, w, *own[a], None))
-                        a = w
-        todo.clear()
-        return pd.DataFrame(rows, columns=["h", "body", "wins", "k0", "k1", "own_id", "own_first", "window"])
-
-    group: list[dict] = []
+    groups: list[list[tuple]] = []
+    last, size = None, 0
     for pdf in batches:
-        for r in pdf.to_dict("records"):
-            if group and (group[0]["h"], group[0]["block"]) != (r["h"], r["block"]):
-                runs = _windows_twice([x["bytes"] for x in group])
-                todo.append((group, runs))
-                size += sum(b - a + LENGTH for _, a, b in runs) + len(group)
-                group = []
-                if size > ARRAY_BYTES:
-                    yield flush()
-                    size = 0
-            group.append(r)
-    if group:
-        todo.append((group, _windows_twice([x["bytes"] for x in group])))
-    if todo:
-        yield flush()
+        columns = [pdf[c].tolist() for c in ("h", "body", "wins", "id", "first", "bytes", "blocks", "block")]
+        for r in zip(*columns):
+            if last != (r[0], r[7]):
+                if size > SLICE_BYTES:
+                    yield _ordered(groups)
+                    groups, size = [], 0
+                groups.append([])
+                last = (r[0], r[7])
+            groups[-1].append(r)
+            size += len(r[5])
+    if groups:
+        yield _ordered(groups)
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
