@@ -119,7 +119,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, threshold: tuple[int, int]
         order = F.sort_array(F.transform("hits", lambda x: F.struct(x["df"].alias("df"), F.xxhash64(x["t"], F.lit(seed)).alias("h"), x["t"].alias("t"))))
         return F.transform(F.slice(order, F.lit(1), F.col("keep")), lambda x: x["t"])
 
-    filters = written(hits.select("c", "n", ((F.col("n") - F.size("hits")) / F.col("n")).alias("own"), first(2).alias("second"), first(3).alias("third")), "ngram-filters")
+    filters = written(hits.select("c", "n", (F.col("n") - F.size("hits")).alias("alone"), first(2).alias("second"), first(3).alias("third")), "ngram-filters")
     roots = _linked(filters, sets, threshold, cold)
     class_root = classes.select(F.col("digest").alias("d"), "c").join(roots, F.col("c") == F.col("node"), "left").select("d", F.coalesce("root", "c").alias("root"))
     out = signed.select("id", "n", "digest").join(class_root, (F.col("digest") == F.col("d")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
@@ -130,14 +130,23 @@ def _linked(filters: DataFrame, sets: DataFrame, threshold: tuple[int, int], col
     """node, root of the classes that have links."""
     near_size = lambda a, b: F.least(a, b) >= least_common(F.greatest(a, b), threshold)
     # groups of classes that may link: first by the first tokens of order 2
-    groups = filters.select(F.explode("second").alias("g"), "c", "n", "own").withColumn("root", F.col("c"))
+    groups = filters.select(F.posexplode("second").alias("pos", "g"), "c", "n", "alone").select(
+        "g", "c", "n", F.col("c").alias("root"), F.col("n").alias("size"), (F.col("alone") + F.col("pos")).alias("pos"), (F.col("alone") / F.col("n")).alias("own"))
+    num, den = threshold
+
+    def may(x: Column, y: Column) -> Column:
+        """Whether a pair can link whose first common token is the group's: what follows it, itself included, holds the common tokens the pair needs."""
+        differ = F.floor((x["n"] + y["n"]) * (den - num) / (den + num))
+        rest = F.least(x["size"] - x["pos"], y["size"] - y["pos"])
+        return (x["root"] != y["root"]) & near_size(x["n"], y["n"]) & (2 * rest >= x["size"] + y["size"] - differ)
+
     roots, level = None, 0
     while True:
         lead = groups.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("own", "c", "n")).alias("lead"), F.min("root").alias("lo"), F.max("root").alias("hi"))
         lead = written(lead.filter("lo <> hi").select("g", "m", "lead"), f"ngram-groups{level}")
-        few = groups.join(lead.filter(F.col("m") <= cold).select("g"), "g").groupBy("g").agg(F.sort_array(F.collect_list(F.struct("c", "n", "root"))).alias("l"))
+        few = groups.join(lead.filter(F.col("m") <= cold).select("g"), "g").groupBy("g").agg(F.sort_array(F.collect_list(F.struct("c", "n", "root", "size", "pos"))).alias("l"))
         each = F.flatten(F.transform("l", lambda x: F.transform(
-            F.filter("l", lambda y: (y["c"] > x["c"]) & (y["root"] != x["root"]) & near_size(x["n"], y["n"])), lambda y: F.struct(x["c"].alias("a"), y["c"].alias("b")))))
+            F.filter("l", lambda y: (y["c"] > x["c"]) & may(x, y)), lambda y: F.struct(x["c"].alias("a"), y["c"].alias("b")))))
         pairs = few.select(F.explode(each).alias("p")).select("p.a", "p.b")
         hot = lead.filter(F.col("m") > cold).select("g", F.col("lead.c").alias("lead"), F.col("lead.n").alias("lead_n"))
         member = written(groups.select("g", "c", "n").join(hot, "g").filter("c <> lead"), f"ngram-hot{level}")
@@ -172,7 +181,7 @@ def _joined(roots: DataFrame, links: DataFrame, level: int) -> DataFrame:
 
 
 def _rebased(members: DataFrame, sets: DataFrame, threshold: tuple[int, int], level: int) -> DataFrame:
-    """Groups (g, c, n, own, root) such that members (lead, c, n, root) of one lead that may link and are not connected share one.
+    """Groups (g, c, n, root, size, pos, own) such that members (lead, c, n, root) of one lead that may link and are not connected share one.
 
     With D the tokens found in just one of a set and its leader's, two linked sets differ in
     |Dx| + |Dy| - 2 |Dx and Dy| tokens, at most n (1 - t) / t for the smaller n. So Dx and Dy share at
@@ -190,7 +199,8 @@ def _rebased(members: DataFrame, sets: DataFrame, threshold: tuple[int, int], le
     asked = F.greatest(F.lit(1), F.col("own") - F.floor(F.col("n") * (den - num) / num))
     hits = hits.withColumn("keep", (F.size("hits") - asked + 1).cast("int")).filter("keep > 0")
     first = F.transform(F.slice(F.sort_array("hits"), F.lit(1), F.col("keep")), lambda x: x["t"])
-    return written(hits.select(F.explode(first).alias("g"), F.col("c.c").alias("c"), "n", "own", "root"), f"ngram-rebased{level}")
+    listed = hits.select(F.posexplode(first).alias("pos", "g"), F.col("c.c").alias("c"), "n", "root", "own", (F.col("own") - F.size("hits")).alias("alone"))
+    return written(listed.select("g", "c", "n", "root", F.col("own").alias("size"), (F.col("alone") + F.col("pos")).alias("pos"), "own"), f"ngram-rebased{level}")
 
 
 def _verified(pairs: DataFrame, filters: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
