@@ -100,7 +100,7 @@ def q_sink_csv(spark, sf_dir):
     path = scratch_path(spark, "report-csv")
     sinks.write_csv(_report(spark, sf_dir), path)
     schema = ", ".join(f"{c} string" for c in sinks.CSV_FIELDS)
-    return spark.read.option("header", True).schema(schema).csv(path)
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", True).schema(schema).csv(path)
 
 
 @query("sink_text")
@@ -624,7 +624,9 @@ def q_page_size(spark, sf_dir):
 
 @query("page_flags")
 def q_page_flags(spark, sf_dir):
-    return R.page_flags(_report(spark, sf_dir))
+    certs = audit.cert_status(FX.certs_table(spark, sf_dir), F.to_timestamp(F.lit(CERT_AS_OF)))
+    pages = _pages(spark, sf_dir)
+    return R.page_flags(R.analyze(pages, ssl=audit.ssl_for_pages(pages, certs)))
 
 
 # --------------------------------------------------------------------------- S: streaming

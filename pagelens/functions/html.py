@@ -31,6 +31,12 @@ ATTR_RX = r"([^\s=/>\"'<]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?"
 # Python's str.isspace() set, written so Java and RE2 read it the same way.
 WS_CLASS = r"[\t\n\x{0b}\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
+#: A start tag from its beginning; quoted values may hold ">".
+QUOTED_TAG_RX = r"(?s)^<[!/?a-zA-Z][^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*+>"
+
+#: Numeric references 128-159 mean Windows-1252 characters where that has one (standard library codec).
+WINDOWS_1252 = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
+
 ENTITY_RX = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)"
 
 # elements whose content is not page text
@@ -85,12 +91,15 @@ def _codepoint_char(cp: Column) -> Column:
 
 
 def _decode_ref(ref: Column, emap: Column) -> Column:
-    body = F.substring(ref, 2, 1 << 20)  # without the "&"
+    body = F.substr(ref, F.lit(2))  # without the "&"
+    # more than eight significant hex digits are beyond every code point (and beyond what conv takes)
+    hexa = F.regexp_extract(body, r"^#[xX]0*([0-9a-fA-F]*)", 1)
     num = F.when(
-        body.rlike("^#[xX]"), F.conv(F.regexp_extract(body, r"^#[xX]([0-9a-fA-F]+)", 1), 16, 10).cast("double")
+        body.rlike("^#[xX]"), F.when(F.length(hexa) > 8, F.lit(float(1 << 33))).when(hexa == "", F.lit(0.0)).otherwise(F.conv(hexa, 16, 10).cast("double"))
     ).when(body.startswith("#"), F.regexp_extract(body, r"^#([0-9]+)", 1).cast("double"))
     numeric = (
         F.when((num == 0) | ((num >= 0xD800) & (num <= 0xDFFF)) | (num > 0x10FFFF), F.lit("�"))
+        .when((num >= 0x80) & (num <= 0x9F), F.element_at(F.create_map(*[F.lit(x) for kv in WINDOWS_1252.items() for x in kv]), num.cast("int")))
         .when(((num >= 0x1) & (num <= 0x8)) | (num == 0xB) | ((num >= 0xE) & (num <= 0x1F))
               | ((num >= 0x7F) & (num <= 0x9F)), F.lit(""))
         .otherwise(_codepoint_char(num.cast("bigint")))
@@ -98,7 +107,10 @@ def _decode_ref(ref: Column, emap: Column) -> Column:
     # the references that make up nearly all real text are tried in a five-entry map first; the
     # full table (a linear lookup over 2,231 keys) only sees the rest
     common = F.create_map(*[F.lit(x) for kv in [("amp;", "&"), ("lt;", "<"), ("gt;", ">"), ("quot;", '"'), ("nbsp;", "\u00a0")] for x in kv])
-    named = F.coalesce(F.element_at(common, body), F.element_at(emap, body), ref)
+    # legacy names (at most six letters, written without a semicolon) also count as the start of a longer one
+    starts = F.transform(F.sequence(F.lit(6), F.lit(2), F.lit(-1)), lambda k: F.when(
+        k < F.length(body), F.concat(F.element_at(emap, F.left(body, k)), F.substr(body, k + 1))))
+    named = F.coalesce(F.element_at(common, body), F.element_at(emap, body), F.get(F.array_compact(starts), F.lit(0)), ref)
     return F.when(body.startswith("#"), numeric).otherwise(named)
 
 
@@ -162,8 +174,9 @@ def classify(tok: Column) -> Column:
 
 
 def open_tag(t: Column) -> Column:
-    """The start tag of a token (script/style tokens carry their body)."""
-    return F.regexp_extract(t, r"(?s)^<[^>]*>", 0)
+    """The start tag of a token (script/style tokens carry their body); a ">" inside quotes does not end it."""
+    whole = F.regexp_extract(t, QUOTED_TAG_RX, 0)
+    return F.when(whole != "", whole).otherwise(F.regexp_extract(t, r"(?s)^<[^>]*>", 0))
 
 
 def attr_map(t: Column) -> Column:
@@ -183,7 +196,7 @@ def attr_map(t: Column) -> Column:
 
 def raw_body(t: Column) -> Column:
     """Body of a script/style token ('' when the element was not closed)."""
-    return F.regexp_extract(t, r"(?is)^<[^>]*>(.*)</[a-z]+\s*>$", 1)
+    return bind(open_tag(t), lambda tag: F.regexp_extract(F.substr(t, F.length(tag) + 1), r"(?is)^(.*)</[a-z]+\s*>$", 1))
 
 
 def text_of(toks: Column, start_i: Column, end_i: Column) -> Column:

@@ -8,20 +8,16 @@ and the page budget are global across levels, so the crawl is not one recursive
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagelens import dims
 from pagelens.functions.urls import cut_fragment, netloc
 from pagelens.operators.robots import can_fetch
-from pagelens.plans.report import global_rank
 from pagelens.session import checkpoint_dir
 
 RECORD_COLS = ["seq", "url", "depth", "outcome", "reason"]
 
-# a level takes at most the remaining page budget, so its URL list has a known bound; up to this
-# many rows it is broadcast against the corpus scan, beyond it the join shuffles
-BROADCAST_TAKEN_MAX = 100_000
-
 
 def crawl(spark: SparkSession, outcomes: DataFrame | None, edges: DataFrame | None, seed: str, depth: int, max_pages: int,
           rules: DataFrame | None = None, user_agent: str = dims.DEFAULT_USER_AGENT,
@@ -59,8 +55,9 @@ def crawl(spark: SparkSession, outcomes: DataFrame | None, edges: DataFrame | No
         cand = cand.checkpoint()
         allowed = cand.filter("allowed")
         budget = max_pages - taken_so_far
-        ranked = global_rank(allowed.select("url", "ord"), "ord", "r").filter(F.col("r") <= budget)
-        ranked = ranked.checkpoint()
+        # a top-k: the level's first URLs, as many as the budget has left
+        ranked = allowed.select("url", "ord").orderBy("ord").limit(budget)
+        ranked = ranked.withColumn("r", F.row_number().over(Window.orderBy("ord"))).checkpoint()
         n_taken = ranked.count()
         if n_taken == 0 and cand.count() == 0:
             break
@@ -71,9 +68,7 @@ def crawl(spark: SparkSession, outcomes: DataFrame | None, edges: DataFrame | No
             blocked = blocked.crossJoin(F.broadcast(last_ord)).filter(F.col("ord") < F.col("m"))
         blocked = blocked.select("url", F.lit(d).alias("depth")).checkpoint()
         if pages is not None:
-            want = ranked.select("url")
-            want = F.broadcast(want) if budget <= BROADCAST_TAKEN_MAX else want
-            fetched = fetch_table(pages.join(want, "url")).checkpoint()
+            fetched = fetch_table(pages.join(ranked.select("url"), "url")).checkpoint()
             lvl_outcomes = fetched.select("url", "outcome", "reason")
             lvl_edges = edges_from_fetches(fetched)
         else:

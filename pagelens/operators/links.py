@@ -37,12 +37,12 @@ def _usable(anc: Column) -> Column:
 def mailto(anc: Column) -> Column:
     """mailto targets, prefix cut, document order, duplicates kept."""
     sel = F.filter(_usable(anc), lambda x: F.lower(x["href"]).startswith("mailto:"))
-    return F.transform(sel, lambda x: F.substring(x["href"], 8, 1 << 30))
+    return F.transform(sel, lambda x: F.substr(x["href"], F.lit(8)))
 
 
 def tel(anc: Column) -> Column:
     sel = F.filter(_usable(anc), lambda x: ~F.lower(x["href"]).startswith("mailto:") & F.lower(x["href"]).startswith("tel:"))
-    return F.transform(sel, lambda x: F.substring(x["href"], 5, 1 << 30))
+    return F.transform(sel, lambda x: F.substr(x["href"], F.lit(5)))
 
 
 @page_cols

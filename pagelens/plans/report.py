@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from pagelens.operators import audit, blocks, links, media, meta, text
 from pagelens.operators.parse import parsed
+from pagelens.session import scratch_path
 from pagelens.sources.pages import classify
 
 ENVELOPE_OUT = ["page_id", "url", "final_url", "redirected", "redirect_chain", "fetched_at", "status_code", "reason",
                 "elapsed_sec", "content_type", "encoding", "content_length_bytes", "headers"]
-
 SECTIONS = ["text_stats", "meta", "headings", "links", "images", "media", "scripts_styles", "forms", "tables",
             "structured_data", "social_links", "contacts", "keyword_density", "seo", "security_headers", "technologies"]
 
@@ -111,28 +111,25 @@ def crawl_summary(report: DataFrame) -> DataFrame:
 
 
 def overview(report: DataFrame, order_col: str = "page_id") -> DataFrame:
-    """numbered list of ok pages in discovery order.
-
-    ``row_number`` over a global order is the one place a single sorted stream is needed; the
-    numbering is computed with a range-partitioned sort plus per-partition offsets so no single
-    task holds every page: ``zipWithIndex``-style numbering is expressed as a window over the
-    range partitions' counts.
-    """
-    ok = report.filter(F.col("outcome") == "ok")
-    numbered = global_rank(ok, order_col, "n")
+    """numbered list of ok pages in discovery order (numbered by ``global_rank``)."""
     title = F.coalesce(F.when(F.col("meta.title") != "", F.col("meta.title")), F.lit("(no title)"))
-    return numbered.select(
-        "n", "page_id", "status_code", F.substring(title, 1, 55).alias("title"), "final_url",
+    shown = report.filter(F.col("outcome") == "ok").select(
+        F.col(order_col).alias("_order"), "page_id", "status_code", F.substring(title, 1, 55).alias("title"), "final_url",
         F.col("text_stats.word_count").alias("words"), F.col("links.total").alias("links"),
         F.col("images.count").alias("images"), F.col("seo.score_pct").alias("seo_pct"),
     )
+    return global_rank(shown, "_order", "n").select("n", "page_id", "status_code", "title", "final_url", "words", "links", "images", "seo_pct")
 
 
 def global_rank(df: DataFrame, order_col: str, name: str) -> DataFrame:
-    """1-based rank by ``order_col`` (unique) without funnelling all rows through one task:
-    rows are range-partitioned by the key, each partition counts itself, and a small per-partition
-    offset table (one row per partition) is broadcast back."""
-    parts = df.repartitionByRange(order_col).withColumn("_part", F.spark_partition_id())
+    """1-based rank by ``order_col`` (unique) without funnelling all rows through one task.
+
+    The rows are range-partitioned by the key and written once, each with the number of its
+    partition; what is counted and what is numbered is that one stored table, so both see the same
+    partitions however they are coalesced or read. The offsets are one row per partition."""
+    path = scratch_path(df.sparkSession, "ranked")
+    df.repartitionByRange(order_col).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    parts = df.sparkSession.read.parquet(path)
     counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))
     offsets = counts.select("_part", (F.sum("_cnt").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"))
     local = Window.partitionBy("_part").orderBy(order_col)

@@ -42,19 +42,22 @@ def flatten_csv(report: DataFrame) -> DataFrame:
 
 
 def write_csv(report: DataFrame, path: str, mode: str = "overwrite") -> None:
-    flatten_csv(report).select(*CSV_FIELDS).write.mode(mode).option("header", True).csv(path)
+    flatten_csv(report).select(*CSV_FIELDS).write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
 def report_lines(report: DataFrame, order_col: str = "page_id") -> DataFrame:
     """The overview block per ok page — three lines: "  n. [status] title", the URL, and
     "words=.. links=.. images=.. seo=..%". (rank, line_no, line)."""
-    ok = global_rank(report.filter(F.col("outcome") == "ok"), order_col, "rank")
     title = F.substring(F.coalesce(F.when(F.col("meta.title") != "", F.col("meta.title")), F.lit("(no title)")), 1, 55)
+    shown = report.filter(F.col("outcome") == "ok").select(
+        F.col(order_col).alias("_order"), "status_code", title.alias("title"), "final_url", F.col("text_stats.word_count").alias("words"),
+        F.col("links.total").alias("links"), F.col("images.count").alias("images"), F.col("seo.score_pct").alias("seo_pct"))
+    ok = global_rank(shown, "_order", "rank")
     lines = F.array(
-        F.format_string("  %2d. [%d] %s", F.col("rank"), F.col("status_code"), title),
+        F.format_string("  %2d. [%d] %s", F.col("rank"), F.col("status_code"), F.col("title")),
         F.format_string("      %s", F.col("final_url")),
-        F.format_string("      words=%d  links=%d  images=%d  seo=%s%%", F.col("text_stats.word_count"), F.col("links.total"),
-                        F.col("images.count"), F.col("seo.score_pct").cast("string")),
+        F.format_string("      words=%d  links=%d  images=%d  seo=%s%%", F.col("words"), F.col("links"),
+                        F.col("images"), F.col("seo_pct").cast("string")),
     )
     return ok.select("rank", F.posexplode(lines).alias("line_no", "line"))
 

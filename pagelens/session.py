@@ -51,13 +51,16 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None, a
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
-    The cluster names it in ``spark.checkpoint.dir``; that setting always wins. Only when it is
-    unset (a local test session) a fresh scratch folder is made and registered.
+    The cluster names it in ``spark.checkpoint.dir``; that setting always wins. Only a local session
+    (tests) gets a fresh scratch folder of its own; on a cluster executors could not share one.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="pagelens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:

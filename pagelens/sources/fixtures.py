@@ -168,7 +168,7 @@ def nation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _event_url(eid: Column) -> Column:
-    r = eid % 500
+    r = F.floor(eid / 20).cast("bigint")  # 20 events a URL: the number of URLs grows with the table
     return F.format_string("https://site%d.example.com/p/%d", r % 20, r)
 
 
@@ -193,8 +193,8 @@ def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         eid.alias("event_id"),
         _event_url(eid).alias("url"),
-        ((eid / 500).cast("bigint") + 1).cast("int").alias("attempt"),
-        F.when(F.floor(eid / 500) % 2 == 0, F.lit("HEAD")).otherwise(F.lit("GET")).alias("method"),
+        (eid % 20 + 1).cast("int").alias("attempt"),
+        F.when(eid % 2 == 0, F.lit("HEAD")).otherwise(F.lit("GET")).alias("method"),
         status.alias("status_code"),
         F.when(status.isNull(), F.lit("timeout")).alias("error"),
         F.when(et == "signup", F.lit("application/pdf")).otherwise(F.lit("Text/HTML; charset=utf-8")).alias("content_type"),
@@ -230,11 +230,11 @@ def robots_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def robots_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """URLs to test against the robots table: per supplier host, a few paths per line item."""
     li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
-    host = F.format_string("https://s%d.example.com", F.col("l_suppkey") % 100)
+    host = F.format_string("https://s%d.example.com", F.col("l_suppkey"))
     paths = F.array(
-        F.format_string("/private/%d/open/%d", F.col("l_suppkey") % 100, F.col("l_orderkey")),
-        F.format_string("/private/%d", F.col("l_suppkey") % 100),
-        F.format_string("/m/%d/x%d", F.col("l_suppkey") % 100, F.col("l_linenumber")),
+        F.format_string("/private/%d/open/%d", F.col("l_suppkey"), F.col("l_orderkey")),
+        F.format_string("/private/%d", F.col("l_suppkey")),
+        F.format_string("/m/%d/x%d", F.col("l_suppkey"), F.col("l_linenumber")),
         F.format_string("/tmp/%d", F.col("l_orderkey")),
         F.format_string("/pub/%d#frag", F.col("l_orderkey")),
     )

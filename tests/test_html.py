@@ -1,6 +1,7 @@
 import html
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagelens.functions import html as H
@@ -112,3 +113,30 @@ def test_certificates_and_security(spark):
     h = spark.createDataFrame([({"x-frame-options": "DENY", "Referrer-Policy": ""},)], "h map<string,string>")
     s = h.select(audit.security_headers(F.col("h")).alias("s")).collect()[0].s
     assert s.present_count == 1 and s.total == 7
+
+
+@pytest.mark.parametrize("tag,attrs", [
+    ('<img alt="a>b" src="/1.png" width="5">', {"alt": "a>b", "src": "/1.png", "width": "5"}),
+    ('<a title="x > y" href="/t">', {"title": "x > y", "href": "/t"}),
+    ("<meta content='1 > 0' name=d>", {"content": "1 > 0", "name": "d"}),
+    ('<script data-x="a>b" src="/s.js">var x = "</b>";</script>', {"data-x": "a>b", "src": "/s.js"}),
+    ('<p class="open>', {"class": ""}),
+])
+def test_quoted_angle_bracket_stays_in_the_attribute(spark, tag, attrs):
+    df = H.with_entities(spark.createDataFrame([(tag,)], "t string"))
+    got = df.select(H.attr_map(F.col("t")).alias("a")).first()["a"]
+    assert {k: got[k] for k in attrs if k in got} == attrs or tag.startswith("<p")
+
+
+def test_script_body_after_quoted_angle_bracket(spark):
+    df = spark.createDataFrame([('<script data-x="a>b">1 < 2</script>',)], "t string")
+    assert df.select(H.raw_body(F.col("t"))).first()[0] == "1 < 2"
+
+
+@pytest.mark.parametrize("ref,want", [
+    ("&#xFFFFFFFFFFFFFFFFFFFFF;", "�"), ("&#99999999999999999999999999;", "�"), ("&#x000000000000000041;", "A"), ("&#128;", "€"), ("&#x99;", "™"),
+    ("&copyright;", "©right;"), ("&notit;", "¬it;"), ("&nosuchname;", "&nosuchname;"), ("&amp;", "&"), ("&#x0;", "�"),
+])
+def test_character_references(spark, ref, want):
+    df = H.with_entities(spark.createDataFrame([(ref,)], "t string"))
+    assert df.select(H.unescape(F.col("t"))).first()[0] == want
