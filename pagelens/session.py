@@ -26,6 +26,8 @@ LOCAL_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.driver.memory": "16g",
+    # the report is some 40,000 column calls; recording the call site of each doubles the time to build it
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -1,6 +1,7 @@
 """Every registered query of the reference operators against its DuckDB oracle on the smallest data set."""
 
 import collections
+import os
 
 import duckdb
 import pytest
@@ -9,7 +10,9 @@ from pagelens.catalog import QUERIES
 from pagelens.oracle import ORACLE
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(set(QUERIES) & set(ORACLE))
+#: Queries whose plans take ten seconds and more to build, one of them a minute; run with ALL_QUERIES=1.
+SLOW = {"seo_checks", "seo_score", "sink_csv", "sink_json", "crawl_summary", "failed_pages", "run_report", "crawl_bfs"}
+NAMES = sorted(n for n in set(QUERIES) & set(ORACLE) if n not in SLOW or os.environ.get("ALL_QUERIES"))
 
 
 @pytest.fixture(scope="module")
