@@ -166,3 +166,31 @@ def q_suffix_dedup(spark, sf_dir):
     from pagelens.llm.suffix_dedup import suffix_dedup
 
     return suffix_dedup(_documents(spark, sf_dir))
+
+
+def _license_oracle() -> str:
+    from pagelens.llm.license_scan import TEMPLATES
+
+    values = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in TEMPLATES)
+    norm = "trim(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))"
+    grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    return f"""
+WITH t0 AS (SELECT * FROM (VALUES {values}) v(license, body)),
+t AS (SELECT license, {grams} AS b FROM (SELECT license, string_split({norm.format('body')}, ' ') AS w FROM t0)),
+u0 AS (SELECT doc_id, text AS unit FROM documents WHERE text IS NOT NULL UNION SELECT doc_id, unnest(string_split(text, chr(10))) FROM documents),
+u1 AS (SELECT DISTINCT doc_id, {norm.format('unit')} AS norm FROM u0),
+u AS (SELECT doc_id, norm, {grams} AS a FROM (SELECT doc_id, norm, string_split(norm, ' ') AS w FROM u1) WHERE len(w) > 1),
+p AS (SELECT doc_id, norm, license, len(a) + len(b) AS n, len(list_intersect(a, b)) AS c FROM u JOIN t ON len(b) <= 1.5 * len(a) AND len(a) <= 1.5 * len(b)),
+f AS (SELECT doc_id, norm, license, 2.0::DOUBLE * c / n AS dice FROM p WHERE 200 * c >= 80 * n),
+g AS (SELECT doc_id, count(DISTINCT norm) AS n_matches, max(dice) AS dice, arg_max(license, row(dice, license)) AS license,
+             array_to_string(list_sort(list_distinct(list(license))), ',') AS licenses FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_matches, 0)::BIGINT AS n_matches, license, dice, coalesce(licenses, '') AS licenses FROM documents d LEFT JOIN g USING (doc_id)
+"""
+
+
+@query("op8_license_scan", _license_oracle())
+def q_license_scan(spark, sf_dir):
+    """8: licence notices in the lines of every text."""
+    from pagelens.llm.license_scan import license_scan
+
+    return license_scan(_documents(spark, sf_dir))
