@@ -70,8 +70,11 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: tuple[int, int
     num, den = threshold
     sizes = by_size(spark, templates, threshold)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    lines = F.array_distinct(F.concat(F.array(F.col("text")), F.split("text", "\n")))
-    units = rows.select("id", F.explode(lines).alias("unit")).select("id", normalised(F.col("unit")).alias("norm"))
+    # one pass over the text: lines normalised, and the whole text, which is its lines with words joined by spaces
+    lines = F.transform(F.split(F.regexp_replace(lower_ascii(F.col("text")), "[^a-z0-9\n]+", " "), "\n"), lambda x: F.trim(x))
+    words = F.transform(F.array(lines), lambda x: F.filter(x, lambda y: y != ""))[0]
+    every = F.transform(F.array(words), lambda x: F.array_distinct(F.concat(F.array(F.array_join(x, " ")), x)))[0]
+    units = rows.select("id", F.explode(every).alias("norm"))
     # a size bound that needs no bigrams: distinct bigrams are fewer than words
     smallest = sizes.agg(F.min("size")).first()[0]
     units = units.filter(F.regexp_count("norm", F.lit(" ")) >= smallest).withColumn("grams", bigrams(F.col("norm")))
