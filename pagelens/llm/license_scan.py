@@ -76,8 +76,9 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: tuple[int, int
     every = F.transform(F.array(words), lambda x: F.array_distinct(F.concat(F.array(F.array_join(x, " ")), x)))[0]
     units = rows.select("id", F.explode(every).alias("norm"))
     # a size bound that needs no bigrams: distinct bigrams are fewer than words
-    smallest = sizes.agg(F.min("size")).first()[0]
-    units = units.filter(F.regexp_count("norm", F.lit(" ")) >= smallest).withColumn("grams", bigrams(F.col("norm")))
+    # and, as a chain of n distinct words has n - 1 distinct bigrams at least, not fewer than distinct words less one
+    smallest, largest = sizes.agg(F.min("size"), F.max("size")).first()
+    units = units.filter(F.regexp_count("norm", F.lit(" ")) >= smallest).filter(F.size(F.array_distinct(F.split("norm", " "))) - 1 <= largest).withColumn("grams", bigrams(F.col("norm")))
     pairs = units.withColumn("size", F.size("grams")).join(F.broadcast(sizes.withColumnRenamed("grams", "template")), "size")
     both = F.size(F.array_intersect("grams", "template"))
     total = F.col("size") + F.size("template")
