@@ -130,11 +130,11 @@ def elements(pages: DataFrame) -> DataFrame:
     (page, name) gives the nesting level, and the next event at the same level (``lead`` over
     (page, name, level)) is the matching end tag. Both windows are partitioned by page first, so a
     page's tags stay in one partition (a page is bounded in size). Unclosed elements end at the end
-    of the page.
+    of the page; void elements (``dims.VOID_ELEMENTS``) end where they start.
     """
     t = pages.select("page_id", F.size(H.tokenize(F.col("html"))).alias("ntok"), F.posexplode(H.tokenize(F.col("html"))).alias("pos", "raw"))
     t = t.select("page_id", "ntok", "pos", "raw", H.token_kind(F.col("raw")).alias("kind")).filter(F.col("kind").isin("start", "end"))
-    t = t.withColumn("name", H.tag_name(F.col("raw")))
+    t = t.withColumn("name", H.tag_name(F.col("raw"))).withColumn("raw", H.open_tag(F.col("raw")))  # script and style bodies stay behind
     step = F.when(F.col("kind") == "start", 1).otherwise(-1)
     w = Window.partitionBy("page_id", "name").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("lvl", F.sum(step).over(w))
@@ -143,7 +143,7 @@ def elements(pages: DataFrame) -> DataFrame:
     w2 = Window.partitionBy("page_id", "name", "lkey").orderBy("pos")
     t = t.withColumn("nxt_kind", F.lead("kind").over(w2)).withColumn("nxt_pos", F.lead("pos").over(w2))
     s = t.filter(F.col("kind") == "start")
-    end = F.when(F.col("nxt_kind") == "end", F.col("nxt_pos")).otherwise(F.col("ntok"))
+    end = F.when(F.col("name").isin(*dims.VOID_ELEMENTS), F.col("pos")).when(F.col("nxt_kind") == "end", F.col("nxt_pos")).otherwise(F.col("ntok"))
     return s.select("page_id", "pos", "name", end.alias("end_pos"), "raw")
 
 
@@ -237,15 +237,17 @@ def q_twitter_card(spark, sf_dir):
     return c.select("page_id", F.explode(meta.twitter_card()).alias("key", "value"))
 
 
+def _numbered(label: str, values, label_name: str, value_name: str):
+    """The values of an array as array<struct<label, idx, value>>."""
+    return F.transform(values, lambda v, i: F.struct(F.lit(label).alias(label_name), i.alias("idx"), v.alias(value_name)))
+
+
 @query("headings")
 def q_headings(spark, sf_dir):
     c = _ctx(FX.nation_pages(spark, sf_dir))
     h = c.select("page_id", meta.headings().alias("h"))
-    parts = [h.select("page_id", F.lit(f"h{i}").alias("level"), F.posexplode(f"h.h{i}").alias("idx", "text")) for i in range(1, 7)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    rows = F.flatten(F.array(*[_numbered(f"h{i}", F.col(f"h.h{i}"), "level", "text") for i in range(1, 7)]))
+    return h.select("page_id", F.inline(rows))
 
 
 @query("text_stats")
@@ -292,9 +294,8 @@ def q_external_domains(spark, sf_dir):
 @query("mailto_tel")
 def q_mailto_tel(spark, sf_dir):
     l = _customer_links(spark, sf_dir)
-    m = l.select("page_id", F.lit("mailto").alias("kind"), F.posexplode(links.mailto(F.col("anc"))).alias("idx", "value"))
-    t = l.select("page_id", F.lit("tel").alias("kind"), F.posexplode(links.tel(F.col("anc"))).alias("idx", "value"))
-    return m.unionByName(t)
+    rows = F.concat(_numbered("mailto", links.mailto(F.col("anc")), "kind", "value"), _numbered("tel", links.tel(F.col("anc")), "kind", "value"))
+    return l.select("page_id", F.inline(rows))
 
 
 def _part_ctx(spark, sf_dir):
@@ -483,10 +484,7 @@ def q_robots_rules(spark, sf_dir):
 def q_robots_filter(spark, sf_dir):
     rules = robots.robots_rules(FX.robots_table(spark, sf_dir))
     urls = FX.robots_urls(spark, sf_dir)
-    out = None
-    for agent in [dims.DEFAULT_USER_AGENT, "MyBot/1.0"]:
-        r = robots.can_fetch(urls, rules, agent).withColumn("agent", F.lit(robots.agent_token(agent)))
-        out = r if out is None else out.unionByName(r)
+    out = robots.can_fetch_agents(urls, rules, [dims.DEFAULT_USER_AGENT, "MyBot/1.0"])
     return out.select("l_orderkey", "l_linenumber", "variant", "agent", "allowed")
 
 
@@ -523,7 +521,8 @@ def _crawl(spark, sf_dir):
 
     checkpoint_dir(spark)
     corpus = with_envelope(FX.graph_pages(spark, sf_dir))
-    return crawl.crawl(spark, None, None, GRAPH_SEED, GRAPH_DEPTH, GRAPH_MAX_PAGES, pages=corpus)
+    rules = robots.robots_rules(FX.graph_robots(spark, sf_dir))
+    return crawl.crawl(spark, None, None, GRAPH_SEED, GRAPH_DEPTH, GRAPH_MAX_PAGES, rules=rules, pages=corpus)
 
 
 @query("crawl_bfs")
@@ -613,7 +612,12 @@ def q_list_preview(spark, sf_dir):
 def q_run_report(spark, sf_dir):
     recs, _ = _crawl(spark, sf_dir)
     pages = recs.select("outcome")
-    return R.run_report(F.lit(GRAPH_SEED), "crawl", GRAPH_DEPTH, pages, None, None, health.link_validation(_link_status(spark, sf_dir)))
+    summary = robots.robots_summary(FX.graph_robots(spark, sf_dir))
+    found = robots.sitemap_found(robots.sitemaps(summary.withColumn("base", F.lit("https://g.example.com")), FX.graph_url_status(spark, sf_dir)))
+    return R.run_report(F.lit(GRAPH_SEED), "crawl", GRAPH_DEPTH, pages,
+                        summary.select(F.col("exists").alias("robots_exists"), F.col("disallow_count").alias("robots_disallow_count")),
+                        found.select(F.col("found").alias("sitemap_found"), F.col("checked").alias("sitemaps_checked")),
+                        health.link_validation(_link_status(spark, sf_dir)))
 
 
 @query("page_size")
@@ -635,18 +639,16 @@ def q_page_flags(spark, sf_dir):
 @query("stream_page_report")
 def q_stream_page_report(spark, sf_dir):
     """The row-local sections computed by a file stream over the pages table, read back."""
-    inbox, out, ck = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
-    spark.read.parquet(table_path(sf_dir, "pages")).write.parquet(inbox)
-    S.stream_report(spark, inbox, out, ck)
+    out, ck = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
+    S.stream_report(spark, table_path(sf_dir, "pages"), out, ck)
     return spark.read.parquet(out)
 
 
 @query("stream_visited_dedup")
 def q_stream_visited_dedup(spark, sf_dir):
     """Distinct fragment-less URLs, kept by a streaming de-duplication over the pages table."""
-    inbox, out, ck = scratch_path(spark, "dedup-in"), scratch_path(spark, "dedup-out"), scratch_path(spark, "dedup-ck")
-    spark.read.parquet(table_path(sf_dir, "pages")).write.parquet(inbox)
-    src = spark.readStream.schema(S.PAGE_SCHEMA).parquet(inbox)
+    out, ck = scratch_path(spark, "dedup-out"), scratch_path(spark, "dedup-ck")
+    src = S.page_stream(spark, table_path(sf_dir, "pages"))
     q = (S.stream_dedup(src).select("norm").writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", ck).trigger(availableNow=True).start())
     q.awaitTermination()

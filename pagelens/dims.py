@@ -30,6 +30,9 @@ STOPWORDS = [
     "yourselves", "www", "com", "http", "https", "html",
 ]
 
+# HTML elements without content
+VOID_ELEMENTS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
+
 # technology name -> patterns (searched case-insensitively over html + " " + "k:v k:v ...")
 TECH_SIGNATURES = [
     ("WordPress", [r"wp-content", r"wp-includes", r"/wp-json/"]),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import html as H
 from pagelens.functions.urls import resolve
-from pagelens.operators.parse import BASE, TOKS, attr, inside, let, starts, tags, truthy, page_cols
+from pagelens.operators.parse import attr, inside, let, nested_starts, page_cols, spans, tags, truthy
 
 
 @page_cols
@@ -33,38 +33,14 @@ def forms(toks: Column | None = None, base: Column | None = None) -> Column:
             F.exists(typed, lambda x: x["type"] == "password").alias("has_password_field"),
         )
 
-    return let(tags(["input", "textarea", "select"], toks), lambda fl: F.transform(starts("form", toks), lambda f: one(f, fl)))
-
-
-def nested_spans(toks: Column, name: str) -> Column:
-    """Start/end pairs of one element name with proper nesting (a stack over that name's marks;
-    an end tag closes the innermost open one, stray end tags are ignored, unclosed ones run to the
-    end of the page). array<struct<o INT, e INT>>. Cost is quadratic in the number of marks of
-    this one name on a page, so it is used only for tables."""
-    m = H.marks(toks, name)
-    n = F.size(toks)
-    init = F.struct(F.array().cast("array<int>").alias("stack"), F.array().cast("array<struct<o:int,e:int>>").alias("pairs"))
-
-    def step(acc, x):
-        st, pr = acc["stack"], acc["pairs"]
-        push = F.struct(F.concat(st, F.array(x["i"])).alias("stack"), pr.alias("pairs"))
-        pop = F.struct(
-            F.slice(st, 1, F.greatest(F.size(st) - 1, F.lit(0))).alias("stack"),
-            F.concat(pr, F.array(F.struct(F.element_at(st, -1).alias("o"), x["i"].alias("e")))).alias("pairs"),
-        )
-        return F.when(x["kind"] == "start", push).when(F.size(st) == 0, acc).otherwise(pop)
-
-    def finish(acc):
-        return F.concat(acc["pairs"], F.transform(acc["stack"], lambda s: F.struct(s.alias("o"), n.alias("e"))))
-
-    return F.aggregate(m, init, step, finish)
+    return let(tags(["input", "textarea", "select"], toks), lambda fl: F.transform(nested_starts("form", toks), lambda f: one(f, fl)))
 
 
 @page_cols
 def tables(toks: Column | None = None) -> Column:
     """Per <table>: number of <tr> inside (nested tables included) and the number of <td>/<th>
     inside its first row."""
-    spans = nested_spans(toks, "table")
+    nested = let(H.marks(toks, "table"), lambda m: spans(m, F.size(toks)))
 
     def one(sp, trs, cells):
         rows = F.filter(trs, lambda r: (r["i"] > sp["o"]) & (r["i"] < sp["e"]))
@@ -74,9 +50,9 @@ def tables(toks: Column | None = None) -> Column:
         )
         return F.struct(sp["o"].alias("i"), F.size(rows).cast("bigint").alias("rows"), ncols.cast("bigint").alias("columns_approx"))
 
-    ordered = F.array_sort(spans, lambda l, r: F.when(l["o"] < r["o"], -1).when(l["o"] > r["o"], 1).otherwise(0))
+    ordered = F.array_sort(nested)
     cells_all = F.filter(toks, lambda x: (x["kind"] == "start") & x["name"].isin("td", "th"))
-    per_table = let(starts("tr", toks), lambda trs: let(cells_all, lambda cells: F.transform(ordered, lambda sp: one(sp, trs, cells))))
+    per_table = let(nested_starts("tr", toks), lambda trs: let(cells_all, lambda cells: F.transform(ordered, lambda sp: one(sp, trs, cells))))
     return F.transform(per_table, lambda t: F.struct(t["rows"].alias("rows"), t["columns_approx"].alias("columns_approx")))
 
 

@@ -140,10 +140,3 @@ def fetch_table(pages: DataFrame) -> DataFrame:
 def edges_from_fetches(fetches: DataFrame) -> DataFrame:
     """(src, rank, dst) from ``fetch_table`` output."""
     return fetches.filter(F.col("outcome") == "ok").select(F.col("url").alias("src"), F.posexplode("internal").alias("rank", "dst"))
-
-
-def edges_from_report(report: DataFrame) -> DataFrame:
-    """Internal links of ok pages in document order, fragment cut: (src, rank, dst). ``src`` is the
-    requested URL (the visited key), the links are relative to the final URL."""
-    ok = report.filter(F.col("outcome") == "ok").select(F.col("url").alias("src"), F.posexplode("links.internal").alias("rank", "l"))
-    return ok.select("src", "rank", cut_fragment(F.col("l.url")).alias("dst"))

@@ -3,13 +3,13 @@ unique-link table (C9-C12, C24, D5, E1)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens import dims
 from pagelens.functions import html as H
 from pagelens.functions.urls import cut_fragment, netloc, resolve_link
-from pagelens.operators.parse import BASE, TOKS, attr, let, rel_tokens, starts, page_cols
+from pagelens.operators.parse import attr, let, rel_tokens, starts, page_cols
 
 
 @page_cols
@@ -159,8 +159,3 @@ def unique_links(links: DataFrame, order_cols: list[str]) -> DataFrame:
         F.max_by(F.struct("text", "nofollow"), o).alias("last"),
         F.count(F.lit(1)).alias("sightings"),
     ).select("url", "first_seen", F.col("last.text").alias("text"), F.col("last.nofollow").alias("nofollow"), "sightings")
-
-
-def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")

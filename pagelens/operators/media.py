@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelens import dims
 from pagelens.functions.urls import resolve
-from pagelens.operators.parse import BASE, TOKS, attr, inside, let, rel_tokens, starts, tags, truthy, page_cols
+from pagelens.operators.parse import attr, inside, let, nested_starts, rel_tokens, tags, truthy, page_cols
 
 
 def _or(a: Column, b: Column) -> Column:
@@ -50,7 +50,7 @@ def videos(toks: Column | None = None, base: Column | None = None) -> Column:
         )
         return F.array_sort(F.array_distinct(F.concat(own, nested)))
 
-    return let(starts("video", toks), build)
+    return let(nested_starts("video", toks), build)
 
 
 @page_cols

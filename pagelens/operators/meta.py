@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import html as H
 from pagelens.functions.urls import resolve
-from pagelens.operators.parse import BASE, TOKS, attr, let, rel_tokens, starts, tags, truthy, page_cols
+from pagelens.operators.parse import attr, let, rel_tokens, starts, tags, truthy, page_cols
 
 META_NAMES = ["description", "keywords", "author", "viewport", "robots", "generator"]
 

@@ -16,7 +16,6 @@ from pagelens.functions import html as H
 import functools
 import inspect
 
-TOKS = TEXT = BASE = None  # defaults: filled in by ``page_cols`` with the parse-context columns
 _DEFAULT_COLS = {"toks": "toks", "text": "text", "base": "final_url"}
 
 
@@ -83,6 +82,43 @@ def starts(name: str, toks: Column | None = None) -> Column:
     return let(H.marks(toks, name), build)
 
 
+@page_cols
+def nested_starts(name: str, toks: Column | None = None) -> Column:
+    """As ``starts``, with ends by nesting: an end tag closes the innermost open element of its name,
+    stray end tags are ignored, unclosed elements run to the end of the page. Where no element holds
+    another of its name the next mark is the end; only other pages need the stack."""
+
+    def build(m):
+        opened = F.filter(m, lambda x: x["kind"] == "start")
+        after = F.slice(m, 2, F.size(m))
+        holds_own = F.exists(F.zip_with(m, after, lambda x, y: (x["kind"] == "start") & F.coalesce(y["kind"] == "start", F.lit(False))), lambda b: b)
+        ends = F.transform(F.array_sort(spans(m, F.size(toks))), lambda p: p["e"])
+        stacked = F.zip_with(opened, ends, lambda s, e: F.struct(s["i"].alias("i"), H.attr_map(s["t"]).alias("a"), e.alias("end"), s["t"].alias("t")))
+        return F.when(holds_own, stacked).otherwise(starts(name, toks))
+
+    return let(H.marks(toks, name), build)
+
+
+def spans(marks: Column, n: Column) -> Column:
+    """Start/end pairs of the marks of one name by a stack: array<struct<o INT, e INT>>. Cost is
+    quadratic in the number of marks."""
+    init = F.struct(F.array().cast("array<int>").alias("stack"), F.array().cast("array<struct<o:int,e:int>>").alias("pairs"))
+
+    def step(acc, x):
+        st, pr = acc["stack"], acc["pairs"]
+        push = F.struct(F.concat(st, F.array(x["i"])).alias("stack"), pr.alias("pairs"))
+        pop = F.struct(
+            F.slice(st, 1, F.greatest(F.size(st) - 1, F.lit(0))).alias("stack"),
+            F.concat(pr, F.array(F.struct(F.element_at(st, -1).alias("o"), x["i"].alias("e")))).alias("pairs"),
+        )
+        return F.when(x["kind"] == "start", push).when(F.size(st) == 0, acc).otherwise(pop)
+
+    def finish(acc):
+        return F.concat(acc["pairs"], F.transform(acc["stack"], lambda s: F.struct(s.alias("o"), n.alias("e"))))
+
+    return F.aggregate(marks, init, step, finish)
+
+
 @page_cols
 def tags(names: list[str], toks: Column | None = None) -> Column:
     """Start tags of the given names with attributes, document order: array<struct<i,name,a,t>>."""

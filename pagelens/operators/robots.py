@@ -23,6 +23,7 @@ from pagelens.functions.urls import _split
 
 DISALLOW_RX = r"(?im)^\s*Disallow:\s*(\S*)"
 SITEMAP_RX = r"(?im)^\s*Sitemap:\s*(\S+)"
+PREFIX_RX = r"(?s)^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?"
 LINE_BREAK_RX = r"\r\n|[\n\r\x{0b}\f\x{1c}\x{1d}\x{1e}\x{85}\x{2028}\x{2029}]"
 
 
@@ -122,51 +123,62 @@ def agent_token(user_agent: str) -> str:
 
 
 def url_key(url: Column) -> Column:
-    """What a URL is matched as: unquoted, path + params + query + fragment, re-quoted; "/" if empty."""
-    s = _split(pct_unquote(url))
-    rest = F.concat(
-        s["p"],
-        F.when(s["q"] != "", F.concat(F.lit("?"), s["q"])).otherwise(F.lit("")),
-        F.when(s["f"] != "", F.concat(F.lit("#"), s["f"])).otherwise(F.lit("")),
-    )
+    """What a URL is matched as: unquoted, path + params + query + fragment (delimiters of empty parts
+    left out), re-quoted; "/" if empty. Rare steps run only on URLs that need them."""
     from pagelens.operators.parse import let
 
-    return let(pct_quote(rest), lambda q: F.when(q == "", F.lit("/")).otherwise(q))
-
-
-def host_rules(rules: DataFrame, user_agent: str = dims.DEFAULT_USER_AGENT) -> DataFrame:
-    """The rule group that applies to ``user_agent`` on each host, as one row per host:
-    (host, rules ARRAY<STRUCT<rule_no, path, allow>>) in file order. The first non-default group
-    whose agent is a substring of the crawler's token wins, else the default group. A row holds
-    one robots file's group, so its size is bounded by the file."""
-    token = agent_token(user_agent)
-    ent = rules.select("host", "entry", "agents", "is_default").distinct()
-    matches = ent.filter(~F.col("is_default") & F.exists("agents", lambda a: F.instr(F.lit(token), F.lower(a)) > 0))
-    chosen = matches.groupBy("host").agg(F.min("entry").alias("entry"))
-    default = ent.filter("is_default").select("host", F.col("entry").alias("dentry"))
-    pick = chosen.join(default, "host", "full").select("host", F.coalesce("entry", "dentry").alias("entry"))
+    def key(x):
+        rest = F.regexp_replace(F.when(x.contains("%"), pct_unquote(x)).otherwise(x), PREFIX_RX, "")
+        trimmed = let(rest, lambda r: F.when(r.contains("?"), F.regexp_replace(r, r"(?s)^([^?#]*)\?(#|\z)", "$1$2")).otherwise(r))
+        trimmed = let(trimmed, lambda r: F.when(r.endswith("#"), F.regexp_replace(r, r"(?s)^([^#]*)#\z", "$1")).otherwise(r))
+        return let(pct_quote(trimmed), lambda q: F.when(q == "", F.lit("/")).otherwise(q))
+
+    return let(url, key)
+
+
+def host_rules(rules: DataFrame, user_agents: list[str]) -> DataFrame:
+    """The rule groups that apply to the ``user_agents`` on each host, as one row per host:
+    (host, rules MAP<agent token, ARRAY<STRUCT<rule_no, path, allow>>>) in file order. The first
+    non-default group whose agent is a substring of the crawler's token wins, else the default
+    group. A row holds groups of one robots file, so its size is bounded by the file."""
+    tokens = sorted({agent_token(a) for a in user_agents})
+    ent = rules.select("host", "entry", "agents", "is_default").distinct().withColumn("token", F.explode(F.array(*[F.lit(t) for t in tokens])))
+    named = ~F.col("is_default") & F.exists("agents", lambda a: F.contains(F.col("token"), F.lower(a)))
+    pick = ent.groupBy("host", "token").agg(
+        F.coalesce(F.min(F.when(named, F.col("entry"))), F.min(F.when(F.col("is_default"), F.col("entry")))).alias("entry"))
     active = rules.join(pick, ["host", "entry"])
-    return active.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("rule_no", "path", "allow"))).alias("rules"))
+    group = active.groupBy("host", "token").agg(F.array_sort(F.collect_list(F.struct("rule_no", "path", "allow"))).alias("rules"))
+    return group.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("token", "rules"))).alias("rules"))
 
 
-def can_fetch(urls: DataFrame, rules: DataFrame, user_agent: str = dims.DEFAULT_USER_AGENT, url_col: str = "url") -> DataFrame:
-    """D3: adds ``allowed`` to every URL row.
+def can_fetch_agents(urls: DataFrame, rules: DataFrame, user_agents: list[str], url_col: str = "url") -> DataFrame:
+    """D3: every URL row once for each user agent, with ``agent`` (its token) and ``allowed``.
 
-    URL rows meet their host's applicable rule group in one equi-join on host (AQE broadcasts the
+    URL rows meet their host's applicable rule groups in one equi-join on host (AQE broadcasts the
     per-host table when it is small and splits a host that holds a large share of the URLs), and
     the first rule in file order whose path is a prefix of the URL key decides; no rule or no
-    robots row allows. The URL side is read once and never regrouped.
+    robots row allows. The URL side is read once, its key is made once, and it is never regrouped.
     """
     from pagelens.functions.urls import netloc
     from pagelens.operators.parse import let
 
-    hr = host_rules(rules, user_agent).withColumnRenamed("host", "_rhost")
+    tokens = sorted({agent_token(a) for a in user_agents})
+    hr = host_rules(rules, user_agents).select(F.col("host").alias("_rhost"), F.col("rules").alias("_rules"))
     u = urls.withColumn("_host", F.lower(netloc(F.col(url_col))))
     j = u.join(hr, u["_host"] == hr["_rhost"], "left")
-    first = let(url_key(F.col(url_col)), lambda k: F.get(
-        F.filter(F.coalesce(F.col("rules"), F.array().cast("array<struct<rule_no:int,path:string,allow:boolean>>")),
-                 lambda r: (r["path"] == "*") | F.startswith(k, r["path"])), 0))
-    return j.select(*[F.col(c) for c in urls.columns], F.coalesce(first["allow"], F.lit(True)).alias("allowed"))
+
+    def verdict(key, token):
+        mine = F.coalesce(F.element_at("_rules", F.lit(token)), F.array().cast("array<struct<rule_no:int,path:string,allow:boolean>>"))
+        first = F.get(F.filter(mine, lambda r: (r["path"] == "*") | F.startswith(key, r["path"])), 0)
+        return F.struct(F.lit(token).alias("agent"), F.coalesce(first["allow"], F.lit(True)).alias("allowed"))
+
+    each = let(url_key(F.col(url_col)), lambda k: F.array(*[verdict(k, t) for t in tokens]))
+    return j.select(*[F.col(c) for c in urls.columns], F.inline(each))
+
+
+def can_fetch(urls: DataFrame, rules: DataFrame, user_agent: str = dims.DEFAULT_USER_AGENT, url_col: str = "url") -> DataFrame:
+    """D3 for one user agent: adds ``allowed`` to every URL row."""
+    return can_fetch_agents(urls, rules, [user_agent], url_col).drop("agent")
 
 
 def sitemaps(summary: DataFrame, status: DataFrame) -> DataFrame:

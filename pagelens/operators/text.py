@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelens import dims
 from pagelens.functions import html as H
-from pagelens.operators.parse import TEXT, TOKS, let, page_cols
+from pagelens.operators.parse import let, page_cols
 
 WORD = dims.WORD_PATTERN
 

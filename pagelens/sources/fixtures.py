@@ -114,7 +114,7 @@ def part_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supplier_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One page per supplier with up to three forms."""
+    """One page per supplier with up to four forms, one of them never closed."""
     s = read(spark, sf_dir, "supplier")
     k = F.col("s_suppkey")
     html = F.concat(
@@ -125,6 +125,7 @@ def supplier_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         _if(k % 4 == 0, '<textarea name="note"></textarea>'),
         _if(k % 4 == 1, '<select name="nation"><option>a</option></select>'),
         F.lit("</form>"),
+        _if(k % 7 == 0, '<form action="/open"><input name="o">'),
         _if(k % 2 == 0, '<form><input type="email" name="mail"><input type="" name="blank"></form>'),
         F.lit("</body></html>"),
     )
@@ -145,6 +146,7 @@ def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.concat(
         F.lit("<html><body><table>"), header, F.coalesce(F.col("trs"), F.lit("")), F.lit("</table>"),
         _if(k % 5 == 0, "<table><tr><td>a</td></tr><tr><td><table><tr><td>n</td></tr></table></td></tr></table>"),
+        _if(k % 7 == 0, "<table><tr><td>a</td><td><table><tr><td>n</td></tr></table></td><td>b</td></tr></table>"),
         F.lit("</body></html>"),
     )
     return j.select(k.alias("page_id"), _fmt("https://ord.example.com/o/%d", k).alias("url"), html.alias("html"))
@@ -276,6 +278,24 @@ def certs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def graph_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The robots file of the crawl corpus' host: three pages closed to all agents, and a sitemap named
+    after the corpus' last page."""
+    mx = read(spark, sf_dir, "orders").agg(F.max("o_orderkey").alias("mx"))
+    body = F.format_string("User-agent: *\nDisallow: /p/13\nDisallow: /p/18\nDisallow: /p/30\nSitemap: https://g.example.com/sm-%d.xml\n", "mx")
+    return mx.select(F.lit("g.example.com").alias("host"), F.lit(200).alias("status_code"), body.alias("body"))
+
+
+def graph_url_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sitemap probes of the crawl corpus' host: the declared one is gone, the default one is there."""
+    mx = read(spark, sf_dir, "orders").agg(F.max("o_orderkey").alias("mx"))
+    rows = F.array(
+        F.struct(_fmt("https://g.example.com/sm-%d.xml", F.col("mx")).alias("url"), F.lit(404).alias("status_code")),
+        F.struct(F.lit("https://g.example.com/sitemap.xml").alias("url"), F.lit(200).alias("status_code")),
+    )
+    return mx.select(F.explode(rows).alias("r")).select("r.url", "r.status_code")
+
+
 def graph_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored crawl corpus: page i per order key links to 2i+1 and 2i+2 (when they exist), back
     to the root, and to a fragment variant of its first child. Every 17th page is stored as a PDF,

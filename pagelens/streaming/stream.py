@@ -43,12 +43,19 @@ def flat_sections(df: DataFrame) -> DataFrame:
     )
 
 
+def page_stream(spark: SparkSession, path: str) -> DataFrame:
+    """The page files at ``path`` (a folder, or one file) as a stream; nothing is copied."""
+    if path.endswith(".parquet"):
+        folder, _, name = path.rpartition("/")
+        return spark.readStream.schema(PAGE_SCHEMA).option("pathGlobFilter", name).parquet(folder)
+    return spark.readStream.schema(PAGE_SCHEMA).parquet(path)
+
+
 def stream_report(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str) -> None:
     """Read page files as a stream, add the row-local sections, write parquet; runs every
     available file once (``availableNow``) and stops. The entity map is a stream-static broadcast
     join against one row."""
-    src = spark.readStream.schema(PAGE_SCHEMA).parquet(in_dir)
-    src = H.with_entities(src)
+    src = H.with_entities(page_stream(spark, in_dir))
     q = (
         flat_sections(row_local_sections(src)).writeStream.format("parquet")
         .option("path", out_dir).option("checkpointLocation", checkpoint)

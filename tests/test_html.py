@@ -140,3 +140,21 @@ def test_script_body_after_quoted_angle_bracket(spark):
 def test_character_references(spark, ref, want):
     df = H.with_entities(spark.createDataFrame([(ref,)], "t string"))
     assert df.select(H.unescape(F.col("t"))).first()[0] == want
+
+
+def test_containment_by_nesting(spark):
+    nested = "<table><tr><td>a</td><td><table><tr><td>n</td></tr></table></td><td>b</td></tr><tr><td>c</td></tr></table>"
+    assert [(t.rows, t.columns_approx) for t in one(spark, nested, blocks.tables())] == [(3, 4), (1, 1)]
+    open_form = '<form><input name="a"></div><form><input name="b"></form></form></form><input name="c">'
+    assert [[i.name for i in f.inputs] for f in one(spark, open_form, blocks.forms())] == [["a", "b"], ["b"]]
+    unclosed = '<form><input name="a"><form><input name="b"></form><input name="c">'
+    assert [[i.name for i in f.inputs] for f in one(spark, unclosed, blocks.forms())] == [["a", "b", "c"], ["b"]]
+    assert one(spark, "<p>none</p>", blocks.forms()) == []
+
+
+def test_void_elements_hold_nothing(spark):
+    from pagelens.catalog import elements
+
+    df = spark.createDataFrame([(1, "u", '<div><br><img alt="a>b"><p>t</div>')], "page_id bigint, url string, html string")
+    got = {(r["name"], r["pos"]): r["end_pos"] for r in elements(df).collect()}
+    assert got == {("div", 0): 5, ("br", 1): 1, ("img", 2): 2, ("p", 3): 6}

@@ -1,3 +1,4 @@
+from urllib.parse import quote, unquote, urlparse, urlunparse
 from urllib.robotparser import RobotFileParser
 
 from pagelens.operators import robots
@@ -31,3 +32,20 @@ def test_summary_empty_disallow_takes_next_word(spark):
     got = {r.host: r for r in robots.robots_summary(rob).collect()}
     assert got["h"].disallow_rules == ["foo:"] and got["h"].sitemaps == ["https://h/s.xml"]
     assert got["g"].exists is False and got["g"].disallow_count == 0
+
+
+def test_several_agents_in_one_pass(spark):
+    body = "User-agent: *\nDisallow: /a\n\nUser-agent: one\nDisallow: /b\n"
+    rules = robots.robots_rules(spark.createDataFrame([("h.example", 200, body)], "host string, status_code int, body string"))
+    urls = ["https://h.example/a?", "https://h.example/b#", "https://h.example", "https://other.example/a", "https://h.example/%62x?q=1#f"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = {(r.url, r.agent): r.allowed for r in robots.can_fetch_agents(df, rules, ["One/1", "two"]).collect()}
+    blocked = {(urls[0], "two"), (urls[1], "one"), (urls[4], "one")}
+    assert got == {(u, a): (u, a) not in blocked for u in urls for a in ("one", "two")}
+
+
+def test_url_keys(spark):
+    urls = ["https://h/a?", "https://h/a?#", "https://h/a#", "https://h/a?#f", "https://h/a?x#f?", "https://h", "//h/p", "/p?q", "a#b#c", "https://h/a?b?"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert [r.k for r in df.select(robots.url_key(df.url).alias("k")).collect()] == [
+        quote(urlunparse(("", "", *urlparse(unquote(u))[2:]))) or "/" for u in urls]
