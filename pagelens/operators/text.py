@@ -93,9 +93,9 @@ def keyword_density(text: Column | None = None, top_n: int = dims.TOP_KEYWORDS)
 
     Row-local: the kept words are sorted with their positions, word runs are found by comparing
     neighbours, and each run's length is its count and its first position the first occurrence.
-    O(n log n) per page inside the JVM, no shuffle. array<struct<word, count, density_pct>>.
+    O(n log n) per page inside the JVM, no shuffle; stop words are a hash-set test (``isin``). array<struct<word, count, density_pct>>.
     """
-    stop = F.array(*[F.lit(w) for w in dims.stopword_list()])
+    stop = dims.stopword_list()
     low = F.transform(words(text), lambda w: F.lower(w))
     # the length test is per occurrence (cheap); the stop-word test runs once per distinct word
     cand = F.filter(F.transform(low, lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), lambda x: F.length(x["word"]) > 2)
@@ -117,11 +117,11 @@ def keyword_density(text: Column | None = None, top_n: int = dims.TOP_KEYWORDS)
                     F.get(srt, F.get(rs, j))["word"].alias("word"),
                 ),
             )
-            kept = F.filter(runs, lambda r: ~F.array_contains(stop, F.replace(r["word"], F.lit("'"), F.lit(""))))
+            kept = F.filter(runs, lambda r: ~F.replace(r["word"], F.lit("'"), F.lit("")).isin(stop))
 
             def top_of(kr):
                 total = F.aggregate(kr, F.lit(0).cast("bigint"), lambda acc, r: acc - r["neg_count"])
-                top = F.slice(F.array_sort(kr), 1, top_n)
+                top = F.slice(F.sort_array(kr), 1, top_n)
                 return let(total, lambda tot: F.transform(
                     top,
                     lambda r: F.struct(
@@ -135,4 +135,4 @@ def keyword_density(text: Column | None = None, top_n: int = dims.TOP_KEYWORDS)
 
         return let(run_starts, runs_of)
 
-    return let(F.array_sort(cand), count_runs)
+    return let(F.sort_array(cand), count_runs)
