@@ -44,8 +44,9 @@ def flat_sections(df: DataFrame) -> DataFrame:
 
 
 def page_stream(spark: SparkSession, path: str) -> DataFrame:
-    """The page files at ``path`` (a folder, or one file) as a stream; nothing is copied."""
-    if path.endswith(".parquet"):
+    """The page files at ``path`` (a folder, whatever its name, or one file) as a stream; nothing is copied."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
         folder, _, name = path.rpartition("/")
         return spark.readStream.schema(PAGE_SCHEMA).option("pathGlobFilter", name).parquet(folder)
     return spark.readStream.schema(PAGE_SCHEMA).parquet(path)

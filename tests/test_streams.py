@@ -31,6 +31,14 @@ def test_page_stream_reads_folders_and_single_files(spark):
         assert rows(spark.read.parquet(out)) == rows(spark.read.parquet(at).select("page_id"))
 
 
+def test_folder_named_like_a_file(spark):
+    path = scratch_path(spark, "t-parts") + "/pages.parquet"
+    spark.createDataFrame([(k, f"u{k}#a", "h") for k in range(20)], S.PAGE_SCHEMA).repartition(4).write.parquet(path)
+    out, ck = scratch_path(spark, "t-out"), scratch_path(spark, "t-ck")
+    S.stream_report(spark, path, out, ck)
+    assert rows(spark.read.parquet(out).select("page_id")) == [(k,) for k in range(20)]
+
+
 def test_dedup_within_watermark(spark):
     path, out, ck = (scratch_path(spark, f"t-{n}") for n in ("in", "out", "ck"))
     schema = "url string, fetched_at timestamp"
