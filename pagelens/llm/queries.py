@@ -190,7 +190,7 @@ SELECT d.doc_id, coalesce(n_matches, 0)::BIGINT AS n_matches, license, dice, coa
 
 @query("op8_license_scan", _license_oracle())
 def q_license_scan(spark, sf_dir):
-    """8: licence notices in the lines of every text."""
+    """8: licence notices anywhere in every text."""
     from pagelens.llm.license_scan import license_scan
 
-    return license_scan(_documents(spark, sf_dir))
+    return license_scan(_documents(spark, sf_dir)).drop("best")
