@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next stage's ``docs``. All but the last return the columns of ``documents``.
+
+Decisions and copies hold for single rows: a stage stores its input with a row number, which is the key
+the operators see, so null and repeated ids are rows of their own.
 """
 
 from __future__ import annotations
@@ -9,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelens.llm.common import written
 from pagelens.llm.exact_dedup import exact_dedup
 from pagelens.llm.mixing import pareto_mix
 from pagelens.llm.ngram_join import near_duplicates
@@ -17,32 +21,49 @@ from pagelens.llm.quality import quality_rules
 from pagelens.session import scratch_path, table_path
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is among ``ids`` (one column of distinct ids)."""
-    ids = ids.select(F.col(ids.columns[0]).alias("__id"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a stored row number, ``__row``."""
+    return written(docs.withColumn("__row", F.monotonically_increasing_id()), "stage-rows")
+
+
+def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The numbered documents whose row is among ``kept`` (one column of distinct rows), without the number."""
+    kept = kept.select(F.col(kept.columns[0]).alias("__kept"))
+    return rows.join(kept, F.col("__row") == F.col("__kept"), "left_semi").drop("__row")
+
+
+def _owners(rows: DataFrame, groups: DataFrame, keep: str) -> DataFrame:
+    """The row of each group (__row, group) with the smallest or largest id, null ids last; of equal ids one row."""
+    one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row") if keep == "min" else F.struct("doc_id", "__row")
+    named = groups.join(rows.select("__row", "doc_id"), "__row")
+    return named.groupBy("group").agg((F.min(one) if keep == "min" else F.max(one)).alias("own")).select("own.__row")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """6: documents that the quality rules reject go."""
-    return _only(docs, quality_rules(docs).filter("kept").select("doc_id"))
+    rows = _numbered(docs)
+    return _only(rows, quality_rules(rows, id_col="__row").filter("kept").select("__row"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """10: of equal texts, the document with the largest id stays."""
-    return _only(docs, exact_dedup(docs, keep="max").filter("kept").select("doc_id"))
+    rows = _numbered(docs)
+    groups = exact_dedup(rows, keep="max", id_col="__row").select("__row", F.col("keep_id").alias("group"))
+    return _only(rows, _owners(rows, groups, "max"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """9: of documents linked by five-word shingles with a Jaccard similarity of 0.8 or more, the smallest id stays."""
-    groups = near_duplicates(docs, width=5, threshold=(80, 100))
-    return _only(docs, groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
+    rows = _numbered(docs)
+    groups = near_duplicates(rows, width=5, threshold=(80, 100), id_col="__row").select("__row", F.col("component_id").alias("group"))
+    return _only(rows, _owners(rows, groups, "min"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """4: documents repeated or left out so that the sources' words meet their weights."""
-    copies = pareto_mix(docs).select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies")).filter("__copies > 0")
-    out = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__id"]))
+    rows = _numbered(docs)
+    copies = pareto_mix(rows, row_col="__row").filter("copies > 0").select(F.col("__row").alias("__of"), F.col("copies").alias("__copies"))
+    out = rows.join(copies, F.col("__row") == F.col("__of"))
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "__copies"))).select(*docs.columns)
 
 

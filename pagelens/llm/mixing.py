@@ -14,7 +14,7 @@ reruns and retried tasks agree.
 
 Defined cases: null text has size 0; null sources are a source of their own, ordered last; documents
 without words are taken ``floor(m)`` times or once more, at 0 words; rows with the same id have the same
-rank and are ordered by size; an empty table gives no rows; a mix without words has targets of 0.
+rank and are ordered by size, then by ``row_col`` if it is given, which also ranks rows without id; an empty table gives no rows; a mix without words has targets of 0.
 """
 
 from __future__ import annotations
@@ -59,20 +59,20 @@ def targets(by_source: DataFrame, max_repeat: float = MAX_REPEAT) -> DataFrame:
     return x.withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("fixed") * F.col("weight"), F.col("cap")))).select("src", "words", "weight", "target")
 
 
-def random_unit(seed: int, id_col: str) -> Column:
-    """A number in (0, 1) from the digest of seed and id (52 bits)."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+def random_unit(seed: int, id_col: str, none: Column | None = None) -> Column:
+    """A number in (0, 1) from the digest of seed and id (52 bits); ``none`` stands for a null id."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("") if none is None else none)).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint").cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
 def pareto_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-               weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_repeat: int = MAX_REPEAT, seed: int = 17) -> DataFrame:
-    """One row per document: id, size, source_size, target, taken (words), copies."""
+               weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_repeat: int = MAX_REPEAT, seed: int = 17, row_col: str | None = None) -> DataFrame:
+    """One row per document: id, size, source_size, target, taken (words), copies, and ``row_col``, a distinct number of each row, if given."""
     prepare(docs.sparkSession)
-    u = random_unit(seed, "id")
+    u = random_unit(seed, "id", F.concat(F.lit("row "), F.col("row").cast("string")) if row_col else None)
     # rank = (u / (1-u)) / odds, mapped to (0, 1) by r / (1 + r), which keeps the order
     odds = F.sqrt(F.col("size").cast("double") + 1.0)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), n_words(F.col(text_col)).alias("size"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), n_words(F.col(text_col)).alias("size"), (F.col(row_col) if row_col else F.lit(0)).cast("bigint").alias("row"))
     rows = written(rows.withColumn("place", u / (u + (1 - u) * odds)), "mix-sizes")
     by_source = rows.groupBy("src").agg(F.sum("size").alias("words"))
     plan = targets(cycled_weights(by_source, weights), max_repeat)
@@ -83,14 +83,14 @@ def pareto_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slot = lambda level: F.floor(F.col("place") * (SLOTS ** level)).cast("bigint")
     first = _cut(rows.groupBy("src", slot(1).alias("slot")).agg(F.sum("size").alias("sum")), plan.select("src", "left"))
     in_first = rows.join(first, [rows["src"].eqNullSafe(first["s"]), slot(1) == first["cut"]]).select(
-        rows["id"], rows["src"], "size", "place", "before", "left")
+        rows["id"], rows["src"], "size", "place", "row", "before", "left")
     second = _cut(in_first.groupBy("src", slot(2).alias("slot")).agg(F.sum("size").alias("sum")),
                   in_first.groupBy("src").agg(F.min("left").alias("left"), F.min("before").alias("base")))
     in_second = in_first.join(second.select("s", "cut", F.col("before").alias("base")), [in_first["src"].eqNullSafe(F.col("s")), slot(2) == F.col("cut")])
-    order = W.partitionBy("src").orderBy("place", "size").rowsBetween(W.unboundedPreceding, -1)
+    order = W.partitionBy("src").orderBy("place", "size", "row").rowsBetween(W.unboundedPreceding, -1)
     edge = in_second.withColumn("ahead", F.col("base") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    # the place up to which documents are taken; ties of place share their id and follow in size
-    last = edge.filter(F.col("ahead") + F.col("size") / 2 <= F.col("left")).groupBy("src").agg(F.max(F.struct("place", "size")).alias("last"))
+    # the place up to which documents are taken; ties of place share their id and follow in size and row
+    last = edge.filter(F.col("ahead") + F.col("size") / 2 <= F.col("left")).groupBy("src").agg(F.max(F.struct("place", "size", "row")).alias("last"))
     edges = plan.join(first.select("s", "cut"), plan["src"].eqNullSafe(F.col("s")), "left").drop("s")
     edges = edges.join(second.select(F.col("s"), F.col("cut").alias("cut2")), edges["src"].eqNullSafe(F.col("s")), "left").drop("s")
     edges = edges.join(last.select(F.col("src").alias("s"), "last"), edges["src"].eqNullSafe(F.col("s")), "left").drop("s").withColumnRenamed("src", "s")
@@ -101,9 +101,10 @@ def pareto_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .when(slot(1) != F.col("cut"), slot(1) < F.col("cut"))
             .when(F.col("cut2").isNull(), F.lit(True))
             .when(slot(2) != F.col("cut2"), slot(2) < F.col("cut2"))
-            .otherwise(F.coalesce(F.struct("place", "size") <= F.col("last"), F.lit(False))))
+            .otherwise(F.coalesce(F.struct("place", "size", "row") <= F.col("last"), F.lit(False))))
     copies = F.col("whole") + more.cast("bigint")
-    return r.select(F.col("id").alias(id_col), "size", F.col("words").alias("source_size"), "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return r.select(F.col("id").alias(id_col), "size", F.col("words").alias("source_size"), "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"),
+                    *([F.col("row").alias(row_col)] if row_col else []))
 
 
 def _cut(sums: DataFrame, sizes: DataFrame) -> DataFrame:
