@@ -3,8 +3,9 @@
 Base rules reject texts with too few words or mostly repeated windows. Of the others, a document is
 rejected when its vector of transformed statistics is far, by Mahalanobis distance, from the centre of
 its language and source. Centre and covariance are minimum-covariance-determinant estimates over all
-rows: from medians and median deviations, concentration steps keep the ``SUPPORT`` share of rows that
-is nearest and estimate again. Statistics are kept as integers, so sums, quantiles and verdicts do not
+rows: from medians and median deviations, concentration steps keep the nearest (n + p + 1) / 2 of n rows
+(p statistics) and estimate again, so junk of nearly half a group does not enter; distances are scaled
+by their median, which makes up for the rows left out. Statistics are kept as integers, so sums, quantiles and verdicts do not
 depend on partitions, order or retries.
 
 Estimates are made for each language and source, each language, and all rows; a document is judged by
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagelens.llm.common import prepare, text_of, written
@@ -34,7 +36,6 @@ from pagelens.llm.common import prepare, text_of, written
 FEATURES = ("word_len", "symbols", "letters", "diversity")
 FLOORS = (0.35, 0.5, 0.06, 0.03)
 SCALE = 1024
-SUPPORT = 0.75
 STEPS = 4
 MIN_ROWS = 40
 #: A clean document is beyond this quantile of the chi-square distribution once in a hundred thousand.
@@ -175,7 +176,11 @@ def estimates(rows: DataFrame) -> DataFrame:
     now = written(now, "mcd-start")
     for step in range(STEPS):
         far = keyed.join(now, "key").withColumn("bin", binned(distance()))
-        cut = written(far.groupBy("key").agg(F.percentile("bin", SUPPORT).alias("cut")), f"mcd-cut{step}")
+        # few distinct bins, so the windows run over short lists whatever the size of a group
+        bins = far.groupBy("key", "bin").agg(F.count(F.lit(1)).alias("rows"))
+        upto = F.sum("rows").over(W.partitionBy("key").orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
+        support = F.floor((F.sum("rows").over(W.partitionBy("key")) + p + 1) / 2)
+        cut = written(bins.withColumn("upto", upto).withColumn("support", support).filter("upto >= support").groupBy("key").agg(F.min("bin").alias("cut")), f"mcd-cut{step}")
         near = far.join(cut, "key").filter(F.col("bin") <= F.col("cut"))
         now = written(_sums(near).mapInPandas(_estimate, "key string, mean array<double>, inverse array<double>"), f"mcd-step{step}")
     far = keyed.join(now, "key").groupBy("key").agg(F.percentile(binned(distance()), 0.5).alias("bin"))
