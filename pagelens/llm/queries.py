@@ -194,3 +194,60 @@ def q_license_scan(spark, sf_dir):
     from pagelens.llm.license_scan import license_scan
 
     return license_scan(_documents(spark, sf_dir)).drop("best")
+
+
+@query("op11_toxicity_neighbours")
+def q_toxicity_neighbours(spark, sf_dir):
+    """11: every whole text scored by its nearest labelled examples."""
+    from pagelens.llm.toxicity import toxicity
+
+    return toxicity(_documents(spark, sf_dir), spark.read.parquet(table_path(sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted", "examples")
+
+
+@query("op12_fill_in_middle", r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS u, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+             ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+c AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                  WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS s FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+""")
+def q_fill_in_middle(spark, sf_dir):
+    """12: every whole text cut and rearranged; digests of the output and of what it is restored to."""
+    from pagelens.llm.fim import fill_in_middle, restored
+
+    out = fill_in_middle(_documents(spark, sf_dir))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("fim_text")).alias("output_sha256"),
+                      sha(restored(F.col("fim_text"), F.col("form"))).alias("restored_sha256"))
+
+
+@query("op13_spelling_variants", r"""
+WITH RECURSIVE t AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+d AS (SELECT id, run, count(*) AS n FROM t GROUP BY ALL),
+x AS (SELECT *, hex(encode(id || ':' || run)) AS x FROM d),
+b AS (SELECT id, run, n, list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, (2 * i + 1)::INT, 2))::BIGINT) AS b FROM x),
+h AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, y:
+        list_reduce(list_prepend(xor(c, y), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda z, o: xor(z >> 1, (z & 1) * 3988292384)))) AS h FROM b),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+      FROM h GROUP BY 1 HAVING sum(n) >= 3 AND length(word) >= 5),
+k AS (SELECT word, n, length(word) AS l, i, substr(word, 1, i - 1) || substr(word, i + 1) AS k FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM w)),
+p AS (SELECT DISTINCT x.word, y.word AS near, y.n AS near_n FROM k x JOIN k y ON x.k = y.k AND x.i = y.i AND x.l = y.l AND x.word <> y.word
+      UNION SELECT x.word, y.word, y.n FROM k x JOIN w y ON x.k = y.word
+      UNION SELECT y.word, x.word, x.n FROM k x JOIN w y ON x.k = y.word),
+g AS (SELECT word, count(*) AS n_near, min(row(-near_n, near)) AS best FROM p GROUP BY word),
+f AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= 2 * n THEN best[2] END AS form, CASE WHEN -best[1] >= 2 * n THEN -best[1] END AS form_n FROM w LEFT JOIN g USING (word)),
+r AS (SELECT word, word AS here, 0 AS k FROM f UNION ALL SELECT r.word, f.form, k + 1 FROM r JOIN f ON f.word = r.here WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near::BIGINT AS n_near, f.form, f.form_n::BIGINT AS form_n, e.root FROM f JOIN (SELECT word, arg_max(here, k) AS root FROM r GROUP BY word) e USING (word)
+""")
+def q_spelling_variants(spark, sf_dir):
+    """13: words of all texts, the words one edit away, and the commoner spelling each belongs to."""
+    from pagelens.llm.spelling import spelling_variants
+
+    return spelling_variants(_documents(spark, sf_dir))
