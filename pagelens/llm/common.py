@@ -21,13 +21,26 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Tables that ``written`` has stored and nobody has dropped, oldest first.
+stored: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts the lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    stored.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that ``written`` stored; only for what no DataFrame still in use is built on."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        stored.remove(path)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lowered, every other character untouched; null stays null."""
     return F.translate(text, UPPER, LOWER)
@@ -49,14 +62,14 @@ def maybe_among(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     """
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS)).cast("bigint")
     key = ids.select(place(F.col(ids.columns[0]).cast("bigint")).alias("p"))
-    bits = key.groupBy(F.floor(F.col("p") / MAP_ROW).cast("bigint").alias("__row")).agg(F.bitmap_construct_agg(F.col("p") % MAP_ROW).alias("__bits"))
+    bits = key.groupBy(F.floor(F.col("p") / MAP_ROW).cast("bigint").alias("__map_row")).agg(F.bitmap_construct_agg(F.col("p") % MAP_ROW).alias("__bits"))
     bits = F.broadcast(written(bits, "id-bitmap"))
     p = place(F.col(id_col).cast("bigint"))
-    out = df.withColumn("__p", p).join(bits, F.floor(F.col("__p") / MAP_ROW).cast("bigint") == F.col("__row"), "left")
+    out = df.withColumn("__p", p).join(bits, F.floor(F.col("__p") / MAP_ROW).cast("bigint") == F.col("__map_row"), "left")
     at = F.col("__p") % MAP_ROW
     byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     bit = F.getbit(byte, (at % 8).cast("int")) == 1
-    return out.withColumn("__maybe", F.coalesce(bit, F.lit(False))).drop("__p", "__row", "__bits")
+    return out.withColumn("__maybe", F.coalesce(bit, F.lit(False))).drop("__p", "__map_row", "__bits")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
