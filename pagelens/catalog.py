@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from pagelens import dims
 from pagelens.functions import html as H
+from pagelens.functions import markup
 from pagelens.functions.urls import hostname, netloc, normalize_url, resolve_link, scheme
 from pagelens.operators import audit, blocks, crawl, health, links, media, meta, robots, text
-from pagelens.operators.parse import parsed
+from pagelens.operators.parse import exploded, members, parsed
 from pagelens.plans import report as R
 from pagelens.plans import sinks
 from pagelens.session import ensure_conf, scratch_path, table_path
@@ -80,7 +81,7 @@ def q_seed_urls(spark, sf_dir):
     """A3: seed normalisation of page URLs as typed (with and without scheme, padded)."""
     p = spark.read.parquet(table_path(sf_dir, "pages")).select("page_id", "url")
     variants = F.array(F.col("url"), F.concat(F.lit("  "), F.substring_index("url", "://", -1), F.lit(" ")))
-    v = p.select("page_id", F.posexplode(variants).alias("variant", "typed"))
+    v = exploded(p, ["page_id"], F.col(variants), "variant", "typed")
     return v.select("page_id", "variant", normalize_url(F.col("typed")).alias("seed"))
 
 
@@ -118,50 +119,30 @@ def q_sink_text(spark, sf_dir):
 def q_html_tokens(spark, sf_dir):
     """B1: ordered tokens of every page."""
     p = spark.read.parquet(table_path(sf_dir, "pages"))
-    t = p.select("page_id", F.posexplode(H.tokenize(F.col("html"))).alias("pos", "raw"))
-    return t.select("page_id", "pos", H.token_kind(F.col("raw")).alias("kind"), H.tag_name(F.col("raw")).alias("name"),
-                    F.char_length("raw").cast("bigint").alias("raw_len"))
+    t = exploded(p, ["page_id"], markup.page_tokens(F.col("html")), "pos", "t")
+    return t.select("page_id", "pos", "t.kind", "t.name", F.char_length("t.raw").cast("bigint").alias("raw_len"))
 
 
 def elements(pages: DataFrame) -> DataFrame:
-    """B2: start tags as rows with their end position under per-name nesting.
-
-    Tokens are exploded (no shuffle) and narrowed to start/end tags; a running sum of +1/-1 per
-    (page, name) gives the nesting level, and the next event at the same level (``lead`` over
-    (page, name, level)) is the matching end tag. Both windows are partitioned by page first, so a
-    page's tags stay in one partition (a page is bounded in size). Unclosed elements end at the end
-    of the page; void elements (``dims.VOID_ELEMENTS``) end where they start.
-    """
-    t = pages.select("page_id", F.size(H.tokenize(F.col("html"))).alias("ntok"), F.posexplode(H.tokenize(F.col("html"))).alias("pos", "raw"))
-    t = t.select("page_id", "ntok", "pos", "raw", H.token_kind(F.col("raw")).alias("kind")).filter(F.col("kind").isin("start", "end"))
-    t = t.withColumn("name", H.tag_name(F.col("raw"))).withColumn("raw", H.open_tag(F.col("raw")))  # script and style bodies stay behind
-    step = F.when(F.col("kind") == "start", 1).otherwise(-1)
-    w = Window.partitionBy("page_id", "name").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("lvl", F.sum(step).over(w))
-    key = F.when(F.col("kind") == "start", F.col("lvl")).otherwise(F.col("lvl") + 1)
-    t = t.withColumn("lkey", key)
-    w2 = Window.partitionBy("page_id", "name", "lkey").orderBy("pos")
-    t = t.withColumn("nxt_kind", F.lead("kind").over(w2)).withColumn("nxt_pos", F.lead("pos").over(w2))
-    s = t.filter(F.col("kind") == "start")
-    end = F.when(F.col("name").isin(*dims.VOID_ELEMENTS), F.col("pos")).when(F.col("nxt_kind") == "end", F.col("nxt_pos")).otherwise(F.col("ntok"))
-    return s.select("page_id", "pos", "name", end.alias("end_pos"), "raw")
+    """B2: elements as rows, with the token each ends at. Row-local: one pass over each page keeps the stack of open
+    elements (``functions.markup``); nothing is shuffled. Void and raw-text elements end where they start."""
+    e = exploded(pages, ["page_id"], markup.parse_page(F.col("html"))["els"], "no", "e")
+    return e.select("page_id", F.col("e.i").alias("pos"), "e.name", F.col("e.end").alias("end_pos"), F.col("e.a").alias("attrs"))
 
 
 @query("html_elements")
 def q_html_elements(spark, sf_dir):
     """B2: element intervals."""
-    p = spark.read.parquet(table_path(sf_dir, "pages"))
-    e = H.with_entities(elements(p))
-    return e.select("page_id", "pos", "name", "end_pos",
-                    F.size(F.map_keys(H.attr_map(F.col("raw")))).cast("bigint").alias("n_attrs"))
+    e = elements(spark.read.parquet(table_path(sf_dir, "pages")))
+    return e.select("page_id", "pos", "name", "end_pos", F.size(F.map_keys("attrs")).cast("bigint").alias("n_attrs"))
 
 
 @query("html_unescape")
 def q_html_unescape(spark, sf_dir):
     """Decoded text tokens holding character references."""
     p = spark.read.parquet(table_path(sf_dir, "pages"))
-    t = p.select("page_id", F.posexplode(H.tokenize(F.col("html"))).alias("pos", "raw"))
-    t = H.with_entities(t.filter((H.token_kind(F.col("raw")) == "text") & F.col("raw").contains("&")))
+    t = exploded(p, ["page_id"], markup.page_tokens(F.col("html")), "pos", "t").filter(F.col("t.kind") == "text").select("page_id", "pos", "t.raw")
+    t = H.with_entities(t.filter(F.col("raw").contains("&")))
     return t.select("page_id", "pos", H.unescape(F.col("raw")).alias("decoded"))
 
 
@@ -177,7 +158,7 @@ def q_visible_text(spark, sf_dir):
 def q_element_text(spark, sf_dir):
     """Text of every h1 (nodes stripped and joined without separator)."""
     c = _ctx(spark.read.parquet(table_path(sf_dir, "pages")))
-    h = c.select("page_id", F.posexplode(meta.headings()["h1"]).alias("idx", "text"))
+    h = exploded(c, ["page_id"], meta.headings()["h1"], "idx", "text")
     return h
 
 
@@ -185,7 +166,7 @@ def q_element_text(spark, sf_dir):
 def q_url_resolve(spark, sf_dir):
     """Every <a href> of every page resolved against the page URL (fragment cut)."""
     c = _ctx(spark.read.parquet(table_path(sf_dir, "pages")))
-    a = c.select("page_id", "final_url", F.posexplode(links.anchors()).alias("idx", "a"))
+    a = exploded(c, ["page_id", "final_url"], links.anchors(), "idx", "a")
     return a.select("page_id", "idx", F.col("a.href").alias("href"), resolve_link(F.col("final_url"), F.col("a.href")).alias("resolved"))
 
 
@@ -228,13 +209,13 @@ def q_meta_document(spark, sf_dir):
 @query("open_graph")
 def q_open_graph(spark, sf_dir):
     c = _customer_ctx(spark, sf_dir)
-    return c.select("page_id", F.explode(meta.open_graph()).alias("key", "value"))
+    return members(c, ["page_id"], F.map_entries(meta.open_graph()), "e").select("page_id", "e.*")
 
 
 @query("twitter_card")
 def q_twitter_card(spark, sf_dir):
     c = _customer_ctx(spark, sf_dir)
-    return c.select("page_id", F.explode(meta.twitter_card()).alias("key", "value"))
+    return members(c, ["page_id"], F.map_entries(meta.twitter_card()), "e").select("page_id", "e.*")
 
 
 def _numbered(label: str, values, label_name: str, value_name: str):
@@ -247,7 +228,7 @@ def q_headings(spark, sf_dir):
     c = _ctx(FX.nation_pages(spark, sf_dir))
     h = c.select("page_id", meta.headings().alias("h"))
     rows = F.flatten(F.array(*[_numbered(f"h{i}", F.col(f"h.h{i}"), "level", "text") for i in range(1, 7)]))
-    return h.select("page_id", F.inline(rows))
+    return members(h, ["page_id"], rows, "r").select("page_id", "r.*")
 
 
 @query("text_stats")
@@ -288,14 +269,14 @@ def q_link_counts(spark, sf_dir):
 @query("external_domains")
 def q_external_domains(spark, sf_dir):
     l = _customer_links(spark, sf_dir)
-    return l.select("page_id", F.explode(links.external_domains(F.col("links"))).alias("domain"))
+    return members(l, ["page_id"], links.external_domains(F.col("links")), "domain")
 
 
 @query("mailto_tel")
 def q_mailto_tel(spark, sf_dir):
     l = _customer_links(spark, sf_dir)
     rows = F.concat(_numbered("mailto", links.mailto(F.col("anc")), "kind", "value"), _numbered("tel", links.tel(F.col("anc")), "kind", "value"))
-    return l.select("page_id", F.inline(rows))
+    return members(l, ["page_id"], rows, "r").select("page_id", "r.*")
 
 
 def _part_ctx(spark, sf_dir):
@@ -305,7 +286,7 @@ def _part_ctx(spark, sf_dir):
 @query("images")
 def q_images(spark, sf_dir):
     c = _part_ctx(spark, sf_dir)
-    i = c.select("page_id", F.posexplode(media.images()).alias("idx", "img"))
+    i = exploded(c, ["page_id"], media.images(), "idx", "img")
     return i.select("page_id", "idx", "img.src", "img.alt", "img.width", "img.height")
 
 
@@ -318,17 +299,17 @@ def q_image_alt_audit(spark, sf_dir):
 
 @query("media_videos")
 def q_media_videos(spark, sf_dir):
-    return _part_ctx(spark, sf_dir).select("page_id", F.explode(media.videos()).alias("src"))
+    return members(_part_ctx(spark, sf_dir), ["page_id"], media.videos(), "src")
 
 
 @query("media_audios")
 def q_media_audios(spark, sf_dir):
-    return _part_ctx(spark, sf_dir).select("page_id", F.explode(media.audios()).alias("src"))
+    return members(_part_ctx(spark, sf_dir), ["page_id"], media.audios(), "src")
 
 
 @query("embedded_players")
 def q_embedded_players(spark, sf_dir):
-    return _part_ctx(spark, sf_dir).select("page_id", F.posexplode(media.players()).alias("idx", "src"))
+    return exploded(_part_ctx(spark, sf_dir), ["page_id"], media.players(), "idx", "src")
 
 
 @query("scripts_styles")
@@ -342,7 +323,7 @@ def q_scripts_styles(spark, sf_dir):
 
 def _forms(spark, sf_dir):
     c = _ctx(FX.supplier_pages(spark, sf_dir))
-    f = c.select("page_id", F.posexplode(blocks.forms()).alias("form_idx", "f"))
+    f = exploded(c, ["page_id"], blocks.forms(), "form_idx", "f")
     return f
 
 
@@ -364,7 +345,7 @@ def q_login_forms(spark, sf_dir):
 @query("html_tables")
 def q_html_tables(spark, sf_dir):
     c = _ctx(FX.order_pages(spark, sf_dir))
-    t = c.select("page_id", F.posexplode(blocks.tables()).alias("table_idx", "t"))
+    t = exploded(c, ["page_id"], blocks.tables(), "table_idx", "t")
     return t.select("page_id", "table_idx", "t.rows", "t.columns_approx")
 
 
@@ -383,7 +364,7 @@ def q_microdata_types(spark, sf_dir):
 @query("social_links")
 def q_social_links(spark, sf_dir):
     l = _customer_links(spark, sf_dir)
-    s = l.select("page_id", F.posexplode(links.social_links(F.col("links"))).alias("idx", "s"))
+    s = exploded(l, ["page_id"], links.social_links(F.col("links")), "idx", "s")
     return s.select("page_id", "idx", "s.platform", "s.url")
 
 
@@ -391,26 +372,26 @@ def q_social_links(spark, sf_dir):
 def q_emails(spark, sf_dir):
     """C25 over documents."""
     d = spark.read.parquet(table_path(sf_dir, "documents")).select("doc_id", text.plain_text(F.col("text")).alias("text"))
-    return d.select("doc_id", F.explode(text.emails(F.col("text"))).alias("email"))
+    return members(d, ["doc_id"], text.emails(F.col("text")), "email")
 
 
 @query("emails_mailto")
 def q_emails_mailto(spark, sf_dir):
     """C25 over rendered pages: page text plus mailto targets."""
     l = _customer_links(spark, sf_dir)
-    return l.select("page_id", F.explode(text.emails(F.col("text"), links.mailto(F.col("anc")))).alias("email"))
+    return members(l, ["page_id"], text.emails(F.col("text"), links.mailto(F.col("anc"))), "email")
 
 
 @query("phones")
 def q_phones(spark, sf_dir):
     d = spark.read.parquet(table_path(sf_dir, "documents")).select("doc_id", text.plain_text(F.col("text")).alias("text"))
-    return d.select("doc_id", F.explode(text.phones(F.col("text"))).alias("phone"))
+    return members(d, ["doc_id"], text.phones(F.col("text")), "phone")
 
 
 @query("keyword_density")
 def q_keyword_density(spark, sf_dir):
     d = spark.read.parquet(table_path(sf_dir, "documents")).select("doc_id", text.plain_text(F.col("text")).alias("text"))
-    k = d.select("doc_id", F.posexplode(text.keyword_density(F.col("text"))).alias("rank", "k"))
+    k = exploded(d, ["doc_id"], text.keyword_density(F.col("text")), "rank", "k")
     return k.select("doc_id", "rank", "k.word", "k.count", "k.density_pct")
 
 
@@ -421,7 +402,7 @@ def _customer_report(spark, sf_dir):
 @query("seo_checks")
 def q_seo_checks(spark, sf_dir):
     r = _customer_report(spark, sf_dir)
-    c = r.select("page_id", F.posexplode("seo.checks").alias("check_no", "c"))
+    c = exploded(r, ["page_id"], F.col("seo.checks"), "check_no", "c")
     return c.select("page_id", "check_no", "c.name", "c.passed", "c.detail")
 
 
@@ -442,7 +423,7 @@ def q_security_headers(spark, sf_dir):
 @query("technologies")
 def q_technologies(spark, sf_dir):
     p = FX.customer_pages(spark, sf_dir)
-    return p.select("page_id", F.explode(audit.technologies(F.col("html"), F.create_map().cast("map<string,string>"))).alias("tech"))
+    return members(p, ["page_id"], audit.technologies(F.col("html"), F.create_map().cast("map<string,string>")), "tech")
 
 
 @query("cert_expiry")
@@ -511,7 +492,7 @@ def _graph_fetches(spark, sf_dir):
 @query("link_graph")
 def q_link_graph(spark, sf_dir):
     f = _graph_fetches(spark, sf_dir).filter(F.col("outcome") == "ok")
-    lt = f.select("page_id", F.posexplode("internal").alias("rank", "url")).withColumn("internal", F.lit(True))
+    lt = exploded(f, ["page_id"], F.col("internal"), "rank", "url").withColumn("internal", F.lit(True))
     seeds = f.select("page_id", F.lit(GRAPH_SEED).alias("seed_url"))
     return links.link_graph(lt, seeds)
 

@@ -33,6 +33,32 @@ STOPWORDS = [
 # HTML elements without content
 VOID_ELEMENTS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 
+# Fixed values of HTML: elements whose body is raw text, whose body is text without tags, and whose text is not shown.
+RAW_TEXT_ELEMENTS = ("script", "style", "xmp", "iframe", "noembed", "noframes")
+TEXT_ONLY_ELEMENTS = ("textarea",)
+HIDDEN_ELEMENTS = ("noscript", "template")
+
+# Fixed values of HTML: implied end tags. A start tag of the first group ends the outermost open element of the second that
+# is not outside one of the third.
+_BLOCKS = ("address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form",
+           "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul")
+_CELLS = ("td", "th", "caption", "table", "template")
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+IMPLIED_ENDS = (
+    (_HEADINGS, ("p",) + _HEADINGS, _CELLS + tuple(b for b in _BLOCKS if b not in ("p", "hr")) + ("button", "object", "li", "dd", "dt")),
+    (_BLOCKS, ("p",), _CELLS + ("button", "object", "li", "dd", "dt")),
+    (("li",), ("li", "p"), _CELLS + ("ul", "ol", "menu")),
+    (("dd", "dt"), ("dd", "dt", "p"), _CELLS + ("dl",)),
+    (("option",), ("option",), ("select", "optgroup", "datalist")),
+    (("optgroup",), ("option", "optgroup"), ("select",)),
+    (("td", "th"), ("td", "th"), ("tr", "table", "template")),
+    (("tr",), ("td", "th", "tr", "caption", "colgroup"), ("tbody", "thead", "tfoot", "table", "template")),
+    (("tbody", "thead", "tfoot"), ("td", "th", "tr", "caption", "colgroup", "tbody", "thead", "tfoot"), ("table", "template")),
+    (("a",), ("a",), _CELLS + ("button", "object")),
+    (("title",), ("title",), ()),
+    (("body",), ("head",), ()),
+)
+
 # technology name -> patterns (searched case-insensitively over html + " " + "k:v k:v ...")
 TECH_SIGNATURES = [
     ("WordPress", [r"wp-content", r"wp-includes", r"/wp-json/"]),

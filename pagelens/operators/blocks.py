@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagelens.functions import html as H
 from pagelens.functions.urls import resolve
-from pagelens.operators.parse import attr, inside, let, nested_starts, page_cols, spans, tags, truthy
+from pagelens.functions.markup import within
+from pagelens.operators.parse import attr, let, page_cols, tags, truthy
 
 
 @page_cols
-def forms(toks: Column | None = None, base: Column | None = None) -> Column:
+def forms(els: Column | None = None, base: Column | None = None) -> Column:
     """Per <form>: action (resolved, else the page URL), method (upper, default GET), the
     input/textarea/select fields inside it in order, and whether one is a password field."""
-    def one(f, fields):
-        ins = F.filter(fields, lambda x: inside(x["i"], f))
+    def one(f):
+        ins = F.filter(within(els, f), lambda x: x["name"].isin("input", "textarea", "select"))
         typed = F.transform(
             ins,
             lambda x: F.struct(
@@ -33,34 +33,30 @@ def forms(toks: Column | None = None, base: Column | None = None) -> Column:
             F.exists(typed, lambda x: x["type"] == "password").alias("has_password_field"),
         )
 
-    return let(tags(["input", "textarea", "select"], toks), lambda fl: F.transform(nested_starts("form", toks), lambda f: one(f, fl)))
+    return F.transform(tags(["form"], els), one)
 
 
 @page_cols
-def tables(toks: Column | None = None) -> Column:
+def tables(els: Column | None = None) -> Column:
     """Per <table>: number of <tr> inside (nested tables included) and the number of <td>/<th>
     inside its first row."""
-    nested = let(H.marks(toks, "table"), lambda m: spans(m, F.size(toks)))
+    def one(t):
+        rows = F.filter(within(els, t), lambda x: x["name"] == "tr")
 
-    def one(sp, trs, cells):
-        rows = F.filter(trs, lambda r: (r["i"] > sp["o"]) & (r["i"] < sp["e"]))
-        first = F.get(rows, 0)
-        ncols = F.when(first.isNull(), F.lit(0)).otherwise(
-            F.size(F.filter(cells, lambda c: (c["i"] > first["i"]) & (c["i"] < first["end"])))
-        )
-        return F.struct(sp["o"].alias("i"), F.size(rows).cast("bigint").alias("rows"), ncols.cast("bigint").alias("columns_approx"))
+        def of(r):
+            cells = F.size(F.filter(within(els, F.get(r, 0)), lambda c: c["name"].isin("td", "th")))
+            return F.struct(F.size(r).cast("bigint").alias("rows"), F.when(F.size(r) == 0, F.lit(0)).otherwise(cells).cast("bigint").alias("columns_approx"))
+
+        return let(rows, of)
 
-    ordered = F.array_sort(nested)
-    cells_all = F.filter(toks, lambda x: (x["kind"] == "start") & x["name"].isin("td", "th"))
-    per_table = let(nested_starts("tr", toks), lambda trs: let(cells_all, lambda cells: F.transform(ordered, lambda sp: one(sp, trs, cells))))
-    return F.transform(per_table, lambda t: F.struct(t["rows"].alias("rows"), t["columns_approx"].alias("columns_approx")))
+    return F.transform(tags(["table"], els), one)
 
 
 @page_cols
-def jsonld_blocks(toks: Column | None = None) -> Column:
+def jsonld_blocks(els: Column | None = None) -> Column:
     """Parsed JSON-LD blocks (bad JSON dropped): array<variant>."""
-    scr = F.filter(tags(["script"], toks), lambda s: attr(s, "type") == "application/ld+json")
-    parsed = F.transform(scr, lambda s: F.try_parse_json(H.raw_body(s["t"])))
+    scr = F.filter(tags(["script"], els), lambda s: attr(s, "type") == "application/ld+json")
+    parsed = F.transform(scr, lambda s: F.try_parse_json(s["body"]))
     return F.filter(parsed, lambda v: v.isNotNull())
 
 
@@ -80,16 +76,14 @@ def jsonld_types(blocks: Column) -> Column:
 
 
 @page_cols
-def microdata_types(toks: Column | None = None) -> Column:
-    cand = F.filter(toks, lambda x: (x["kind"] == "start") & F.lower(x["t"]).contains("itemtype"))
-    withattr = F.transform(cand, lambda x: H.attr_map(x["t"]))
-    vals = F.transform(F.filter(withattr, lambda a: F.map_contains_key(a, "itemtype")), lambda a: F.element_at(a, F.lit("itemtype")))
+def microdata_types(els: Column | None = None) -> Column:
+    vals = F.transform(F.filter(els, lambda x: F.map_contains_key(x["a"], "itemtype")), lambda x: attr(x, "itemtype"))
     return F.array_sort(F.array_distinct(vals))
 
 
 @page_cols
-def structured_data(toks: Column | None = None) -> Column:
-    return let(jsonld_blocks(toks), lambda blocks: let(microdata_types(toks), lambda micro: F.struct(
+def structured_data(els: Column | None = None) -> Column:
+    return let(jsonld_blocks(els), lambda blocks: let(microdata_types(els), lambda micro: F.struct(
         F.size(blocks).cast("bigint").alias("json_ld_count"),
         jsonld_types(blocks).alias("json_ld_types"),
         micro.alias("microdata_types"),

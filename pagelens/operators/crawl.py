@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pagelens import dims
 from pagelens.functions.urls import cut_fragment, netloc
+from pagelens.operators.parse import exploded
 from pagelens.operators.robots import can_fetch
 from pagelens.session import checkpoint_dir
 
@@ -131,7 +132,7 @@ def fetch_table(pages: DataFrame) -> DataFrame:
     p = classify(pages)
     ok = F.col("outcome") == "ok"
     p = p.withColumn("_html", F.when(ok, F.col("html")).otherwise(F.lit("")))
-    ctx = parsed(p, "_html", with_text=False)
+    ctx = parsed(p, "_html")
     internal = F.filter(page_links(anchors()), lambda x: x["internal"])
     return ctx.select("page_id", "url", "outcome", F.col("outcome_reason").alias("reason"),
                       F.when(ok, F.transform(internal, lambda x: cut_fragment(x["url"]))).alias("internal"))
@@ -139,4 +140,4 @@ def fetch_table(pages: DataFrame) -> DataFrame:
 
 def edges_from_fetches(fetches: DataFrame) -> DataFrame:
     """(src, rank, dst) from ``fetch_table`` output."""
-    return fetches.filter(F.col("outcome") == "ok").select(F.col("url").alias("src"), F.posexplode("internal").alias("rank", "dst"))
+    return exploded(fetches.filter(F.col("outcome") == "ok"), [F.col("url").alias("src")], F.col("internal"), "rank", "dst")

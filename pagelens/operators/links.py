@@ -9,19 +9,20 @@ from pyspark.sql import functions as F
 from pagelens import dims
 from pagelens.functions import html as H
 from pagelens.functions.urls import cut_fragment, netloc, resolve_link
-from pagelens.operators.parse import attr, let, rel_tokens, starts, page_cols
+from pagelens.functions.markup import element_text
+from pagelens.operators.parse import attr, exploded, let, page_cols, rel_tokens, tags
 
 
 @page_cols
-def anchors(toks: Column | None = None) -> Column:
+def anchors(els: Column | None = None, texts: Column | None = None) -> Column:
     """<a> tags that carry an href: array<struct<i, href (stripped), text, nofollow>>."""
-    a = F.filter(starts("a", toks), lambda s: F.map_contains_key(s["a"], "href"))
+    a = F.filter(tags(["a"], els), lambda s: F.map_contains_key(s["a"], "href"))
     return F.transform(
         a,
         lambda s: F.struct(
             s["i"].alias("i"),
             H.strip(attr(s, "href")).alias("href"),
-            F.substring(H.text_of(toks, s["i"], s["end"]), 1, dims.LINK_TEXT_CHARS).alias("text"),
+            F.substring(element_text(texts, s), 1, dims.LINK_TEXT_CHARS).alias("text"),
             F.exists(rel_tokens(s), lambda r: F.lower(r) == "nofollow").alias("nofollow"),
         ),
     )
@@ -59,12 +60,11 @@ def page_links(anc: Column, base: Column | None = None) -> Column:
     base_net = netloc(base)
 
     def first_only(res):
-        # first occurrence per URL: a map built from the reversed list keeps the first index
-        # (last write wins), so every link checks its own index in O(1)
-        urls = F.transform(res, lambda x: x["url"])
-        idx = F.sequence(F.lit(0), F.greatest(F.size(urls) - 1, F.lit(0)))
-        first = F.map_from_arrays(F.reverse(urls), F.reverse(F.slice(idx, 1, F.size(urls))))
-        return let(first, lambda fm: F.filter(res, lambda x, k: F.element_at(fm, x["url"]) == k))
+        # first occurrence per URL: sorted by (url, place), a link is the first of its URL where the one before has
+        # another; sorted back by place (a map lookup per link would be a linear search each)
+        placed = F.sort_array(F.transform(res, lambda x, k: F.struct(x["url"].alias("url"), k.alias("k"))))
+        firsts = let(placed, lambda p: F.filter(p, lambda x, j: (j == 0) | (F.get(p, j - 1)["url"] != x["url"])))
+        return F.transform(F.sort_array(F.transform(firsts, lambda x: x["k"])), lambda k: F.get(res, k))
 
     uniq = let(resolved, first_only)
     return let(base_net, lambda bn: F.transform(
@@ -127,9 +127,9 @@ def _social_hits(hosts: Column) -> Column:
 
 
 def link_table(df: DataFrame, links_col: str = "links", key: str = "page_id", extra: list[str] | None = None) -> DataFrame:
-    """One row per (page, link) with its rank in the page (posexplode: no shuffle)."""
+    """One row per (page, link) with its rank in the page (no shuffle)."""
     cols = [key] + (extra or [])
-    return df.select(*cols, F.posexplode(links_col).alias("rank", "l")).select(
+    return exploded(df, cols, F.col(links_col), "rank", "l").select(
         *cols, "rank", F.col("l.url").alias("url"), F.col("l.text").alias("text"),
         F.col("l.nofollow").alias("nofollow"), F.col("l.internal").alias("internal"),
     )

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from pagelens import dims
 from pagelens.functions.urls import resolve
-from pagelens.operators.parse import attr, inside, let, nested_starts, rel_tokens, tags, truthy, page_cols
+from pagelens.functions.markup import within
+from pagelens.operators.parse import attr, let, page_cols, rel_tokens, tags, truthy
 
 
 def _or(a: Column, b: Column) -> Column:
@@ -16,7 +17,7 @@ def _or(a: Column, b: Column) -> Column:
 
 
 @page_cols
-def images(toks: Column | None = None, base: Column | None = None) -> Column:
+def images(els: Column | None = None, base: Column | None = None) -> Column:
     """Every <img> in order: src (or data-src; data URIs summarised; resolved), alt, width, height."""
     def one(s):
         src = _or(attr(s, "src"), _or(attr(s, "data-src"), F.lit("")))
@@ -26,7 +27,7 @@ def images(toks: Column | None = None, base: Column | None = None) -> Column:
         )
         return F.struct(shown.alias("src"), attr(s, "alt").alias("alt"), attr(s, "width").alias("width"), attr(s, "height").alias("height"))
 
-    return F.transform(tags(["img"], toks), one)
+    return F.transform(tags(["img"], els), one)
 
 
 def image_section(items: Column) -> Column:
@@ -38,43 +39,39 @@ def image_section(items: Column) -> Column:
 
 
 @page_cols
-def videos(toks: Column | None = None, base: Column | None = None) -> Column:
+def videos(els: Column | None = None, base: Column | None = None) -> Column:
     """Sorted distinct sources of <video src> and of <source src> inside a <video>."""
-    srcs = tags(["source"], toks)
-
     def build(vids):
-        own = F.transform(F.filter(vids, lambda v: truthy(attr(v, "src"))), lambda v: resolve(base, attr(v, "src")))
-        nested = F.transform(
-            F.filter(srcs, lambda s: truthy(attr(s, "src")) & F.exists(vids, lambda v: inside(s["i"], v))),
-            lambda s: resolve(base, attr(s, "src")),
-        )
-        return F.array_sort(F.array_distinct(F.concat(own, nested)))
+        own = F.transform(F.filter(vids, lambda v: truthy(attr(v, "src"))), lambda v: attr(v, "src"))
+        nested = F.flatten(F.transform(vids, lambda v: F.transform(
+            F.filter(within(els, v), lambda s: (s["name"] == "source") & truthy(attr(s, "src"))), lambda s: attr(s, "src"))))
+        return F.array_sort(F.array_distinct(F.transform(F.concat(own, nested), lambda u: resolve(base, u))))
 
-    return let(nested_starts("video", toks), build)
+    return let(tags(["video"], els), build)
 
 
 @page_cols
-def audios(toks: Column | None = None, base: Column | None = None) -> Column:
+def audios(els: Column | None = None, base: Column | None = None) -> Column:
     """Sorted distinct <audio src> (child <source> elements are not read)."""
-    a = F.filter(tags(["audio"], toks), lambda s: truthy(attr(s, "src")))
+    a = F.filter(tags(["audio"], els), lambda s: truthy(attr(s, "src")))
     return F.array_sort(F.array_distinct(F.transform(a, lambda s: resolve(base, attr(s, "src")))))
 
 
 @page_cols
-def players(toks: Column | None = None, base: Column | None = None) -> Column:
+def players(els: Column | None = None, base: Column | None = None) -> Column:
     """iframes whose src names a video player, document order, duplicates kept."""
-    fr = F.filter(tags(["iframe"], toks), lambda s: F.map_contains_key(s["a"], "src"))
+    fr = F.filter(tags(["iframe"], els), lambda s: F.map_contains_key(s["a"], "src"))
     hit = F.filter(fr, lambda s: F.exists(F.array(*[F.lit(m) for m in dims.PLAYER_MARKERS]), lambda m: F.instr(attr(s, "src"), m) > 0))
     return F.transform(hit, lambda s: resolve(base, attr(s, "src")))
 
 
 @page_cols
-def media_section(toks: Column | None = None, base: Column | None = None) -> Column:
-    return F.struct(videos(toks, base).alias("videos"), audios(toks, base).alias("audios"), players(toks, base).alias("embedded_players"))
+def media_section(els: Column | None = None, base: Column | None = None) -> Column:
+    return F.struct(videos(els, base).alias("videos"), audios(els, base).alias("audios"), players(els, base).alias("embedded_players"))
 
 
 @page_cols
-def scripts_styles(toks: Column | None = None, base: Column | None = None) -> Column:
+def scripts_styles(els: Column | None = None, base: Column | None = None) -> Column:
     """External scripts (src present, even empty), inline scripts (src missing or empty),
     stylesheets (rel token "stylesheet" with an href), inline <style> count."""
     def build(tg):
@@ -88,4 +85,4 @@ def scripts_styles(toks: Column | None = None, base: Column | None = None) -> Co
             F.size(F.filter(tg, lambda s: s["name"] == "style")).cast("bigint").alias("inline_style_count"),
         )
 
-    return let(tags(["script", "link", "style"], toks), build)
+    return let(tags(["script", "link", "style"], els), build)

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import html as H
 from pagelens.functions.urls import resolve
-from pagelens.operators.parse import attr, let, rel_tokens, starts, tags, truthy, page_cols
+from pagelens.functions.markup import element_text
+from pagelens.operators.parse import attr, let, page_cols, rel_tokens, tags, truthy
 
 META_NAMES = ["description", "keywords", "author", "viewport", "robots", "generator"]
 
 
 @page_cols
-def title(toks: Column | None = None) -> Column:
+def title(els: Column | None = None, texts: Column | None = None) -> Column:
     """Text of the first <title>; null without a tag, '' when empty."""
-    first = F.get(starts("title", toks), 0)
-    return F.when(first.isNotNull(), H.text_of(toks, first["i"], first["end"]))
+    first = F.get(tags(["title"], els), 0)
+    return F.when(first.isNotNull(), element_text(texts, first))
 
 
 def text_length(c: Column) -> Column:
@@ -30,16 +31,16 @@ def _first_meta(metas: Column, name: str) -> Column:
 
 
 @page_cols
-def meta_tags(toks: Column | None = None) -> Column:
+def meta_tags(els: Column | None = None) -> Column:
     """struct of description, keywords, author, viewport, robots, generator: the first <meta> with
     that name decides (case-insensitive name); empty content gives null, blank content ''."""
-    return let(tags(["meta"], toks), lambda metas: F.struct(*[_first_meta(metas, n).alias(n) for n in META_NAMES]))
+    return let(tags(["meta"], els), lambda metas: F.struct(*[_first_meta(metas, n).alias(n) for n in META_NAMES]))
 
 
 @page_cols
-def meta_document(toks: Column | None = None, base: Column | None = None) -> Column:
+def meta_document(els: Column | None = None, base: Column | None = None) -> Column:
     """language, canonical (raw href), favicon (resolved), charset."""
-    return let(tags(["html", "link", "meta"], toks), lambda tg: _meta_document(tg, base))
+    return let(tags(["html", "link", "meta"], els), lambda tg: _meta_document(tg, base))
 
 
 def _meta_document(tg: Column, base: Column) -> Column:
@@ -58,8 +59,8 @@ def _meta_document(tg: Column, base: Column) -> Column:
     )
 
 
-def _prefixed_map(toks: Column, key_attr: str, prefix: str) -> Column:
-    metas = tags(["meta"], toks)
+def _prefixed_map(els: Column, key_attr: str, prefix: str) -> Column:
+    metas = tags(["meta"], els)
     sel = F.filter(metas, lambda m: F.coalesce(attr(m, key_attr), F.lit("")).startswith(prefix))
     entries = F.transform(
         sel, lambda m: F.struct(F.replace(attr(m, key_attr), F.lit(prefix), F.lit("")).alias("key"), attr(m, "content").alias("value"))
@@ -69,34 +70,33 @@ def _prefixed_map(toks: Column, key_attr: str, prefix: str) -> Column:
 
 
 @page_cols
-def open_graph(toks: Column | None = None) -> Column:
+def open_graph(els: Column | None = None) -> Column:
     """og:* properties (key without every "og:"), last duplicate wins."""
-    return _prefixed_map(toks, "property", "og:")
+    return _prefixed_map(els, "property", "og:")
 
 
 @page_cols
-def twitter_card(toks: Column | None = None) -> Column:
-    return _prefixed_map(toks, "name", "twitter:")
+def twitter_card(els: Column | None = None) -> Column:
+    return _prefixed_map(els, "name", "twitter:")
 
 
 @page_cols
-def headings(toks: Column | None = None) -> Column:
+def headings(els: Column | None = None, texts: Column | None = None) -> Column:
     """struct h1..h6 of non-empty heading texts in document order."""
     out = []
     for lvl in range(1, 7):
-        hs = starts(f"h{lvl}", toks)
-        texts = F.transform(hs, lambda s: H.text_of(toks, s["i"], s["end"]))
-        out.append(F.filter(texts, lambda t: t != "").alias(f"h{lvl}"))
+        found = F.transform(tags([f"h{lvl}"], els), lambda s: element_text(texts, s))
+        out.append(F.filter(found, lambda t: t != "").alias(f"h{lvl}"))
     return F.struct(*out)
 
 
 @page_cols
-def meta_section(toks: Column | None = None, base: Column | None = None) -> Column:
+def meta_section(els: Column | None = None, texts: Column | None = None, base: Column | None = None) -> Column:
     """The page's ``meta`` record."""
-    return let(title(toks), lambda t: let(meta_tags(toks), lambda mt: let(meta_document(toks, base), lambda md: _meta_record(toks, t, mt, md))))
+    return let(title(els, texts), lambda t: let(meta_tags(els), lambda mt: let(meta_document(els, base), lambda md: _meta_record(els, t, mt, md))))
 
 
-def _meta_record(toks: Column, t: Column, mt: Column, md: Column) -> Column:
+def _meta_record(els: Column, t: Column, mt: Column, md: Column) -> Column:
     return F.struct(
         t.alias("title"),
         F.when(truthy(t), F.char_length(t)).otherwise(0).alias("title_length"),
@@ -111,6 +111,6 @@ def _meta_record(toks: Column, t: Column, mt: Column, md: Column) -> Column:
         md["canonical"].alias("canonical"),
         md["favicon"].alias("favicon"),
         md["charset"].alias("charset"),
-        open_graph(toks).alias("open_graph"),
-        twitter_card(toks).alias("twitter_card"),
+        open_graph(els).alias("open_graph"),
+        twitter_card(els).alias("twitter_card"),
     )

@@ -1,26 +1,26 @@
-"""Per-page parse context: the token array and the visible text, computed once per row.
+"""Per-page parse context: elements, text nodes and visible text, computed once per row.
 
-Every section builder reads ``toks`` (see ``functions.html.classify``), ``ntok``, ``text``,
-``final_url``, ``html`` and ``headers``. Sections are computed in a projection over this context,
-so Catalyst keeps ``toks`` as one shared value (it does not inline an expensive expression that is
-referenced more than once).
+Every section builder reads ``els``, ``texts`` and ``text`` (see ``functions.markup``), ``final_url``, ``html`` and
+``headers``. The page goes through one Arrow function; its result is a stored column of the row, so however many
+sections read it, each page is parsed once.
 """
 
 from __future__ import annotations
 
+import functools
+import inspect
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions import html as H
+from pagelens.functions import markup
 
-import functools
-import inspect
-
-_DEFAULT_COLS = {"toks": "toks", "text": "text", "base": "final_url"}
+_DEFAULT_COLS = {"els": "els", "texts": "texts", "text": "text", "base": "final_url"}
 
 
 def page_cols(fn):
-    """Fill ``toks`` / ``text`` / ``base`` arguments left as None with the context columns."""
+    """Fill ``els`` / ``texts`` / ``text`` / ``base`` arguments left as None with the context columns."""
     sig = inspect.signature(fn)
     names = [n for n in sig.parameters if n in _DEFAULT_COLS]
 
@@ -35,23 +35,10 @@ def page_cols(fn):
     return wrapper
 
 
-def parsed(pages: DataFrame, html_col: str = "html", with_text: bool = True) -> DataFrame:
-    """Add ``toks``, ``ntok`` and (unless ``with_text`` is False) ``text`` to a page table.
-
-    Both are computed inside one bound value (``let``), and the columns are field reads of it: the
-    optimizer may copy a cheap field read into every consumer, but never the tokenizer or the
-    visible-text scan, so each page's HTML is scanned once per pass.
-    """
-    html = F.col(html_col)
-    base = H.with_entities(pages)
-    if with_text:
-        bundle = let(H.visible_text(html), lambda t: F.struct(H.classify(H.tokenize(html)).alias("toks"), t.alias("text")))
-    else:
-        bundle = let(H.classify(H.tokenize(html)), lambda tk: F.struct(tk.alias("toks")))
-    out = base.withColumn("_parse", bundle).withColumn("toks", F.col("_parse.toks"))
-    if with_text:
-        out = out.withColumn("text", F.col("_parse.text"))
-    return out.withColumn("ntok", F.size("toks"))
+def parsed(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """Add ``els``, ``texts``, ``text`` and ``ntok`` to a page table."""
+    out = pages.withColumn("_page", markup.parse_page(F.col(html_col)))
+    return out.select("*", "_page.els", "_page.texts", "_page.text", "_page.ntok").drop("_page")
 
 
 def let(value: Column, body) -> Column:
@@ -63,66 +50,23 @@ def let(value: Column, body) -> Column:
 
 
 @page_cols
-def starts(name: str, toks: Column | None = None) -> Column:
-    """Start tags of one name with their attributes and the clamped end position:
-    array<struct<i, a MAP, end, t>>."""
-
-    def build(m):
-        indexed = F.transform(m, lambda x, k: F.struct(x["i"].alias("i"), x["kind"].alias("kind"), x["t"].alias("t"), k.alias("k")))
-        return F.transform(
-            F.filter(indexed, lambda s: s["kind"] == "start"),
-            lambda s: F.struct(
-                s["i"].alias("i"),
-                H.attr_map(s["t"]).alias("a"),
-                H.clamp_end(m, s["k"], F.size(toks)).alias("end"),
-                s["t"].alias("t"),
-            ),
-        )
+def tags(names: list[str], els: Column | None = None) -> Column:
+    """Elements of the given names, document order."""
+    return F.filter(els, lambda x: x["name"].isin(*names) if len(names) > 1 else x["name"] == names[0])
 
-    return let(H.marks(toks, name), build)
 
+def exploded(df: DataFrame, keys: list, array: Column, *names: str) -> DataFrame:
+    """The keys with the fields of every member of an array of structs, and its place first where a name is given for it.
 
-@page_cols
-def nested_starts(name: str, toks: Column | None = None) -> Column:
-    """As ``starts``, with ends by nesting: an end tag closes the innermost open element of its name,
-    stray end tags are ignored, unclosed elements run to the end of the page. Where no element holds
-    another of its name the next mark is the end; only other pages need the stack."""
-
-    def build(m):
-        opened = F.filter(m, lambda x: x["kind"] == "start")
-        after = F.slice(m, 2, F.size(m))
-        holds_own = F.exists(F.zip_with(m, after, lambda x, y: (x["kind"] == "start") & F.coalesce(y["kind"] == "start", F.lit(False))), lambda b: b)
-        ends = F.transform(F.array_sort(spans(m, F.size(toks))), lambda p: p["e"])
-        stacked = F.zip_with(opened, ends, lambda s, e: F.struct(s["i"].alias("i"), H.attr_map(s["t"]).alias("a"), e.alias("end"), s["t"].alias("t")))
-        return F.when(holds_own, stacked).otherwise(starts(name, toks))
+    The outer form and the test on the place stand for an inner explode: from that one the optimizer infers a filter on the
+    array, which it pushes below the projections and so computes the array a second time."""
+    rows = df.select(*keys, F.posexplode_outer(array).alias(names[0], names[1]))
+    return rows.filter(F.col(names[0]).isNotNull())
 
-    return let(H.marks(toks, name), build)
 
-
-def spans(marks: Column, n: Column) -> Column:
-    """Start/end pairs of the marks of one name by a stack: array<struct<o INT, e INT>>. Cost is
-    quadratic in the number of marks."""
-    init = F.struct(F.array().cast("array<int>").alias("stack"), F.array().cast("array<struct<o:int,e:int>>").alias("pairs"))
-
-    def step(acc, x):
-        st, pr = acc["stack"], acc["pairs"]
-        push = F.struct(F.concat(st, F.array(x["i"])).alias("stack"), pr.alias("pairs"))
-        pop = F.struct(
-            F.slice(st, 1, F.greatest(F.size(st) - 1, F.lit(0))).alias("stack"),
-            F.concat(pr, F.array(F.struct(F.element_at(st, -1).alias("o"), x["i"].alias("e")))).alias("pairs"),
-        )
-        return F.when(x["kind"] == "start", push).when(F.size(st) == 0, acc).otherwise(pop)
-
-    def finish(acc):
-        return F.concat(acc["pairs"], F.transform(acc["stack"], lambda s: F.struct(s.alias("o"), n.alias("e"))))
-
-    return F.aggregate(marks, init, step, finish)
-
-
-@page_cols
-def tags(names: list[str], toks: Column | None = None) -> Column:
-    """Start tags of the given names with attributes, document order: array<struct<i,name,a,t>>."""
-    return H.with_attrs(toks, names)
+def members(df: DataFrame, keys: list, array: Column, name: str) -> DataFrame:
+    """The keys with every member of an array (see ``exploded``)."""
+    return exploded(df, keys, array, "_at", name).drop("_at")
 
 
 def attr(s: Column, key: str) -> Column:
@@ -136,7 +80,3 @@ def truthy(c: Column) -> Column:
 def rel_tokens(s: Column) -> Column:
     r = H.strip(F.coalesce(attr(s, "rel"), F.lit("")))
     return F.filter(F.split(r, f"{H.WS_CLASS}+", -1), lambda x: x != "")
-
-
-def inside(child_i: Column, parent: Column) -> Column:
-    return (child_i > parent["i"]) & (child_i < parent["end"])

@@ -36,12 +36,12 @@ def text_sample(text: Column | None = None) -> Column:
 
 
 @page_cols
-def paragraph_count(toks: Column | None = None) -> Column:
-    return F.size(F.filter(toks, lambda x: (x["kind"] == "start") & (x["name"] == "p"))).cast("bigint")
+def paragraph_count(els: Column | None = None) -> Column:
+    return F.size(F.filter(els, lambda x: x["name"] == "p")).cast("bigint")
 
 
 @page_cols
-def text_stats(text: Column | None = None, toks: Column | None = None, with_paragraphs: bool = True) -> Column:
+def text_stats(text: Column | None = None, els: Column | None = None, with_paragraphs: bool = True) -> Column:
     wc = word_count(text)
     fields = [
         wc.alias("word_count"),
@@ -50,7 +50,7 @@ def text_stats(text: Column | None = None, toks: Column | None = None, with_para
         text_sample(text).alias("text_sample"),
     ]
     if with_paragraphs:
-        fields.append(paragraph_count(toks).alias("paragraph_count"))
+        fields.append(paragraph_count(els).alias("paragraph_count"))
     return F.struct(*fields)
 
 

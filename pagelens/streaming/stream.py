@@ -11,16 +11,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.functions import html as H
 from pagelens.functions.urls import cut_fragment
 from pagelens.operators import audit, text
+from pagelens.operators.parse import parsed
 
 PAGE_SCHEMA = "page_id bigint, url string, html string"
 
 
 def row_local_sections(pages: DataFrame) -> DataFrame:
     """Per-page sections that need nothing beyond the row (usable on a stream)."""
-    ctx = H.with_entities(pages).withColumn("toks", H.classify(H.tokenize(F.col("html")))).withColumn("text", H.visible_text(F.col("html")))
+    ctx = parsed(pages)
     headers = F.create_map().cast("map<string,string>")
     return ctx.select(
         "page_id", "url",
@@ -54,9 +54,8 @@ def page_stream(spark: SparkSession, path: str) -> DataFrame:
 
 def stream_report(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str) -> None:
     """Read page files as a stream, add the row-local sections, write parquet; runs every
-    available file once (``availableNow``) and stops. The entity map is a stream-static broadcast
-    join against one row."""
-    src = H.with_entities(page_stream(spark, in_dir))
+    available file once (``availableNow``) and stops."""
+    src = page_stream(spark, in_dir)
     q = (
         flat_sections(row_local_sections(src)).writeStream.format("parquet")
         .option("path", out_dir).option("checkpointLocation", checkpoint)
