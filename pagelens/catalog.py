@@ -55,6 +55,12 @@ def _ctx(df: DataFrame) -> DataFrame:
     return parsed(with_envelope(df) if "final_url" not in df.columns else df)
 
 
+def _report_with_certificates(spark, sf_dir) -> DataFrame:
+    certs = audit.cert_status(FX.certs_table(spark, sf_dir), F.to_timestamp(F.lit(CERT_AS_OF)))
+    pages = _pages(spark, sf_dir)
+    return R.analyze(pages, ssl=audit.ssl_for_pages(pages, certs))
+
+
 def _report(spark, sf_dir) -> DataFrame:
     return R.analyze(_pages(spark, sf_dir))
 
@@ -89,10 +95,10 @@ def q_seed_urls(spark, sf_dir):
 def q_sink_json(spark, sf_dir):
     """A4: the nested report written as JSON and read back."""
     path = scratch_path(spark, "report-json")
-    sinks.write_json(_report(spark, sf_dir), path)
+    sinks.write_json(_report_with_certificates(spark, sf_dir), path)
     back = spark.read.json(path)
     return back.select("page_id", F.col("meta.title").alias("title"), F.col("text_stats.word_count").alias("word_count"),
-                       F.col("links.total").alias("links_total"))
+                       F.col("links.total").alias("links_total"), F.col("ssl_info.valid").alias("ssl_valid"), F.size("_errors").alias("n_errors"))
 
 
 @query("sink_csv")
@@ -433,16 +439,12 @@ def q_cert_expiry(spark, sf_dir):
 
 @query("extract_errors")
 def q_extract_errors(spark, sf_dir):
-    """Pages whose body is missing get default sections and an error note; others none."""
-    g = H.with_entities(with_envelope(FX.graph_pages(spark, sf_dir)))
-    missing = F.col("html").isNull()
-    zero = F.struct(F.lit(0).cast("bigint").alias("word_count"), F.lit(0).cast("bigint").alias("character_count"))
-    page_text = H.visible_text(F.col("html"))
-    out = audit.with_errors(g, {
-        "text_stats": (F.struct(text.word_count(page_text).alias("word_count"), F.char_length(page_text).cast("bigint").alias("character_count")), missing, zero),
-        "technologies": (audit.technologies(F.col("html"), F.col("headers")), missing, F.array().cast("array<string>")),
-    })
-    return out.select("page_id", F.col("text_stats.word_count").alias("word_count"), F.array_join("_errors", "; ").alias("errors"))
+    """Pages with URLs that cannot be read: the section concerned has its default and a note, the others what they have."""
+    r = R.analyze(with_envelope(FX.fault_pages(spark, sf_dir)))
+    return r.select("page_id", F.array_join("_errors", "; ").alias("errors"), F.col("text_stats.word_count").alias("word_count"),
+                    F.col("meta.title").alias("title"), F.col("meta.favicon").alias("favicon"), F.col("links.total").alias("links_total"),
+                    F.col("links.mailto_count").alias("mailto_count"), F.col("images.count").alias("image_count"), F.size("media.videos").alias("videos"),
+                    F.size("scripts_styles.external_scripts").alias("scripts"), F.size("forms").alias("forms"), F.col("seo.total").alias("seo_total"))
 
 
 # --------------------------------------------------------------------------- D: robots, crawl
@@ -498,12 +500,9 @@ def q_link_graph(spark, sf_dir):
 
 
 def _crawl(spark, sf_dir):
-    from pagelens.session import checkpoint_dir
-
-    checkpoint_dir(spark)
-    corpus = with_envelope(FX.graph_pages(spark, sf_dir))
+    index = crawl.index_corpus(with_envelope(FX.graph_pages(spark, sf_dir)), scratch_path(spark, "crawl-index"))
     rules = robots.robots_rules(FX.graph_robots(spark, sf_dir))
-    return crawl.crawl(spark, None, None, GRAPH_SEED, GRAPH_DEPTH, GRAPH_MAX_PAGES, rules=rules, pages=corpus)
+    return crawl.crawl(spark, None, None, GRAPH_SEED, GRAPH_DEPTH, GRAPH_MAX_PAGES, rules=rules, index=index)
 
 
 @query("crawl_bfs")
@@ -563,7 +562,7 @@ def q_broken_links(spark, sf_dir):
 @query("page_report")
 def q_page_report(spark, sf_dir):
     """F0 (flagship): the full page report, flattened for comparison."""
-    return R.flat(_report(spark, sf_dir))
+    return R.flat(_report_with_certificates(spark, sf_dir))
 
 
 @query("crawl_summary")
@@ -609,9 +608,7 @@ def q_page_size(spark, sf_dir):
 
 @query("page_flags")
 def q_page_flags(spark, sf_dir):
-    certs = audit.cert_status(FX.certs_table(spark, sf_dir), F.to_timestamp(F.lit(CERT_AS_OF)))
-    pages = _pages(spark, sf_dir)
-    return R.page_flags(R.analyze(pages, ssl=audit.ssl_for_pages(pages, certs)))
+    return R.page_flags(_report_with_certificates(spark, sf_dir))
 
 
 # --------------------------------------------------------------------------- S: streaming

@@ -114,10 +114,10 @@ def _merge_segments(base_path: Column, ref_path: Column) -> Column:
     return _let(F.concat(base_dir, F.split(ref_path, "/", -1)), tidy)
 
 
-def resolve(base: Column, ref: Column) -> Column:
-    """``urljoin(base, ref)``."""
+def _joined(base: Column, b: Column, ref: Column) -> Column:
+    """``urljoin`` with the base also given in parts (``_split``)."""
 
-    def with_parts(b, r, ref_raw):
+    def with_parts(r, ref_raw):
         r_s = F.when(r["raw_s"] == "", b["s"]).otherwise(r["s"])
         segments = F.when(r["p"].startswith("/"), F.split(r["p"], "/", -1)).otherwise(_merge_segments(b["p"], r["p"]))
         merged = _unsplit(r_s, b["n"], _remove_dots(segments), r["q"], r["f"])
@@ -129,8 +129,7 @@ def resolve(base: Column, ref: Column) -> Column:
             .otherwise(merged)
         )
 
-    cleaned = F.regexp_replace(ref, r"[\t\r\n]", "")
-    joined = _let(_split(base), lambda b: _let(cleaned, lambda rr: _let(_split(rr), lambda r: with_parts(b, r, ref))))
+    joined = _let(F.regexp_replace(ref, r"[\t\r\n]", ""), lambda rr: _let(_split(rr), lambda r: with_parts(r, ref)))
     return (
         F.when(F.coalesce(base, F.lit("")) == "", ref)
         .when(F.coalesce(ref, F.lit("")) == "", base)
@@ -138,6 +137,38 @@ def resolve(base: Column, ref: Column) -> Column:
     )
 
 
+def resolve(base: Column, ref: Column) -> Column:
+    """``urljoin(base, ref)``."""
+    return _let(_split(base), lambda b: _joined(base, b, ref))
+
+
+def url_error(c: Column) -> Column:
+    """What ``urlsplit`` says of a URL that it cannot read (brackets of an IPv6 host); null for every other URL."""
+
+    def of(n):
+        opened, closed = n.contains("["), n.contains("]")
+        host = F.regexp_extract(n, r"\[([^\]]*)\]", 1)
+        return F.when(opened != closed, F.lit("Invalid IPv6 URL")).when(
+            opened & ~host.rlike(r"^[0-9A-Fa-f.]*:[0-9A-Fa-f:.]*(%.+)?$") & ~host.startswith("v"),
+            F.concat(F.lit("'"), host, F.lit("' does not appear to be an IPv4 or IPv6 address")))
+
+    return F.when(c.rlike(r"[\[\]]"), _let(netloc(c), of))
+
+
+def resolve_each(base: Column, items: Column, ref, into) -> Column:
+    """``into(item, url, error)`` for every item of an array: its reference ``ref(item)`` resolved against ``base``, and why it could
+    not be. The resolution stands once in the plan and the base is split once a row, however many items there are."""
+
+    def each(b, bad):
+        def one(x):
+            return _let(F.struct(ref(x).alias("r")), lambda s: into(
+                x, F.when(s["r"].isNotNull(), _joined(base, b, s["r"])), F.when(s["r"] != "", F.coalesce(bad, url_error(s["r"])))))
+
+        return F.transform(items, one)
+
+    return _let(F.struct(_split(base).alias("b"), url_error(base).alias("bad")), lambda x: each(x["b"], x["bad"]))
+
+
 def resolve_link(base: Column, ref: Column) -> Column:
     """Resolved reference without its fragment (what link extraction stores)."""
     return cut_fragment(resolve(base, ref))

@@ -120,17 +120,3 @@ def ssl_for_pages(pages: DataFrame, certs_status: DataFrame) -> DataFrame:
         ).otherwise(F.struct("valid", "issuer", "subject", "expires", "days_until_expiry", "error")),
     )
     return j.select("page_id", info.alias("ssl_info"))
-
-
-# --------------------------------------------------------------------------- error isolation
-
-
-def with_errors(df: DataFrame, sections: dict[str, tuple[Column, Column, Column]]) -> DataFrame:
-    """Error isolation per section: ``sections[name] = (value, failed, default)``. A failing
-    section takes its default and adds "name: <reason>" to ``_errors``; others are unaffected."""
-    out = df
-    errs = []
-    for name, (value, failed, default) in sections.items():
-        out = out.withColumn(name, F.when(failed, default).otherwise(value))
-        errs.append(F.when(failed, F.lit(f"{name}: could not be extracted")))
-    return out.withColumn("_errors", F.array_compact(F.array(*errs)))

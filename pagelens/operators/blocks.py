@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagelens.functions.urls import resolve
 from pagelens.functions.markup import within
 from pagelens.operators.parse import attr, let, page_cols, tags, truthy
 
 
 @page_cols
-def forms(els: Column | None = None, base: Column | None = None) -> Column:
+def forms(linked: Column | None = None, base: Column | None = None) -> Column:
     """Per <form>: action (resolved, else the page URL), method (upper, default GET), the
     input/textarea/select fields inside it in order, and whether one is a password field."""
     def one(f):
-        ins = F.filter(within(els, f), lambda x: x["name"].isin("input", "textarea", "select"))
+        ins = F.filter(within(linked, f), lambda x: x["name"].isin("input", "textarea", "select"))
         typed = F.transform(
             ins,
             lambda x: F.struct(
@@ -26,14 +25,14 @@ def forms(els: Column | None = None, base: Column | None = None) -> Column:
         action = attr(f, "action")
         method = attr(f, "method")
         return F.struct(
-            F.when(truthy(action), resolve(base, action)).otherwise(base).alias("action"),
+            F.when(truthy(action), f["url"]).otherwise(base).alias("action"),
             F.upper(F.when(truthy(method), method).otherwise(F.lit("GET"))).alias("method"),
             F.size(typed).cast("bigint").alias("input_count"),
             typed.alias("inputs"),
             F.exists(typed, lambda x: x["type"] == "password").alias("has_password_field"),
         )
 
-    return F.transform(tags(["form"], els), one)
+    return F.transform(tags(["form"], linked), one)
 
 
 @page_cols

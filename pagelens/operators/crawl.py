@@ -15,30 +15,28 @@ from pagelens import dims
 from pagelens.functions.urls import cut_fragment, netloc
 from pagelens.operators.parse import exploded
 from pagelens.operators.robots import can_fetch
-from pagelens.session import checkpoint_dir
+from pagelens.session import scratch_path
 
 RECORD_COLS = ["seq", "url", "depth", "outcome", "reason"]
 
 
 def crawl(spark: SparkSession, outcomes: DataFrame | None, edges: DataFrame | None, seed: str, depth: int, max_pages: int,
           rules: DataFrame | None = None, user_agent: str = dims.DEFAULT_USER_AGENT,
-          pages: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+          index: str | None = None) -> tuple[DataFrame, DataFrame]:
     """FIFO breadth-first crawl from ``seed``.
 
     ``outcomes``: (url, outcome, reason) per stored fetch, keyed by the requested URL;
     ``edges``: (src, rank, dst) internal links of ok pages in document order, fragments cut.
-    Alternatively pass ``pages`` (the stored corpus with its envelope): then each level fetches
-    only the pages it takes — the corpus scan is joined with the level's URL list and only those
-    pages are parsed — so the parsing work follows the crawl budget, not the corpus size.
+    Alternatively ``index`` names a table that ``index_corpus`` wrote: a level then reads the buckets of the URLs it
+    takes and nothing else, so no level touches the pages themselves.
     Returns (records, blocked): records (seq, url, depth, outcome, reason) in crawl order, at
     most ``max_pages``; blocked (url, depth) robots-blocked URLs that were dequeued.
 
     FIFO order is reproduced by ranking each level by (parent's sequence number, link rank). A URL
     is visited on first dequeue; robots-blocked URLs are visited but use no budget; failed and
-    non-HTML pages use budget and are not expanded. Each level is written to the checkpoint folder,
-    so lineage stays one level deep and a lost executor recomputes at most one level.
+    non-HTML pages use budget and are not expanded. A level writes its candidates, what it takes and what that gave to
+    the shared folder; everything later reads those tables, so lineage stays one level deep.
     """
-    checkpoint_dir(spark)
     seed_norm = seed.split("#")[0]
     seed_net = netloc(F.lit(seed_norm))
     frontier = spark.createDataFrame([(seed_norm, 0, 0)], "url string, parent_seq long, link_rank int")
@@ -49,47 +47,71 @@ def crawl(spark: SparkSession, outcomes: DataFrame | None, edges: DataFrame | No
     for d in range(depth + 1):
         cand = frontier.groupBy("url").agg(F.min(F.struct("parent_seq", "link_rank")).alias("ord"))
         cand = cand.join(visited, "url", "left_anti")
-        if rules is not None:
-            cand = can_fetch(cand, rules, user_agent)
-        else:
-            cand = cand.withColumn("allowed", F.lit(True))
-        cand = cand.checkpoint()
-        allowed = cand.filter("allowed")
+        cand = can_fetch(cand, rules, user_agent) if rules is not None else cand.withColumn("allowed", F.lit(True))
+        cand = stored(cand.select("url", "ord", "allowed"), f"crawl-candidates{d}")
         budget = max_pages - taken_so_far
         # a top-k: the level's first URLs, as many as the budget has left
-        ranked = allowed.select("url", "ord").orderBy("ord").limit(budget)
-        ranked = ranked.withColumn("r", F.row_number().over(Window.orderBy("ord"))).checkpoint()
+        ranked = cand.filter("allowed").select("url", "ord").orderBy("ord").limit(budget)
+        ranked = stored(ranked.withColumn("r", F.row_number().over(Window.orderBy("ord"))), f"crawl-taken{d}")
         n_taken = ranked.count()
-        if n_taken == 0 and cand.count() == 0:
+        if n_taken == 0 and cand.isEmpty():
             break
         # blocked URLs dequeued before the budget ran out are visited (and reported)
-        last_ord = ranked.agg(F.max("ord").alias("m"))
         blocked = cand.filter(~F.col("allowed"))
         if n_taken == budget:
-            blocked = blocked.crossJoin(F.broadcast(last_ord)).filter(F.col("ord") < F.col("m"))
-        blocked = blocked.select("url", F.lit(d).alias("depth")).checkpoint()
-        if pages is not None:
-            fetched = fetch_table(pages.join(ranked.select("url"), "url")).checkpoint()
-            lvl_outcomes = fetched.select("url", "outcome", "reason")
-            lvl_edges = edges_from_fetches(fetched)
+            blocked = blocked.crossJoin(F.broadcast(ranked.agg(F.max("ord").alias("m")))).filter(F.col("ord") < F.col("m"))
+        blocked = blocked.select("url", F.lit(d).alias("depth"))
+        blocked_all = blocked_all.unionByName(blocked)
+        if index is not None:
+            found = read_index(spark, index, ranked).select("url", "outcome", "reason", "internal")
         else:
-            lvl_outcomes, lvl_edges = outcomes, edges
-        recs = ranked.join(lvl_outcomes, "url", "left").select(
+            found = outcomes.select("url", "outcome", "reason").withColumn("internal", F.lit(None).cast("array<string>"))
+        recs = stored(ranked.join(found, "url", "left").select(
             (F.col("r") + F.lit(taken_so_far)).cast("long").alias("seq"), "url", F.lit(d).alias("depth"),
             F.coalesce("outcome", F.lit("error")).alias("outcome"),
-            F.when(F.col("outcome").isNull(), F.lit("not in the stored corpus")).otherwise(F.col("reason")).alias("reason"),
-        ).checkpoint()
-        records = records.unionByName(recs)
-        blocked_all = blocked_all.unionByName(blocked)
-        visited = visited.unionByName(ranked.select("url")).unionByName(blocked.select("url")).checkpoint()
+            F.when(F.col("outcome").isNull(), F.lit("not in the stored corpus")).otherwise(F.col("reason")).alias("reason"), "internal",
+        ), f"crawl-records{d}")
+        records = records.unionByName(recs.select(*RECORD_COLS))
+        visited = visited.unionByName(ranked.select("url")).unionByName(blocked.select("url"))
         taken_so_far += n_taken
         if taken_so_far >= max_pages or d == depth:
             break
-        nxt = recs.filter(F.col("outcome") == "ok").select(F.col("url").alias("src"), F.col("seq").alias("parent_seq"))
-        frontier = nxt.join(lvl_edges, "src").select(
-            F.col("dst").alias("url"), "parent_seq", F.col("rank").cast("int").alias("link_rank")
-        ).filter(netloc(F.col("url")) == seed_net).checkpoint()
-    return records.select(*RECORD_COLS), blocked_all
+        ok = recs.filter(F.col("outcome") == "ok")
+        if index is not None:
+            nxt = exploded(ok, [F.col("seq").alias("parent_seq")], F.col("internal"), "link_rank", "url")
+        else:
+            nxt = ok.select(F.col("url").alias("src"), F.col("seq").alias("parent_seq")).join(edges, "src").select(
+                F.col("dst").alias("url"), "parent_seq", F.col("rank").cast("int").alias("link_rank"))
+        frontier = nxt.filter(netloc(F.col("url")) == seed_net).select("url", "parent_seq", "link_rank")
+    return records, blocked_all
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _bucket(url, buckets: int):
+    return F.pmod(F.xxhash64(url), F.lit(buckets)).cast("int")
+
+
+def index_corpus(pages: DataFrame, path: str, buckets: int = 64) -> str:
+    """Writes what crawls need of a stored corpus, once: per requested URL the outcome and the links to follow, in folders by
+    URL bucket and sorted by URL inside. Any number of crawls then run on it."""
+    table = fetch_table(pages).select("url", "outcome", "reason", "internal", _bucket(F.col("url"), buckets).alias("bucket"))
+    table.repartition(buckets, "bucket").sortWithinPartitions("bucket", "url").write.partitionBy("bucket").parquet(path)
+    pages.sparkSession.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{path}-buckets")
+    return path
+
+
+def read_index(spark: SparkSession, path: str, urls: DataFrame) -> DataFrame:
+    """The index's rows in the buckets of the given URLs; the list of buckets is at most their number, which is fixed."""
+    buckets = spark.read.parquet(f"{path}-buckets").first().buckets
+    own = [r.b for r in urls.select(_bucket(F.col("url"), buckets).alias("b")).distinct().collect()]
+    schema = "url string, outcome string, reason string, internal array<string>, bucket int"
+    return spark.read.schema(schema).parquet(path).filter(F.col("bucket").isin(own))
 
 
 def crawl_trace(records: DataFrame, blocked: DataFrame) -> DataFrame:

@@ -8,20 +8,22 @@ from pyspark.sql import functions as F
 
 from pagelens import dims
 from pagelens.functions import html as H
-from pagelens.functions.urls import cut_fragment, netloc, resolve_link
+from pagelens.functions.urls import cut_fragment, netloc
 from pagelens.functions.markup import element_text
 from pagelens.operators.parse import attr, exploded, let, page_cols, rel_tokens, tags
 
 
 @page_cols
-def anchors(els: Column | None = None, texts: Column | None = None) -> Column:
-    """<a> tags that carry an href: array<struct<i, href (stripped), text, nofollow>>."""
-    a = F.filter(tags(["a"], els), lambda s: F.map_contains_key(s["a"], "href"))
+def anchors(linked: Column | None = None, texts: Column | None = None) -> Column:
+    """<a> tags that carry an href: array<struct<i, href (stripped), url, bad, text, nofollow>>."""
+    a = F.filter(tags(["a"], linked), lambda s: F.map_contains_key(s["a"], "href"))
     return F.transform(
         a,
         lambda s: F.struct(
             s["i"].alias("i"),
             H.strip(attr(s, "href")).alias("href"),
+            s["url"].alias("url"),
+            s["bad"].alias("bad"),
             F.substring(element_text(texts, s), 1, dims.LINK_TEXT_CHARS).alias("text"),
             F.exists(rel_tokens(s), lambda r: F.lower(r) == "nofollow").alias("nofollow"),
         ),
@@ -46,17 +48,17 @@ def tel(anc: Column) -> Column:
     return F.transform(sel, lambda x: F.substr(x["href"], F.lit(5)))
 
 
+def followed(anc: Column) -> Column:
+    """The anchors that lead to a page: neither mailto nor tel."""
+    return F.filter(_usable(anc), lambda x: ~F.lower(x["href"]).startswith("mailto:") & ~F.lower(x["href"]).startswith("tel:"))
+
+
 @page_cols
 def page_links(anc: Column, base: Column | None = None) -> Column:
     """Resolved, fragment-free links, first occurrence of each URL kept, in document order:
     array<struct<url, text, nofollow, internal>>."""
-    rest = F.filter(
-        _usable(anc), lambda x: ~F.lower(x["href"]).startswith("mailto:") & ~F.lower(x["href"]).startswith("tel:")
-    )
     resolved = F.transform(
-        rest,
-        lambda x: F.struct(resolve_link(base, x["href"]).alias("url"), x["text"].alias("text"), x["nofollow"].alias("nofollow")),
-    )
+        followed(anc), lambda x: F.struct(cut_fragment(x["url"]).alias("url"), x["text"].alias("text"), x["nofollow"].alias("nofollow")))
     base_net = netloc(base)
 
     def first_only(res):

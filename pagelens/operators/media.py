@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagelens import dims
-from pagelens.functions.urls import resolve
 from pagelens.functions.markup import within
 from pagelens.operators.parse import attr, let, page_cols, rel_tokens, tags, truthy
 
@@ -17,17 +16,17 @@ def _or(a: Column, b: Column) -> Column:
 
 
 @page_cols
-def images(els: Column | None = None, base: Column | None = None) -> Column:
+def images(linked: Column | None = None) -> Column:
     """Every <img> in order: src (or data-src; data URIs summarised; resolved), alt, width, height."""
     def one(s):
         src = _or(attr(s, "src"), _or(attr(s, "data-src"), F.lit("")))
         shown = (
             F.when(src.startswith("data:"), F.format_string("[inline data-uri, %d chars]", F.char_length(src)))
-            .when(src != "", resolve(base, src))
+            .when(src != "", s["url"])
         )
         return F.struct(shown.alias("src"), attr(s, "alt").alias("alt"), attr(s, "width").alias("width"), attr(s, "height").alias("height"))
 
-    return F.transform(tags(["img"], els), one)
+    return F.transform(tags(["img"], linked), one)
 
 
 def image_section(items: Column) -> Column:
@@ -39,50 +38,69 @@ def image_section(items: Column) -> Column:
 
 
 @page_cols
-def videos(els: Column | None = None, base: Column | None = None) -> Column:
+def videos(linked: Column | None = None) -> Column:
     """Sorted distinct sources of <video src> and of <source src> inside a <video>."""
     def build(vids):
-        own = F.transform(F.filter(vids, lambda v: truthy(attr(v, "src"))), lambda v: attr(v, "src"))
+        own = F.transform(F.filter(vids, lambda v: truthy(attr(v, "src"))), lambda v: v["url"])
         nested = F.flatten(F.transform(vids, lambda v: F.transform(
-            F.filter(within(els, v), lambda s: (s["name"] == "source") & truthy(attr(s, "src"))), lambda s: attr(s, "src"))))
-        return F.array_sort(F.array_distinct(F.transform(F.concat(own, nested), lambda u: resolve(base, u))))
+            F.filter(within(linked, v), lambda s: (s["name"] == "source") & truthy(attr(s, "src"))), lambda s: s["url"])))
+        return F.array_sort(F.array_distinct(F.concat(own, nested)))
 
-    return let(tags(["video"], els), build)
+    return let(tags(["video"], linked), build)
 
 
 @page_cols
-def audios(els: Column | None = None, base: Column | None = None) -> Column:
+def audios(linked: Column | None = None) -> Column:
     """Sorted distinct <audio src> (child <source> elements are not read)."""
-    a = F.filter(tags(["audio"], els), lambda s: truthy(attr(s, "src")))
-    return F.array_sort(F.array_distinct(F.transform(a, lambda s: resolve(base, attr(s, "src")))))
+    a = F.filter(tags(["audio"], linked), lambda s: truthy(attr(s, "src")))
+    return F.array_sort(F.array_distinct(F.transform(a, lambda s: s["url"])))
 
 
 @page_cols
-def players(els: Column | None = None, base: Column | None = None) -> Column:
+def players(linked: Column | None = None) -> Column:
     """iframes whose src names a video player, document order, duplicates kept."""
-    fr = F.filter(tags(["iframe"], els), lambda s: F.map_contains_key(s["a"], "src"))
-    hit = F.filter(fr, lambda s: F.exists(F.array(*[F.lit(m) for m in dims.PLAYER_MARKERS]), lambda m: F.instr(attr(s, "src"), m) > 0))
-    return F.transform(hit, lambda s: resolve(base, attr(s, "src")))
+    return F.transform(_player_frames(linked), lambda s: s["url"])
+
+
+def _player_frames(linked: Column) -> Column:
+    fr = F.filter(tags(["iframe"], linked), lambda s: F.map_contains_key(s["a"], "src"))
+    return F.filter(fr, lambda s: F.exists(F.array(*[F.lit(m) for m in dims.PLAYER_MARKERS]), lambda m: F.instr(attr(s, "src"), m) > 0))
+
+
+@page_cols
+def media_section(linked: Column | None = None) -> Column:
+    return F.struct(videos(linked).alias("videos"), audios(linked).alias("audios"), players(linked).alias("embedded_players"))
+
+
+@page_cols
+def media_refs(linked: Column | None = None) -> Column:
+    """The elements whose URL the media section resolves."""
+    return F.concat(F.filter(linked, lambda s: s["name"].isin("video", "audio", "source") & truthy(attr(s, "src"))), _player_frames(linked))
+
+
+def _is_sheet(s: Column) -> Column:
+    return (s["name"] == "link") & F.array_contains(rel_tokens(s), "stylesheet") & truthy(attr(s, "href"))
 
 
 @page_cols
-def media_section(els: Column | None = None, base: Column | None = None) -> Column:
-    return F.struct(videos(els, base).alias("videos"), audios(els, base).alias("audios"), players(els, base).alias("embedded_players"))
+def script_refs(linked: Column | None = None) -> Column:
+    """The elements whose URL the scripts section resolves."""
+    return F.filter(linked, lambda s: (s["name"] == "script") | _is_sheet(s))
 
 
 @page_cols
-def scripts_styles(els: Column | None = None, base: Column | None = None) -> Column:
+def scripts_styles(linked: Column | None = None) -> Column:
     """External scripts (src present, even empty), inline scripts (src missing or empty),
     stylesheets (rel token "stylesheet" with an href), inline <style> count."""
     def build(tg):
         scripts = F.filter(tg, lambda s: s["name"] == "script")
-        ext = F.transform(F.filter(scripts, lambda s: F.map_contains_key(s["a"], "src")), lambda s: resolve(base, attr(s, "src")))
-        sheets = F.filter(tg, lambda s: (s["name"] == "link") & F.array_contains(rel_tokens(s), "stylesheet") & truthy(attr(s, "href")))
+        ext = F.transform(F.filter(scripts, lambda s: F.map_contains_key(s["a"], "src")), lambda s: s["url"])
+        sheets = F.filter(tg, _is_sheet)
         return F.struct(
             ext.alias("external_scripts"),
             F.size(F.filter(scripts, lambda s: ~truthy(attr(s, "src")))).cast("bigint").alias("inline_script_count"),
-            F.transform(sheets, lambda s: resolve(base, attr(s, "href"))).alias("external_stylesheets"),
+            F.transform(sheets, lambda s: s["url"]).alias("external_stylesheets"),
             F.size(F.filter(tg, lambda s: s["name"] == "style")).cast("bigint").alias("inline_style_count"),
         )
 
-    return let(tags(["script", "link", "style"], els), build)
+    return let(tags(["script", "link", "style"], linked), build)

@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagelens.functions import html as H
-from pagelens.functions.urls import resolve
 from pagelens.functions.markup import element_text
 from pagelens.operators.parse import attr, let, page_cols, rel_tokens, tags, truthy
 
@@ -38,23 +37,33 @@ def meta_tags(els: Column | None = None) -> Column:
 
 
 @page_cols
-def meta_document(els: Column | None = None, base: Column | None = None) -> Column:
+def meta_document(linked: Column | None = None) -> Column:
     """language, canonical (raw href), favicon (resolved), charset."""
-    return let(tags(["html", "link", "meta"], els), lambda tg: _meta_document(tg, base))
+    return let(tags(["html", "link", "meta"], linked), _meta_document)
 
 
-def _meta_document(tg: Column, base: Column) -> Column:
+def _icon(links: Column) -> Column:
+    return F.get(F.filter(links, lambda s: F.lower(F.coalesce(attr(s, "rel"), F.lit(""))).contains("icon")), 0)
+
+
+@page_cols
+def icon_refs(linked: Column | None = None) -> Column:
+    """The elements whose URL the meta section resolves: the first icon."""
+    return F.array_compact(F.array(_icon(tags(["link"], linked))))
+
+
+def _meta_document(tg: Column) -> Column:
     html_tag = F.get(F.filter(tg, lambda s: s["name"] == "html"), 0)
     links = F.filter(tg, lambda s: s["name"] == "link")
     canonical = F.get(F.filter(links, lambda s: F.array_contains(rel_tokens(s), "canonical")), 0)
-    icon = F.get(F.filter(links, lambda s: F.lower(F.coalesce(attr(s, "rel"), F.lit(""))).contains("icon")), 0)
+    icon = _icon(links)
     charset = F.get(F.filter(tg, lambda s: (s["name"] == "meta") & F.map_contains_key(s["a"], "charset")), 0)
     can_href = attr(canonical, "href")
     icon_href = attr(icon, "href")
     return F.struct(
         attr(html_tag, "lang").alias("language"),
         F.when(truthy(can_href), can_href).alias("canonical"),
-        F.when(truthy(icon_href), resolve(base, icon_href)).alias("favicon"),
+        F.when(truthy(icon_href), icon["url"]).alias("favicon"),
         attr(charset, "charset").alias("charset"),
     )
 
@@ -91,9 +100,9 @@ def headings(els: Column | None = None, texts: Column | None = None) -> Column:
 
 
 @page_cols
-def meta_section(els: Column | None = None, texts: Column | None = None, base: Column | None = None) -> Column:
+def meta_section(els: Column | None = None, texts: Column | None = None, linked: Column | None = None) -> Column:
     """The page's ``meta`` record."""
-    return let(title(els, texts), lambda t: let(meta_tags(els), lambda mt: let(meta_document(els, base), lambda md: _meta_record(els, t, mt, md))))
+    return let(title(els, texts), lambda t: let(meta_tags(els), lambda mt: let(meta_document(linked), lambda md: _meta_record(els, t, mt, md))))
 
 
 def _meta_record(els: Column, t: Column, mt: Column, md: Column) -> Column:

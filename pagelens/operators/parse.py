@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import html as H
 from pagelens.functions import markup
+from pagelens.functions.urls import resolve_each
 
-_DEFAULT_COLS = {"els": "els", "texts": "texts", "text": "text", "base": "final_url"}
+_DEFAULT_COLS = {"els": "els", "linked": "linked", "texts": "texts", "text": "text", "base": "final_url"}
 
 
 def page_cols(fn):
-    """Fill ``els`` / ``texts`` / ``text`` / ``base`` arguments left as None with the context columns."""
+    """Fill ``els`` / ``linked`` / ``texts`` / ``text`` / ``base`` arguments left as None with the context columns."""
     sig = inspect.signature(fn)
     names = [n for n in sig.parameters if n in _DEFAULT_COLS]
 
@@ -36,9 +37,34 @@ def page_cols(fn):
 
 
 def parsed(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """Add ``els``, ``texts``, ``text`` and ``ntok`` to a page table."""
+    """Add ``els``, ``texts``, ``text`` and ``ntok`` to a page table, and (where it has ``final_url``) ``linked``: the elements with
+    their URL resolved (``url``) and what is wrong with it (``bad``)."""
     out = pages.withColumn("_page", markup.parse_page(F.col(html_col)))
-    return out.select("*", "_page.els", "_page.texts", "_page.text", "_page.ntok").drop("_page")
+    out = out.select("*", "_page.els", "_page.texts", "_page.text", "_page.ntok").drop("_page")
+    return out.withColumn("linked", linked(F.col("els"), F.col("final_url"))) if "final_url" in out.columns else out
+
+
+def reference(e: Column) -> Column:
+    """The URL an element refers to, as written; null where it has none."""
+    src = attr(e, "src")
+    return (
+        F.when(e["name"] == "a", H.strip(attr(e, "href")))
+        .when(e["name"] == "link", attr(e, "href"))
+        .when(e["name"] == "form", attr(e, "action"))
+        .when(e["name"] == "img", F.coalesce(F.when(truthy(src), src), attr(e, "data-src"), F.lit("")))
+        .when(e["name"].isin("script", "video", "audio", "source", "iframe"), src)
+    )
+
+
+def linked(els: Column, base: Column) -> Column:
+    """Every element with ``url`` and ``bad``: each reference of a page is resolved once, for all sections."""
+    keep = ["i", "end", "k", "n", "name", "a", "t0", "t1"]
+    return resolve_each(base, els, reference, lambda e, url, bad: F.struct(*[e[c].alias(c) for c in keep], url.alias("url"), bad.alias("bad")))
+
+
+def first_error(items: Column) -> Column:
+    """The first thing wrong among items with ``bad``; null if nothing is."""
+    return F.get(F.filter(F.transform(items, lambda x: x["bad"]), lambda b: b.isNotNull()), 0)
 
 
 def let(value: Column, body) -> Column:

@@ -160,7 +160,7 @@ def can_fetch_agents(urls: DataFrame, rules: DataFrame, user_agents: list[str],
     robots row allows. The URL side is read once, its key is made once, and it is never regrouped.
     """
     from pagelens.functions.urls import netloc
-    from pagelens.operators.parse import let
+    from pagelens.operators.parse import let, members
 
     tokens = sorted({agent_token(a) for a in user_agents})
     hr = host_rules(rules, user_agents).select(F.col("host").alias("_rhost"), F.col("rules").alias("_rules"))
@@ -173,7 +173,8 @@ def can_fetch_agents(urls: DataFrame, rules: DataFrame, user_agents: list[str],
         return F.struct(F.lit(token).alias("agent"), F.coalesce(first["allow"], F.lit(True)).alias("allowed"))
 
     each = let(url_key(F.col(url_col)), lambda k: F.array(*[verdict(k, t) for t in tokens]))
-    return j.select(*[F.col(c) for c in urls.columns], F.inline(each))
+    # the outer form: no filter on the verdicts is inferred, which would compute them twice
+    return members(j, [F.col(c) for c in urls.columns], each, "_v").select(*urls.columns, "_v.agent", "_v.allowed")
 
 
 def can_fetch(urls: DataFrame, rules: DataFrame, user_agent: str = dims.DEFAULT_USER_AGENT, url_col: str = "url") -> DataFrame:

@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelens.operators import audit, blocks, links, media, meta, text
-from pagelens.operators.parse import parsed
+from pagelens.operators.parse import attr, first_error, parsed, tags
 from pagelens.session import scratch_path
 from pagelens.sources.pages import classify
 
 ENVELOPE_OUT = ["page_id", "url", "final_url", "redirected", "redirect_chain", "fetched_at", "status_code", "reason",
                 "elapsed_sec", "content_type", "encoding", "content_length_bytes", "headers"]
 SECTIONS = ["text_stats", "meta", "headings", "links", "images", "media", "scripts_styles", "forms", "tables",
-            "structured_data", "social_links", "contacts", "keyword_density", "seo", "security_headers", "technologies"]
+            "structured_data", "social_links", "contacts", "keyword_density", "seo", "security_headers", "technologies", "_errors"]
 
 
 def analyze(pages: DataFrame, ssl: DataFrame | None = None, order_col: str = "page_id") -> DataFrame:
@@ -26,6 +26,9 @@ def analyze(pages: DataFrame, ssl: DataFrame | None = None, order_col: str = "pa
 
     ``pages`` comes from ``read_pages``; ``ssl`` (optional) is ``ssl_for_pages`` output keyed by
     page_id — one row per page, joined by an equi-join on page_id.
+
+    A section that meets a URL it cannot read takes its default and adds "section: reason" to ``_errors``; the others
+    are not affected, the page is not lost.
     """
     p = classify(pages)
     ok = F.col("outcome") == "ok"
@@ -34,17 +37,30 @@ def analyze(pages: DataFrame, ssl: DataFrame | None = None, order_col: str = "pa
     keep = [c for c in ENVELOPE_OUT if c in ctx.columns] + ["outcome", "outcome_reason", "error"]
     if order_col not in keep:
         keep.append(order_col)
+    # what a section cannot read is found first; such a section is then computed over no elements, which gives its default
+    failed = {
+        "meta": first_error(meta.icon_refs()),
+        "links": first_error(links.followed(links.anchors())),
+        "images": first_error(F.filter(tags(["img"], F.col("linked")), lambda x: ~F.coalesce(attr(x, "src"), F.lit("")).startswith("data:"))),
+        "media": first_error(media.media_refs()),
+        "scripts_styles": first_error(media.script_refs()),
+        "forms": first_error(tags(["form"], F.col("linked"))),
+    }
+    ctx = ctx.withColumn("_failed", F.struct(*[c.alias(k) for k, c in failed.items()]))
+    sound = lambda k: F.filter("linked", lambda x: F.col("_failed")[k].isNull())
+    said = F.array_compact(F.array(*[F.concat(F.lit(f"{k}: "), F.col("_failed")[k]) for k in failed]))
     s2 = ctx.select(
         *keep,
         "text",
+        said.alias("_errors"),
         text.text_stats().alias("text_stats"),
-        meta.meta_section().alias("meta"),
+        F.when(F.col("_failed.meta").isNull(), meta.meta_section()).alias("meta"),
         meta.headings().alias("headings"),
-        links.anchors().alias("_anc"),
-        media.images().alias("_img"),
-        media.media_section().alias("media"),
-        media.scripts_styles().alias("scripts_styles"),
-        blocks.forms().alias("forms"),
+        links.anchors(sound("links")).alias("_anc"),
+        media.images(sound("images")).alias("_img"),
+        media.media_section(sound("media")).alias("media"),
+        media.scripts_styles(sound("scripts_styles")).alias("scripts_styles"),
+        blocks.forms(sound("forms")).alias("forms"),
         blocks.tables().alias("tables"),
         blocks.structured_data().alias("structured_data"),
         text.keyword_density().alias("keyword_density"),
@@ -89,6 +105,8 @@ def flat(report: DataFrame) -> DataFrame:
         F.array_join(r("technologies"), "; ").alias("technologies"),
         F.size(r("keyword_density")).cast("bigint").alias("keyword_rows"),
         F.array_join(r("contacts.emails"), " ").alias("emails"),
+        F.array_join(r("_errors"), "; ").alias("errors"),
+        r("ssl_info.valid").alias("ssl_valid"), r("ssl_info.error").alias("ssl_error"),
     )
 
 

@@ -296,6 +296,21 @@ def graph_url_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mx.select(F.explode(rows).alias("r")).select("r.url", "r.status_code")
 
 
+def fault_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page per supplier, some with URLs that cannot be read: a favicon, a link, an image, a video, a script or a form's action."""
+    s = read(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    html = F.concat(
+        _fmt("<html><head><title>Supplier %d</title>", k),
+        _if(k % 3 == 0, '<link rel="icon" href="http://[bad/i.ico">'), _if(k % 3 == 1, '<link rel="icon" href="/i.ico">'),
+        F.lit('</head><body><p>Alpha beta</p><a href="/ok">gamma</a><a href="mailto:[x">mail</a>'),
+        _if(k % 4 == 0, '<a href="http://[::1/x">six</a>'), _if(k % 4 == 1, '<a href="http://[::1]/x">six</a>'),
+        F.lit('<img src="/a.png" alt="x"><img src="data:[" alt="">'), _if(k % 5 == 0, '<img data-src="//zz]/a.png" alt="y">'),
+        _if(k % 8 == 0, '<video src="http://[v/x.mp4"></video>'), _if(k % 6 == 0, '<script src="//[zz]/s.js"></script>'),
+        F.lit('<form action="/f"><input name="q"></form>'), _if(k % 7 == 0, '<form action="http://x]/f"></form>'), F.lit("</body></html>"))
+    return s.select(k.alias("page_id"), _fmt("https://sup.example.com/f/%d", k).alias("url"), html.alias("html"))
+
+
 def graph_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored crawl corpus: page i per order key links to 2i+1 and 2i+2 (when they exist), back
     to the root, and to a fragment variant of its first child. Every 17th page is stored as a PDF,
