@@ -20,7 +20,7 @@ from pagelens.operators import audit, blocks, crawl, health, links, media, meta,
 from pagelens.operators.parse import exploded, members, parsed
 from pagelens.plans import report as R
 from pagelens.plans import sinks
-from pagelens.session import ensure_conf, scratch_path, table_path
+from pagelens.session import ensure_conf, read_table, scratch_path, table_path
 from pagelens.sources import fixtures as FX
 from pagelens.sources.pages import classify, read_pages, with_envelope
 from pagelens.streaming import stream as S
@@ -85,7 +85,7 @@ def q_page_outcome(spark, sf_dir):
 @query("seed_urls")
 def q_seed_urls(spark, sf_dir):
     """A3: seed normalisation of page URLs as typed (with and without scheme, padded)."""
-    p = spark.read.parquet(table_path(sf_dir, "pages")).select("page_id", "url")
+    p = read_table(spark, sf_dir, "pages").select("page_id", "url")
     variants = F.array(F.col("url"), F.concat(F.lit("  "), F.substring_index("url", "://", -1), F.lit(" ")))
     v = exploded(p, ["page_id"], F.col(variants), "variant", "typed")
     return v.select("page_id", "variant", normalize_url(F.col("typed")).alias("seed"))
@@ -124,7 +124,7 @@ def q_sink_text(spark, sf_dir):
 @query("html_tokens")
 def q_html_tokens(spark, sf_dir):
     """B1: ordered tokens of every page."""
-    p = spark.read.parquet(table_path(sf_dir, "pages"))
+    p = read_table(spark, sf_dir, "pages")
     t = exploded(p, ["page_id"], markup.page_tokens(F.col("html")), "pos", "t")
     return t.select("page_id", "pos", "t.kind", "t.name", F.char_length("t.raw").cast("bigint").alias("raw_len"))
 
@@ -139,14 +139,14 @@ def elements(pages: DataFrame) -> DataFrame:
 @query("html_elements")
 def q_html_elements(spark, sf_dir):
     """B2: element intervals."""
-    e = elements(spark.read.parquet(table_path(sf_dir, "pages")))
+    e = elements(read_table(spark, sf_dir, "pages"))
     return e.select("page_id", "pos", "name", "end_pos", F.size(F.map_keys("attrs")).cast("bigint").alias("n_attrs"))
 
 
 @query("html_unescape")
 def q_html_unescape(spark, sf_dir):
     """Decoded text tokens holding character references."""
-    p = spark.read.parquet(table_path(sf_dir, "pages"))
+    p = read_table(spark, sf_dir, "pages")
     t = exploded(p, ["page_id"], markup.page_tokens(F.col("html")), "pos", "t").filter(F.col("t.kind") == "text").select("page_id", "pos", "t.raw")
     t = H.with_entities(t.filter(F.col("raw").contains("&")))
     return t.select("page_id", "pos", H.unescape(F.col("raw")).alias("decoded"))
@@ -155,7 +155,7 @@ def q_html_unescape(spark, sf_dir):
 @query("visible_text")
 def q_visible_text(spark, sf_dir):
     """Page text length, word count and digest."""
-    c = _ctx(spark.read.parquet(table_path(sf_dir, "pages")))
+    c = _ctx(read_table(spark, sf_dir, "pages"))
     return c.select("page_id", F.char_length("text").cast("bigint").alias("n_chars"), text.word_count().alias("n_words"),
                     F.md5("text").alias("text_md5"))
 
@@ -163,7 +163,7 @@ def q_visible_text(spark, sf_dir):
 @query("element_text")
 def q_element_text(spark, sf_dir):
     """Text of every h1 (nodes stripped and joined without separator)."""
-    c = _ctx(spark.read.parquet(table_path(sf_dir, "pages")))
+    c = _ctx(read_table(spark, sf_dir, "pages"))
     h = exploded(c, ["page_id"], meta.headings()["h1"], "idx", "text")
     return h
 
@@ -171,7 +171,7 @@ def q_element_text(spark, sf_dir):
 @query("url_resolve")
 def q_url_resolve(spark, sf_dir):
     """Every <a href> of every page resolved against the page URL (fragment cut)."""
-    c = _ctx(spark.read.parquet(table_path(sf_dir, "pages")))
+    c = _ctx(read_table(spark, sf_dir, "pages"))
     a = exploded(c, ["page_id", "final_url"], links.anchors(), "idx", "a")
     return a.select("page_id", "idx", F.col("a.href").alias("href"), resolve_link(F.col("final_url"), F.col("a.href")).alias("resolved"))
 
@@ -179,7 +179,7 @@ def q_url_resolve(spark, sf_dir):
 @query("url_parts")
 def q_url_parts(spark, sf_dir):
     """Scheme, netloc and hostname of page URLs."""
-    p = spark.read.parquet(table_path(sf_dir, "pages"))
+    p = read_table(spark, sf_dir, "pages")
     return p.select("page_id", scheme(F.col("url")).alias("scheme"), netloc(F.col("url")).alias("netloc"),
                     hostname(F.col("url")).alias("hostname"))
 
@@ -189,7 +189,7 @@ def q_url_parts(spark, sf_dir):
 
 @query("page_title")
 def q_page_title(spark, sf_dir):
-    c = _ctx(spark.read.parquet(table_path(sf_dir, "pages")))
+    c = _ctx(read_table(spark, sf_dir, "pages"))
     t = meta.title()
     return c.select("page_id", t.alias("title"), F.coalesce(F.char_length(t), F.lit(0)).cast("bigint").alias("title_length"))
 
@@ -240,7 +240,7 @@ def q_headings(spark, sf_dir):
 @query("text_stats")
 def q_text_stats(spark, sf_dir):
     """C7 over plain-text documents."""
-    d = spark.read.parquet(table_path(sf_dir, "documents")).select("doc_id", text.plain_text(F.col("text")).alias("text"))
+    d = read_table(spark, sf_dir, "documents").select("doc_id", text.plain_text(F.col("text")).alias("text"))
     s = d.select("doc_id", text.text_stats(with_paragraphs=False).alias("s"))
     return s.select("doc_id", "s.word_count", "s.character_count", F.col("s.estimated_reading_time_min").alias("reading_min"),
                     "s.text_sample")
@@ -248,13 +248,13 @@ def q_text_stats(spark, sf_dir):
 
 @query("paragraph_count")
 def q_paragraph_count(spark, sf_dir):
-    c = _ctx(spark.read.parquet(table_path(sf_dir, "pages")))
+    c = _ctx(read_table(spark, sf_dir, "pages"))
     return c.select("page_id", text.paragraph_count().alias("paragraph_count"))
 
 
 @query("page_links")
 def q_page_links(spark, sf_dir):
-    c = _ctx(spark.read.parquet(table_path(sf_dir, "pages")))
+    c = _ctx(read_table(spark, sf_dir, "pages"))
     l = c.select("page_id", links.page_links(links.anchors()).alias("links"))
     return links.link_table(l)
 
@@ -377,7 +377,7 @@ def q_social_links(spark, sf_dir):
 @query("emails")
 def q_emails(spark, sf_dir):
     """C25 over documents."""
-    d = spark.read.parquet(table_path(sf_dir, "documents")).select("doc_id", text.plain_text(F.col("text")).alias("text"))
+    d = read_table(spark, sf_dir, "documents").select("doc_id", text.plain_text(F.col("text")).alias("text"))
     return members(d, ["doc_id"], text.emails(F.col("text")), "email")
 
 
@@ -390,13 +390,13 @@ def q_emails_mailto(spark, sf_dir):
 
 @query("phones")
 def q_phones(spark, sf_dir):
-    d = spark.read.parquet(table_path(sf_dir, "documents")).select("doc_id", text.plain_text(F.col("text")).alias("text"))
+    d = read_table(spark, sf_dir, "documents").select("doc_id", text.plain_text(F.col("text")).alias("text"))
     return members(d, ["doc_id"], text.phones(F.col("text")), "phone")
 
 
 @query("keyword_density")
 def q_keyword_density(spark, sf_dir):
-    d = spark.read.parquet(table_path(sf_dir, "documents")).select("doc_id", text.plain_text(F.col("text")).alias("text"))
+    d = read_table(spark, sf_dir, "documents").select("doc_id", text.plain_text(F.col("text")).alias("text"))
     k = exploded(d, ["doc_id"], text.keyword_density(F.col("text")), "rank", "k")
     return k.select("doc_id", "rank", "k.word", "k.count", "k.density_pct")
 
@@ -528,7 +528,7 @@ def q_fetch_outcome(spark, sf_dir):
 
 @query("unique_links")
 def q_unique_links(spark, sf_dir):
-    c = _ctx(spark.read.parquet(table_path(sf_dir, "pages")))
+    c = _ctx(read_table(spark, sf_dir, "pages"))
     l = links.link_table(c.select("page_id", links.page_links(links.anchors()).alias("links")))
     u = links.unique_links(l, ["page_id", "rank"])
     return u.select("url", F.col("first_seen.page_id").alias("first_page"), F.col("first_seen.rank").alias("first_rank"),
@@ -582,7 +582,7 @@ def q_failed_pages(spark, sf_dir):
 
 @query("list_preview")
 def q_list_preview(spark, sf_dir):
-    c = _ctx(spark.read.parquet(table_path(sf_dir, "pages")))
+    c = _ctx(read_table(spark, sf_dir, "pages"))
     urls = F.transform(links.page_links(links.anchors()), lambda x: x["url"])
     p = c.select("page_id", R.preview(urls, 3).alias("p"))
     return p.select("page_id", F.array_join("p.shown", " ").alias("shown"), F.col("p.more").cast("bigint").alias("more"))

@@ -37,6 +37,8 @@ def crawl(spark: SparkSession, outcomes: DataFrame | None, edges: DataFrame | No
     non-HTML pages use budget and are not expanded. A level writes its candidates, what it takes and what that gave to
     the shared folder; everything later reads those tables, so lineage stays one level deep.
     """
+    if rules is not None:
+        rules = stored(rules, "crawl-rules")  # parsed once, not once a level
     seed_norm = seed.split("#")[0]
     seed_net = netloc(F.lit(seed_norm))
     frontier = spark.createDataFrame([(seed_norm, 0, 0)], "url string, parent_seq long, link_rank int")

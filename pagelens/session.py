@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every operator in the package assumes. They are session-level, cheap to set, and
 # safe to set repeatedly.
@@ -80,3 +80,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table scan dealt over all cores where it has too few splits for them.
+
+    One file of one row group is one task, however costly the work on its rows. Only scans with at most half as many
+    splits as the session has cores are dealt out, so what moves is small beside the cluster; larger tables stay as
+    their splits lie, with no exchange."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or 2 * df.rdd.getNumPartitions() > cores else df.repartition(cores)
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread(spark.read.parquet(table_path(sf_dir, name)))

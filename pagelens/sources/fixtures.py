@@ -12,11 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.session import table_path
+from pagelens.session import read_table
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    return read_table(spark, sf_dir, name)
 
 
 def _if(cond: Column, s: Column | str) -> Column:

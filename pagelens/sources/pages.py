@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens.functions.urls import normalize_url
-from pagelens.session import ensure_conf
+from pagelens.session import ensure_conf, spread
 
 # optional envelope columns and their defaults when a page table does not carry them
 ENVELOPE = [
@@ -46,7 +46,7 @@ def with_envelope(df: DataFrame) -> DataFrame:
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """A1: the stored-page table with the fetch envelope."""
     ensure_conf(spark)
-    return with_envelope(spark.read.parquet(path))
+    return with_envelope(spread(spark.read.parquet(path)))
 
 
 def classify(pages: DataFrame) -> DataFrame:
