@@ -7,6 +7,8 @@ stage (no exchange) and scales with the number of pages like a scan does.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,13 +32,25 @@ def analyze(pages: DataFrame, ssl: DataFrame | None = None, order_col: str = "pa
     A section that meets a URL it cannot read takes its default and adds "section: reason" to ``_errors``; the others
     are not affected, the page is not lost.
     """
-    p = classify(pages)
-    ok = F.col("outcome") == "ok"
-    p = p.withColumn("_html", F.when(ok, F.col("html")).otherwise(F.lit("")))
-    ctx = parsed(p, "_html")
+    ctx = parsed(classify(pages).withColumn("_html", F.when(F.col("outcome") == "ok", F.col("html")).otherwise(F.lit(""))), "_html")
     keep = [c for c in ENVELOPE_OUT if c in ctx.columns] + ["outcome", "outcome_reason", "error"]
     if order_col not in keep:
         keep.append(order_col)
+    failed, first, second, third, shown = _stages(pages.sparkSession.sparkContext.applicationId)
+    s3 = ctx.withColumn("_failed", failed).select(*keep, "text", *first).select("*", *second)
+    out = s3.select("*", *third).withColumn("seo", audit.seo_section(F.col("_checks"))).select(*keep, *shown)
+    if ssl is not None:
+        out = out.join(ssl, "page_id", "left")
+    else:
+        out = out.withColumn("ssl_info", F.lit(None).cast(
+            "struct<valid:boolean,issuer:string,subject:string,expires:string,days_until_expiry:bigint,error:string>"))
+    return out
+
+
+@lru_cache(maxsize=4)
+def _stages(application: str) -> tuple:
+    """The report's columns by the projection they belong to. They name their inputs, so one set serves every page table
+    of an application; building them is thousands of calls into the JVM, and done once."""
     # what a section cannot read is found first; such a section is then computed over no elements, which gives its default
     failed = {
         "meta": first_error(meta.icon_refs()),
@@ -46,13 +60,9 @@ def analyze(pages: DataFrame, ssl: DataFrame | None = None, order_col: str = "pa
         "scripts_styles": first_error(media.script_refs()),
         "forms": first_error(tags(["form"], F.col("linked"))),
     }
-    ctx = ctx.withColumn("_failed", F.struct(*[c.alias(k) for k, c in failed.items()]))
     sound = lambda k: F.filter("linked", lambda x: F.col("_failed")[k].isNull())
-    said = F.array_compact(F.array(*[F.concat(F.lit(f"{k}: "), F.col("_failed")[k]) for k in failed]))
-    s2 = ctx.select(
-        *keep,
-        "text",
-        said.alias("_errors"),
+    first = [
+        F.array_compact(F.array(*[F.concat(F.lit(f"{k}: "), F.col("_failed")[k]) for k in failed])).alias("_errors"),
         text.text_stats().alias("text_stats"),
         F.when(F.col("_failed.meta").isNull(), meta.meta_section()).alias("meta"),
         meta.headings().alias("headings"),
@@ -66,27 +76,20 @@ def analyze(pages: DataFrame, ssl: DataFrame | None = None, order_col: str = "pa
         text.keyword_density().alias("keyword_density"),
         audit.technologies(F.col("_html"), F.col("headers")).alias("technologies"),
         audit.security_headers(F.col("headers")).alias("security_headers"),
-    )
-    s3 = s2.select(
-        "*",
+    ]
+    second = [
         links.page_links(F.col("_anc")).alias("_links"),
         links.mailto(F.col("_anc")).alias("_mailto"),
         media.image_section(F.col("_img")).alias("images"),
-    )
-    s4 = s3.select(
-        "*",
+    ]
+    third = [
         links.links_section(F.col("_anc"), F.col("_links")).alias("links"),
         links.social_links(F.col("_links")).alias("social_links"),
         F.struct(text.emails(F.col("text"), F.col("_mailto")).alias("emails"), text.phones(F.col("text")).alias("phones")).alias("contacts"),
         audit.seo_checks(F.col("meta"), F.col("headings"), F.col("images"), F.col("text_stats"), F.col("final_url")).alias("_checks"),
-    ).withColumn("seo", audit.seo_section(F.col("_checks")))
-    out = s4.select(*keep, *[F.when(ok, F.col(c)).alias(c) for c in SECTIONS])
-    if ssl is not None:
-        out = out.join(ssl, "page_id", "left")
-    else:
-        out = out.withColumn("ssl_info", F.lit(None).cast(
-            "struct<valid:boolean,issuer:string,subject:string,expires:string,days_until_expiry:bigint,error:string>"))
-    return out
+    ]
+    shown = [F.when(F.col("outcome") == "ok", F.col(c)).alias(c) for c in SECTIONS]
+    return F.struct(*[c.alias(k) for k, c in failed.items()]), first, second, third, shown
 
 
 def flat(report: DataFrame) -> DataFrame:

@@ -14,10 +14,8 @@ def spark():
     from pagelens.session import LOCAL_CONF, REQUIRED_CONF
 
     b = SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
-    for k, v in {**LOCAL_CONF, **REQUIRED_CONF}.items():
+    for k, v in {**LOCAL_CONF, **REQUIRED_CONF, "spark.checkpoint.dir": tempfile.mkdtemp(prefix="pagelens-test-")}.items():
         b = b.config(k, v)
     s = b.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="pagelens-test-"))
     yield s
