@@ -87,7 +87,7 @@ def q_seed_urls(spark, sf_dir):
     """A3: seed normalisation of page URLs as typed (with and without scheme, padded)."""
     p = read_table(spark, sf_dir, "pages").select("page_id", "url")
     variants = F.array(F.col("url"), F.concat(F.lit("  "), F.substring_index("url", "://", -1), F.lit(" ")))
-    v = exploded(p, ["page_id"], F.col(variants), "variant", "typed")
+    v = exploded(p, ["page_id"], variants, "variant", "typed")
     return v.select("page_id", "variant", normalize_url(F.col("typed")).alias("seed"))
 
 
