@@ -199,36 +199,6 @@ def raw_body(t: Column) -> Column:
     return bind(open_tag(t), lambda tag: F.regexp_extract(F.substr(t, F.length(tag) + 1), r"(?is)^(.*)</[a-z]+\s*>$", 1))
 
 
-def text_of(toks: Column, start_i: Column, end_i: Column) -> Column:
-    """Text of the tokens strictly between two positions: every text node decoded and stripped,
-    empty ones dropped, joined with no separator (``get_text(strip=True)``)."""
-    length = F.greatest(end_i - start_i - 1, F.lit(0))
-    inner = F.slice(toks, start_i + 2, length)
-    texts = F.transform(F.filter(inner, lambda x: x["kind"] == "text"), lambda x: strip(unescape(x["t"])))
-    return F.array_join(F.filter(texts, lambda s: s != ""), "")
-
-
-def with_attrs(toks: Column, names: list[str]) -> Column:
-    """Start tags of the given names with their attribute maps:
-    array<struct<i, name, a MAP, t>> in document order."""
-    return F.transform(
-        F.filter(toks, lambda x: (x["kind"] == "start") & x["name"].isin(*names)),
-        lambda x: F.struct(x["i"].alias("i"), x["name"].alias("name"), attr_map(x["t"]).alias("a"), x["t"].alias("t")),
-    )
-
-
-def marks(toks: Column, name: str) -> Column:
-    """Start and end tokens of one element name, in order: array<struct<i, kind, ...>>."""
-    return F.filter(toks, lambda x: (x["name"] == name) & x["kind"].isin("start", "end"))
-
-
-def clamp_end(m: Column, k: Column, n: Column) -> Column:
-    """End of the element opened by mark k: the next mark of the same name (its end tag, or a new
-    start that closes it), else the end of the page."""
-    nxt = F.get(m, k + 1)
-    return F.coalesce(nxt["i"], n)
-
-
 # --------------------------------------------------------------------------- page text
 
 
