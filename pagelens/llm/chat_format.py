@@ -4,7 +4,10 @@ Grammar of a formatted conversation:
 
     conversation = { turn }
     turn         = "### " role ": " text "</turn>" newline
-    in role and text, a backslash makes the next character literal
+
+Control strings are told first, from left to right: a role ends at the first middle, a turn at the first
+close, whatever stands before them. Inside a role or text so cut out, a backslash makes the next character
+literal, and one at the very end stands for itself; an escape thus breaks a control string from inside.
 
 Each turn is first rendered as it stands and reparsed; where the parser does not give back exactly the
 source turn (a control string or a backslash inside), the turn is rendered again with the conflicting

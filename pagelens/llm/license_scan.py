@@ -15,8 +15,9 @@ that is as good. Of windows that overlap the best stays (the longest, then the f
 by their different normalised texts, so a line that matches and a better window in it are two.
 
 Defined cases: a null text has no units; units of fewer than two words have no bigrams and match
-nothing; a line that is the whole text is one unit; repeated rows are each returned, rows with the same
-id share their matches; an empty table gives no rows; other columns are ignored.
+nothing; a line that is the whole text is one unit; every row is returned with its own matches, whatever
+its id (null and repeated ids are told apart by a row number); an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import lower_ascii, prepare
+from pagelens.llm.common import lower_ascii, prepare, written
 
 THRESHOLD = (80, 100)
 
@@ -168,13 +169,13 @@ def license_scan(docs: DataFrame, templates=TEMPLATES + TEXTS, threshold: tuple[
     known = anchored(templates, threshold)
     pattern = _pattern({a for _, anchors, _ in known for a in anchors})
     known = spark.createDataFrame([(known,)], "templates array<struct<grams:array<string>,anchors:array<string>,most:int>>")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
+    rows = docs.select(F.monotonically_increasing_id().alias("id"), F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     # one pass over the text: lines normalised, and the whole text, which is its lines with words joined by spaces
     lines = F.transform(F.split(F.regexp_replace(lower_ascii(F.col("text")), "[^a-z0-9\n]+", " "), "\n"), lambda x: F.trim(x))
     parts = _let(lines, lambda x: F.filter(x, lambda y: y != ""))
-    rows = rows.select("id", _let(parts, lambda x: F.struct(x.alias("lines"), F.array_join(x, " ").alias("whole"))).alias("x"))
+    rows = rows.select("id", "doc", _let(parts, lambda x: F.struct(x.alias("lines"), F.array_join(x, " ").alias("whole"))).alias("x"))
     found = lambda x: F.array_distinct(F.regexp_extract_all(F.concat(F.lit(" "), x["whole"], F.lit(" ")), F.lit(pattern), F.lit(1)))
-    rows = rows.select("id", _let(F.col("x"), lambda x: F.struct(x["lines"].alias("lines"), x["whole"].alias("whole"), found(x).alias("hits"))).alias("x"))
+    rows = rows.select("id", "doc", _let(F.col("x"), lambda x: F.struct(x["lines"].alias("lines"), x["whole"].alias("whole"), found(x).alias("hits"))).alias("x"))
     rows = rows.crossJoin(F.broadcast(known))
 
     def units_of(x: Column) -> Column:
@@ -182,7 +183,9 @@ def license_scan(docs: DataFrame, templates=TEMPLATES + TEXTS, threshold: tuple[
         return F.array_distinct(F.concat(F.array(x["whole"]), x["lines"], windows))
 
     none = F.array().cast("array<string>")
-    units = rows.select("id", F.explode(_let(F.col("x"), lambda x: F.when(F.size(x["hits"]) > 0, units_of(x)).otherwise(none))).alias("norm"))
+    # stored with a row number, which is the key from here on: null and repeated ids are rows of their own
+    rows = written(rows.select("id", "doc", _let(F.col("x"), lambda x: F.when(F.size(x["hits"]) > 0, units_of(x)).otherwise(none)).alias("units")), "license-units")
+    units = rows.filter(F.size("units") > 0).select("id", F.explode("units").alias("norm"))
     # a size bound that needs no bigrams: distinct bigrams are fewer than words
     # and, as a chain of n distinct words has n - 1 distinct bigrams at least, not fewer than distinct words less one
     smallest, largest = sizes.agg(F.min("size"), F.max("size")).first()
@@ -194,6 +197,6 @@ def license_scan(docs: DataFrame, templates=TEMPLATES + TEXTS, threshold: tuple[
     found = found.groupBy("id", "norm").agg(F.max(F.struct("dice", "license")).alias("top"), F.collect_set("license").alias("all"))
     found = found.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("top").alias("top"), F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_set("all")))), ",").alias("licenses"),
                                     F.array_join(F.sort_array(F.collect_set("top.license")), ",").alias("best"))
-    out = docs.select(F.col(id_col).alias(id_col)).alias("d").join(found.withColumnRenamed("id", "__id"), F.col(f"d.{id_col}").eqNullSafe(F.col("__id")), "left")
-    return out.select(id_col, F.coalesce("n", F.lit(0)).cast("bigint").alias("n_matches"), F.col("top.license").alias("license"), F.col("top.dice").alias("dice"),
+    out = rows.select("id", "doc").join(found, "id", "left")
+    return out.select(F.col("doc").alias(id_col), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_matches"), F.col("top.license").alias("license"), F.col("top.dice").alias("dice"),
                       F.coalesce("licenses", F.lit("")).alias("licenses"), F.coalesce("best", F.lit("")).alias("best"))
