@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.session import scratch_path, table_path
+from pagelens.session import checkpoint_dir, table_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -54,9 +54,17 @@ f AS (SELECT level AS fixed FROM s3 WHERE level * weight <= cap ORDER BY cap / w
 t AS (SELECT source, words, least(cap, coalesce((SELECT fixed FROM f) * weight, cap)) AS target FROM s3),
 t2 AS (SELECT *, CASE WHEN words > 0 THEN floor(target / words) ELSE 0 END::BIGINT AS whole FROM t),
 t3 AS (SELECT *, target - whole * words AS rest FROM t2),
-p AS (SELECT d.doc_id, d.size, t3.words, t3.target, t3.whole, t3.rest, t3.source,
-             u / (u + (1 - u) * sqrt(d.size::DOUBLE + 1.0)) AS place
-      FROM d JOIN t3 ON d.source IS NOT DISTINCT FROM t3.source),
+k AS (SELECT *, ((size + 1) >> greatest(length(bin(size + 1)) - 5, 0)::BIGINT) << greatest(length(bin(size + 1)) - 5, 0)::BIGINT AS class FROM d),
+c0 AS (SELECT source, class, sqrt(class::DOUBLE) AS x, sum(size) AS words FROM k GROUP BY source, class),
+c1 AS (SELECT c0.*, t3.rest AS goal,
+              coalesce(sum(c0.words) OVER (PARTITION BY c0.source ORDER BY class DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+              sum(x * c0.words) OVER (PARTITION BY c0.source ORDER BY class DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS following
+       FROM c0 JOIN t3 ON c0.source IS NOT DISTINCT FROM t3.source),
+c2 AS (SELECT *, CASE WHEN following > 0 THEN (goal - before) / following END AS level FROM c1),
+c3 AS (SELECT source, arg_max(level, class) FILTER (level * x <= 1) AS c FROM c2 GROUP BY source),
+l AS (SELECT k.*, greatest(0.0, least(1.0, coalesce(c3.c, 0.0) * sqrt(class::DOUBLE))) AS chance FROM k JOIN c3 ON k.source IS NOT DISTINCT FROM c3.source),
+p AS (SELECT l.doc_id, l.size, t3.words, t3.target, t3.whole, t3.rest, t3.source, u * (1 - chance) / (u * (1 - chance) + (1 - u) * chance) AS place
+      FROM l JOIN t3 ON l.source IS NOT DISTINCT FROM t3.source),
 q AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY place, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM p)
 SELECT doc_id, size, words::BIGINT AS source_size, target, (whole + (rest > 0 AND ahead + size / 2 <= rest)::BIGINT) * size AS taken,
        whole + (rest > 0 AND ahead + size / 2 <= rest)::BIGINT AS copies
@@ -66,17 +74,17 @@ def q_pareto_mix(spark, sf_dir):
     """4: all documents mixed to weights 5, 2, 1 over the sources."""
     from pagelens.llm.mixing import pareto_mix
 
-    return pareto_mix(_documents(spark, sf_dir))
+    return pareto_mix(_documents(spark, sf_dir)).drop("inclusion")
 
 
 @query("op5_token_counts")
 def q_token_counts(spark, sf_dir):
-    """5: tokens of every whole text, by the sentencepiece model; over 4096 or not."""
+    """5: tokens of every whole text, by the sentencepiece model; over 4096 or not. The cache lasts in the shared folder."""
     import public_tokenizers
 
     from pagelens.llm.token_counts import token_counts
 
-    return token_counts(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), scratch_path(spark, "token-cache"))
+    return token_counts(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), f"{checkpoint_dir(spark).rstrip('/')}/token-cache")
 
 
 #: A conversation whose text holds the template's own control strings.

@@ -2,12 +2,13 @@
 
 Counts are stored under the digest of the normalised content (null as empty text; nothing else, as the
 counts must be the library's for the text as it stands) and the digest of the tokenizer file. Documents
-are joined to the cache; of the misses, one row per distinct digest is encoded, and its count is
-appended to the cache. The representative of a digest is its smallest id, found from ids and digests
-alone, so copies of one text are never brought together as texts and a group with a third of all rows
-moves one text.
+are joined to the cache; of the misses, each distinct digest is encoded once, and its count is
+appended to the cache. A digest that only one row has and the cache has not is encoded where its text
+is read. Which rows may have another digest is told by a bitmap of fixed size; of those, one text a
+digest is kept in each part before the texts of a digest meet, so a group with a third of all rows moves
+one text a part. Ids play no role in it.
 
-Defined cases: a null or empty text has 0 bytes and the library's count for ''; repeated rows are
+Defined cases: rows with null or repeated ids are rows of their own; a null or empty text has 0 bytes and the library's count for ''; repeated rows are
 each returned; an empty table gives no rows; other columns are ignored. A cache folder that does not
 exist yet is empty. Rows appended twice by a repeated run are read as one.
 """
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import prepare, text_of, written
+from pagelens.llm.common import maybe_among, prepare, text_of, written
 
 CACHE = "tokenizer string, digest string, n_tokens bigint"
 
@@ -75,13 +76,17 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache: str, limit: int =
     tag = version(tokenizer_path)
     rows = docs.select(F.col(id_col).alias("id"), text_of(F.col(text_col)).alias("text"))
     keys = written(rows.select("id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("digest")), "token-keys")
-    stored = read_cache(spark, cache).filter(F.col("tokenizer") == tag).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    first = keys.groupBy("digest").agg(F.min("id").alias("id")).join(stored, "digest", "left_anti")
-    # one text per missing digest: the ids are unique here, so this join has no hot key (a null id
-    # stands only for digests that no other row has)
-    miss = rows.join(first.select(F.col("id").alias("first_id"), "digest").hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("first_id"))).filter(
-        F.sha2(F.col("text").cast("binary"), 256) == F.col("digest")).select("digest", "text")
-    fresh = miss.mapInPandas(_count(tokenizer_path), "digest string, n_tokens bigint").dropDuplicates(["digest"])
+    stored = read_cache(spark, cache).filter(F.col("tokenizer") == tag).select("digest").distinct()
+    # the digests that several rows have or the cache has; all others are met once, at a text to be encoded
+    known = written(keys.groupBy("digest").agg(F.count(F.lit(1)).alias("rows")).join(stored.withColumn("hit", F.lit(True)), "digest", "left")
+                    .filter("rows > 1 OR hit").select("digest", F.coalesce("hit", F.lit(False)).alias("hit")), "token-known")
+    short = lambda c: F.xxhash64(c)
+    marked = maybe_among(rows.select("text", F.sha2(F.col("text").cast("binary"), 256).alias("digest")).withColumn("key", short(F.col("digest"))),
+                         "key", known.select(short(F.col("digest")).alias("k")))
+    once = marked.filter("NOT __maybe").select("digest", "text")
+    several = marked.filter("__maybe").select("digest", "text").dropDuplicates(["digest"]).join(known.filter("hit").select("digest"), "digest", "left_anti")
+    encode = _count(tokenizer_path)
+    fresh = once.mapInPandas(encode, "digest string, n_tokens bigint").unionByName(several.mapInPandas(encode, "digest string, n_tokens bigint"))
     fresh.select(F.lit(tag).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
     counts = read_cache(spark, cache).filter(F.col("tokenizer") == tag).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     return keys.join(counts, "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
