@@ -23,6 +23,7 @@ from pagelens.plans import sinks
 from pagelens.session import ensure_conf, read_table, scratch_path, table_path
 from pagelens.sources import fixtures as FX
 from pagelens.sources.pages import classify, read_pages, with_envelope
+from pagelens.sources.redirects import with_redirects
 from pagelens.streaming import stream as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +76,13 @@ def q_page_source(spark, sf_dir):
     return p.select("page_id", "url", "final_url", "redirected", "content_length_bytes", "status_code", "content_type")
 
 
+@query("redirect_hops")
+def q_redirect_hops(spark, sf_dir):
+    """A1: where every requested URL ended and through which URLs, from a log of single hops."""
+    p = with_redirects(FX.order_urls(spark, sf_dir), FX.redirect_log(spark, sf_dir))
+    return p.select("order_no", "url", "final_url", F.size("redirect_chain").cast("bigint").alias("hops"), F.array_join("redirect_chain", " ").alias("chain"), "error")
+
+
 @query("page_outcome")
 def q_page_outcome(spark, sf_dir):
     """A2: ok / skipped / error per fetch log row."""
@@ -622,6 +630,31 @@ def q_stream_page_report(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+def _streamed_sections(spark, sf_dir) -> str:
+    pages, out, ck = (scratch_path(spark, f"sections-{n}") for n in ("in", "out", "ck"))
+    FX.block_pages(spark, sf_dir).write.parquet(pages)
+    S.stream_sections(spark, pages, out, ck)
+    return out
+
+
+@query("stream_sections")
+def q_stream_sections(spark, sf_dir):
+    """Forms, tables and links of rendered pages, from a stream that writes its batches by their number."""
+    s = spark.read.parquet(_streamed_sections(spark, sf_dir) + "/sections")
+    forms = exploded(s, ["page_id"], F.col("forms"), "idx", "f").select(F.lit("form").alias("section"), "page_id", "idx", F.col("f.input_count").alias("n"), F.col("f.action").alias("detail"))
+    tables = exploded(s, ["page_id"], F.col("tables"), "idx", "t").select(F.lit("table").alias("section"), "page_id", "idx", F.col("t.rows").alias("n"), F.col("t.columns_approx").cast("string").alias("detail"))
+    customers = s.filter(F.col("url").startswith("https://shop.example.com/c/"))
+    counted = customers.select(F.lit("links").alias("section"), "page_id", F.lit(0).alias("idx"), F.col("links.total").alias("n"), F.col("links.external_count").cast("string").alias("detail"))
+    return forms.unionByName(tables).unionByName(counted)
+
+
+@query("stream_totals")
+def q_stream_totals(spark, sf_dir):
+    """The totals after the last batch of that stream."""
+    t = S.running_totals(spark, _streamed_sections(spark, sf_dir))
+    return t.select(*[F.max(c).alias(c) for c in ("pages", "forms", "tables")])
+
+
 @query("stream_visited_dedup")
 def q_stream_visited_dedup(spark, sf_dir):
     """Distinct fragment-less URLs, kept by a streaming de-duplication over the pages table."""

@@ -11,6 +11,7 @@ script and style start tags carry their whole raw body), ``end`` and ``text``.
 from __future__ import annotations
 
 import html.entities
+import zlib
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
@@ -60,37 +61,44 @@ def squeeze(c: Column) -> Column:
     return strip(F.regexp_replace(c, f"{WS_CLASS}+", " "))
 
 
-ENTS = "_ents"  # column holding the named-reference map (added by ``with_entities``)
+ENTS = "_ents"  # column holding the named references in buckets (added by ``with_entities``)
+#: Buckets of the named references: about one name in two buckets.
+ENT_BUCKETS = 4096
 
 
 @lru_cache(maxsize=1)
-def _entity_map_items() -> tuple[tuple[str, str], ...]:
-    # The HTML5 named character references, taken from the Python standard library table.
-    return tuple(sorted(html.entities.html5.items()))
+def _entity_buckets() -> list[list[tuple[str, str]]]:
+    # The HTML5 named character references, taken from the Python standard library table, by the checksum of their name.
+    buckets: list[list[tuple[str, str]]] = [[] for _ in range(ENT_BUCKETS)]
+    for name, value in sorted(html.entities.html5.items()):
+        buckets[zlib.crc32(name.encode()) % ENT_BUCKETS].append((name, value))
+    return buckets
 
 
 def entity_table(spark) -> "DataFrame":
-    """One row, one column: the HTML5 named references as a map."""
-    return spark.createDataFrame([(dict(_entity_map_items()),)], f"{ENTS} map<string,string>")
+    """One row, one column: the HTML5 named references, in an array of buckets."""
+    return spark.createDataFrame([(_entity_buckets(),)], f"{ENTS} array<array<struct<name:string,value:string>>>")
 
 
 def with_entities(df: "DataFrame") -> "DataFrame":
-    """Attach the entity map to every row: a broadcast of a single row (a few tens of kB), so the
+    """Attach the named references to every row: a broadcast of a single row (some 100 kB), so the
     join is a map-side nested loop against one row, never a shuffle."""
     if ENTS in df.columns:
         return df
     return df.crossJoin(F.broadcast(entity_table(df.sparkSession)))
 
 
-def entity_map() -> Column:
-    return F.col(ENTS)
+def entity(name: Column) -> Column:
+    """What a named reference (without "&") stands for; null if there is none of that name. Only the names of its bucket are tried."""
+    bucket = F.get(F.col(ENTS), F.pmod(F.crc32(name.cast("binary")), F.lit(ENT_BUCKETS)).cast("int"))
+    return F.get(F.filter(bucket, lambda e: e["name"] == name), 0)["value"]
 
 
 def _codepoint_char(cp: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
 
 
-def _decode_ref(ref: Column, emap: Column) -> Column:
+def _decode_ref(ref: Column) -> Column:
     body = F.substr(ref, F.lit(2))  # without the "&"
     # more than eight significant hex digits are beyond every code point (and beyond what conv takes)
     hexa = F.regexp_extract(body, r"^#[xX]0*([0-9a-fA-F]*)", 1)
@@ -104,13 +112,10 @@ def _decode_ref(ref: Column, emap: Column) -> Column:
               | ((num >= 0x7F) & (num <= 0x9F)), F.lit(""))
         .otherwise(_codepoint_char(num.cast("bigint")))
     )
-    # the references that make up nearly all real text are tried in a five-entry map first; the
-    # full table (a linear lookup over 2,231 keys) only sees the rest
-    common = F.create_map(*[F.lit(x) for kv in [("amp;", "&"), ("lt;", "<"), ("gt;", ">"), ("quot;", '"'), ("nbsp;", "\u00a0")] for x in kv])
-    # legacy names (at most six letters, written without a semicolon) also count as the start of a longer one
+    # legacy names (at most six letters, written without a semicolon) also count as the start of a longer one, the longest first
     starts = F.transform(F.sequence(F.lit(6), F.lit(2), F.lit(-1)), lambda k: F.when(
-        k < F.length(body), F.concat(F.element_at(emap, F.left(body, k)), F.substr(body, k + 1))))
-    named = F.coalesce(F.element_at(common, body), F.element_at(emap, body), F.get(F.array_compact(starts), F.lit(0)), ref)
+        k < F.length(body), F.concat(entity(F.left(body, k)), F.substr(body, k + 1))))
+    named = F.coalesce(entity(body), F.get(F.array_compact(starts), F.lit(0)), ref)
     return F.when(body.startswith("#"), numeric).otherwise(named)
 
 
@@ -121,11 +126,10 @@ def bind(value: Column, body) -> Column:
 
 def unescape(c: Column) -> Column:
     """Decode named, decimal and hex character references; unknown ones stay as written."""
-    emap = entity_map()
 
     def dec(s):
         parts = F.split(s, ENTITY_RX, -1)
-        refs = F.transform(F.regexp_extract_all(s, F.lit(ENTITY_RX), 0), lambda r: _decode_ref(r, emap))
+        refs = F.transform(F.regexp_extract_all(s, F.lit(ENTITY_RX), 0), _decode_ref)
         joined = F.array_join(F.zip_with(parts, refs, lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
         return F.when(s.contains("&"), joined).otherwise(s)
 

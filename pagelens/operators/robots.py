@@ -131,26 +131,61 @@ def url_key(url: Column) -> Column:
         rest = F.regexp_replace(F.when(x.contains("%"), pct_unquote(x)).otherwise(x), PREFIX_RX, "")
         trimmed = let(rest, lambda r: F.when(r.contains("?"), F.regexp_replace(r, r"(?s)^([^?#]*)\?(#|\z)", "$1$2")).otherwise(r))
         trimmed = let(trimmed, lambda r: F.when(r.endswith("#"), F.regexp_replace(r, r"(?s)^([^#]*)#\z", "$1")).otherwise(r))
-        return let(pct_quote(trimmed), lambda q: F.when(q == "", F.lit("/")).otherwise(q))
+        # a path that begins with two slashes is written with an empty host before it
+        return let(pct_quote(trimmed), lambda q: F.when(q == "", F.lit("/")).when(q.startswith("//"), F.concat(F.lit("//"), q)).otherwise(q))
 
     return let(url, key)
 
 
 def host_rules(rules: DataFrame, user_agents: list[str]) -> DataFrame:
     """The rule groups that apply to the ``user_agents`` on each host, as one row per host:
-    (host, rules MAP<agent token, ARRAY<STRUCT<rule_no, path, allow>>>) in file order. The first
-    non-default group whose agent is a substring of the crawler's token wins, else the default
-    group. A row holds groups of one robots file, so its size is bounded by the file."""
+    (host, rules MAP<agent token, STRUCT<paths ARRAY<STRUCT<path, rule_no, allow>>, lengths ARRAY<INT>>>): the first
+    rule of each path, sorted by path, and the lengths that paths have. The first non-default group whose agent is
+    a substring of the crawler's token wins, else the default group. A row holds groups of one robots file, so its
+    size is bounded by the file."""
     tokens = sorted({agent_token(a) for a in user_agents})
     ent = rules.select("host", "entry", "agents", "is_default").distinct().withColumn("token", F.explode(F.array(*[F.lit(t) for t in tokens])))
     named = ~F.col("is_default") & F.exists("agents", lambda a: F.contains(F.col("token"), F.lower(a)))
     pick = ent.groupBy("host", "token").agg(
         F.coalesce(F.min(F.when(named, F.col("entry"))), F.min(F.when(F.col("is_default"), F.col("entry")))).alias("entry"))
     active = rules.join(pick, ["host", "entry"])
-    group = active.groupBy("host", "token").agg(F.array_sort(F.collect_list(F.struct("rule_no", "path", "allow"))).alias("rules"))
+    first = active.groupBy("host", "token", "path").agg(F.min(F.struct("rule_no", "allow")).alias("r"))
+    group = first.groupBy("host", "token").agg(F.array_sort(F.collect_list(F.struct("path", "r.rule_no", "r.allow"))).alias("paths"))
+    lengths = F.array_sort(F.array_distinct(F.transform("paths", lambda r: F.char_length(r["path"]))))
+    group = group.select("host", "token", F.struct("paths", lengths.alias("lengths")).alias("rules"))
     return group.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("token", "rules"))).alias("rules"))
 
 
+def rule_of(paths: Column, path: Column) -> Column:
+    """The rule of exactly that path among rules sorted by path, found by halving; null if there is none."""
+    halves = F.sequence(F.lit(0), F.length(F.bin(F.size(paths).cast("bigint"))))
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.shiftright(acc["lo"] + acc["hi"], 1)
+        low = F.get(paths, mid)["path"] <= path
+        return F.struct(F.when(low, mid).otherwise(acc["lo"]).alias("lo"), F.when(low, acc["hi"]).otherwise(mid).alias("hi"))
+
+    at = F.aggregate(halves, F.struct(F.lit(0).alias("lo"), F.size(paths).alias("hi")), halve, lambda acc: F.get(paths, acc["lo"]))
+    return F.when(at["path"] == path, at)
+
+
+#: Groups of so few paths are tried one by one, which is cheaper than looking up the starts of the URL; the result is the same.
+FEW_RULES = 16
+
+
+def first_rule(rules: Column, key: Column) -> Column:
+    """The first rule in file order whose path is "*" or a prefix of the key; null if there is none.
+
+    The prefixes of the key that are as long as some path are looked up among the sorted paths, so a host
+    with many rules costs its number of lengths times the logarithm of its number of rules."""
+    starts = F.transform(F.filter(rules["lengths"], lambda n: n <= F.char_length(key)), lambda n: F.left(key, n))
+    found = F.transform(F.concat(F.array(F.lit("*")), starts), lambda p: rule_of(rules["paths"], p))
+    looked_up = F.filter(found, lambda r: r.isNotNull())
+    tried = F.filter(rules["paths"], lambda r: (r["path"] == "*") | F.startswith(key, r["path"]))
+    hits = F.when(F.size(rules["paths"]) <= FEW_RULES, tried).otherwise(looked_up)
+    return F.array_min(F.transform(hits, lambda r: F.struct(r["rule_no"].alias("rule_no"), r["allow"].alias("allow"))))
+
+
 def can_fetch_agents(urls: DataFrame, rules: DataFrame, user_agents: list[str], url_col: str = "url") -> DataFrame:
     """D3: every URL row once for each user agent, with ``agent`` (its token) and ``allowed``.
 
@@ -168,8 +203,7 @@ def can_fetch_agents(urls: DataFrame, rules: DataFrame, user_agents: list[str],
     j = u.join(hr, u["_host"] == hr["_rhost"], "left")
 
     def verdict(key, token):
-        mine = F.coalesce(F.element_at("_rules", F.lit(token)), F.array().cast("array<struct<rule_no:int,path:string,allow:boolean>>"))
-        first = F.get(F.filter(mine, lambda r: (r["path"] == "*") | F.startswith(key, r["path"])), 0)
+        first = let(F.element_at("_rules", F.lit(token)), lambda mine: first_rule(mine, key))
         return F.struct(F.lit(token).alias("agent"), F.coalesce(first["allow"], F.lit(True)).alias("allowed"))
 
     each = let(url_key(F.col(url_col)), lambda k: F.array(*[verdict(k, t) for t in tokens]))

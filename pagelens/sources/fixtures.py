@@ -336,3 +336,23 @@ def graph_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(missing, F.lit("Connection refused")).alias("error"),
         (F.lit(0.05) + (k % 10) / 100).alias("elapsed_sec"),
     )
+
+
+def order_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One requested URL per order (order_no, url)."""
+    k = F.col("o_orderkey")
+    return read(spark, sf_dir, "orders").select(k.alias("order_no"), _fmt("https://r.example.com/o/%d", k).alias("url"))
+
+
+def redirect_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redirect hops (url, location): finished orders lead to the order numbered like their customer, relative to
+    their URL; every 50th order to itself; of the others every seventh to another host."""
+    k = F.col("o_orderkey")
+    location = (F.when(k % 50 == 0, _fmt("https://r.example.com/o/%d", k)).when(F.col("o_orderstatus") == "F", _fmt("../o/%d", F.col("o_custkey")))
+                .when(k % 7 == 0, _fmt("//cdn.example.net/x/%d", k)))
+    return read(spark, sf_dir, "orders").select(_fmt("https://r.example.com/o/%d", k).alias("url"), location.alias("location")).filter("location IS NOT NULL")
+
+
+def block_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rendered pages with forms, tables and links, of all suppliers, orders and customers."""
+    return supplier_pages(spark, sf_dir).unionByName(order_pages(spark, sf_dir)).unionByName(customer_pages(spark, sf_dir))
