@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.session import checkpoint_dir, table_path
+from pagelens.session import scratch_path, table_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -79,12 +79,14 @@ def q_pareto_mix(spark, sf_dir):
 
 @query("op5_token_counts")
 def q_token_counts(spark, sf_dir):
-    """5: tokens of every whole text, by the sentencepiece model; over 4096 or not. The cache lasts in the shared folder."""
+    """5: tokens of every whole text, by the sentencepiece model; over 4096 or not.
+
+    The cache is this run's own, so every run encodes every distinct text; callers of ``token_counts`` pass one that lasts."""
     import public_tokenizers
 
     from pagelens.llm.token_counts import token_counts
 
-    return token_counts(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), f"{checkpoint_dir(spark).rstrip('/')}/token-cache")
+    return token_counts(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), scratch_path(spark, "token-cache"))
 
 
 #: A conversation whose text holds the template's own control strings.

@@ -3,10 +3,10 @@
 Counts are stored under the digest of the normalised content (null as empty text; nothing else, as the
 counts must be the library's for the text as it stands) and the digest of the tokenizer file. Documents
 are joined to the cache; of the misses, each distinct digest is encoded once, and its count is
-appended to the cache. A digest that only one row has and the cache has not is encoded where its text
-is read. Which rows may have another digest is told by a bitmap of fixed size; of those, one text a
-digest is kept in each part before the texts of a digest meet, so a group with a third of all rows moves
-one text a part. Ids play no role in it.
+appended to the cache. Which rows the cache surely has, and which may have
+a digest that other rows have too, is told by bitmaps of fixed size: the first are passed over, the others
+keep one text a digest in each part before the texts of a digest meet, so a group with a third of all
+rows moves one text a part, and all remaining texts are encoded where they are read. Ids play no role.
 
 Defined cases: rows with null or repeated ids are rows of their own; a null or empty text has 0 bytes and the library's count for ''; repeated rows are
 each returned; an empty table gives no rows; other columns are ignored. A cache folder that does not
@@ -77,16 +77,17 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache: str, limit: int =
     rows = docs.select(F.col(id_col).alias("id"), text_of(F.col(text_col)).alias("text"))
     keys = written(rows.select("id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("digest")), "token-keys")
     stored = read_cache(spark, cache).filter(F.col("tokenizer") == tag).select("digest").distinct()
-    # the digests that several rows have or the cache has; all others are met once, at a text to be encoded
-    known = written(keys.groupBy("digest").agg(F.count(F.lit(1)).alias("rows")).join(stored.withColumn("hit", F.lit(True)), "digest", "left")
-                    .filter("rows > 1 OR hit").select("digest", F.coalesce("hit", F.lit(False)).alias("hit")), "token-known")
-    short = lambda c: F.xxhash64(c)
-    marked = maybe_among(rows.select("text", F.sha2(F.col("text").cast("binary"), 256).alias("digest")).withColumn("key", short(F.col("digest"))),
-                         "key", known.select(short(F.col("digest")).alias("k")))
+    miss = written(keys.groupBy("digest").agg(F.count(F.lit(1)).alias("rows")).join(stored, "digest", "left_anti"), "token-miss")
+    short = lambda: F.xxhash64("digest").alias("key")
+    texts = rows.select("text", F.sha2(F.col("text").cast("binary"), 256).alias("digest")).withColumn("key", short())
+    # texts that the cache surely has go where they are read; of the rest, those met once are encoded there
+    texts = maybe_among(texts, "key", miss.select(short())).filter("__maybe").drop("__maybe")
+    marked = maybe_among(texts, "key", miss.filter("rows > 1").select(short()))
     once = marked.filter("NOT __maybe").select("digest", "text")
-    several = marked.filter("__maybe").select("digest", "text").dropDuplicates(["digest"]).join(known.filter("hit").select("digest"), "digest", "left_anti")
+    several = marked.filter("__maybe").select("digest", "text").dropDuplicates(["digest"])
     encode = _count(tokenizer_path)
     fresh = once.mapInPandas(encode, "digest string, n_tokens bigint").unionByName(several.mapInPandas(encode, "digest string, n_tokens bigint"))
+    fresh = fresh.join(miss.select("digest"), "digest", "left_semi")  # the bitmap lets a few through that the cache has
     fresh.select(F.lit(tag).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
     counts = read_cache(spark, cache).filter(F.col("tokenizer") == tag).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     return keys.join(counts, "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
