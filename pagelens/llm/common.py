@@ -50,6 +50,46 @@ def text_of(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+#: Elements that ``before_each`` folds in one block, and code points in a piece of ``pieces``.
+BLOCK, PIECE = 64, 512
+
+
+def before_each(values: Column, merge, zero: Column, levels: int = 2) -> Column:
+    """For each element of an array ``merge`` over all elements before it (``zero`` for the first).
+
+    Blocks are folded one by one and the blocks' totals the same way, so that the work grows with the
+    array and no array is copied element by element, as appending to one would.
+    """
+    inside = lambda xs: F.transform(xs, lambda _, i: F.aggregate(F.slice(xs, 1, i), zero, merge))
+    if levels == 0:
+        return inside(values)
+    blocks = F.transform(F.sequence(F.lit(0), ((F.size(values) - 1) / BLOCK).cast("int")), lambda b: F.slice(values, b * BLOCK + 1, BLOCK))
+    return let(blocks, lambda bs: let(before_each(F.transform(bs, lambda b: F.aggregate(b, zero, merge)), merge, zero, levels - 1), lambda before: F.flatten(
+        F.transform(bs, lambda b, k: F.transform(inside(b), lambda x: merge(before[k], x))))))
+
+
+def sums_before(lengths: Column) -> Column:
+    """Sum of the elements before each one."""
+    return before_each(lengths, lambda a, b: a + b, F.lit(0))
+
+
+def pieces(text: Column) -> Column:
+    """The text in pieces of ``PIECE`` code points, to ``cut`` from without counting from its start each time."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def cut(parts: Column, start: Column, end: Column) -> Column:
+    """The code points from ``start`` to before ``end`` of a text given as its ``pieces``."""
+    first = (start / PIECE).cast("int")
+    last = ((end - 1) / PIECE).cast("int")
+    return F.when(end > start, F.array_join(F.slice(parts, first + 1, F.greatest(last - first + 1, F.lit(0))), "").substr(start - first * PIECE + 1, end - start)).otherwise("")
+
+
 #: Bits of the map in ``maybe_among``: 512 rows of 4 KB, 2 MB whatever the number of ids.
 MAP_BITS, MAP_ROW = 1 << 24, 1 << 15
 
