@@ -5,9 +5,13 @@ Grammar of a formatted conversation:
     conversation = { turn }
     turn         = "### " role ": " text "</turn>" newline
 
-Control strings are told first, from left to right: a role ends at the first middle, a turn at the first
-close, whatever stands before them. Inside a role or text so cut out, a backslash makes the next character
-literal, and one at the very end stands for itself; an escape thus breaks a control string from inside.
+It is read from left to right: a backslash makes the next character literal, whatever it is, so a control
+string counts only if none of its characters is; a turn ends at the first close, its role at the first middle
+(a role holds neither, a text no close).
+A piece that does not begin with the opening, has no middle or is not closed is no turn.
+
+The parser hides each backslash and the character after it behind two characters that no control string
+has, splits what is left at the control strings, and takes roles and texts from the places found.
 
 Each turn is first rendered as it stands and reparsed; where the parser does not give back exactly the
 source turn (a control string or a backslash inside), the turn is rendered again with the conflicting
@@ -28,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import text_of
+from pagelens.llm.common import cut, let, pieces, sums_before, text_of
 
 OPEN, MID, CLOSE = "### ", ": ", "</turn>\n"
 
@@ -55,16 +59,23 @@ def render_turn(role: Column, text: Column) -> Column:
 def parse(formatted: Column) -> Column:
     """Turns (role, text as written, escapes included) of a formatted conversation: array of structs.
 
-    A piece that does not begin with the opening has the role null.
+    A piece that is no turn has the role null.
     """
-    pieces = F.split(formatted, "</turn>\n", -1)
-    turns = F.slice(pieces, 1, F.size(pieces) - 1)  # what follows the last close is empty
-    def turn(p: Column) -> Column:
-        head = F.instr(p, MID)
-        role = F.when(p.startswith(OPEN) & (head > 0), p.substr(F.lit(len(OPEN) + 1), head - len(OPEN) - 1))
-        return F.struct(role.alias("role"), p.substr(head + len(MID), F.char_length(p)).alias("text"))
+    hidden = F.regexp_replace(formatted, r"(?s)\\.", "xx")  # the same places
+
+    def turns(ends: Column, parts: Column, at: Column) -> Column:
+        def turn(p: Column, i: Column) -> Column:
+            head = F.instr(p, MID)
+            good = p.startswith(OPEN) & (head > 0) & (i < F.size(ends) - 1)
+            return F.struct(F.when(good, cut(parts, at[i] + len(OPEN), at[i] + head - 1)).alias("role"),
+                            cut(parts, at[i] + F.when(good, head - 1 + len(MID)).otherwise(0), at[i] + F.char_length(p)).alias("text"))
 
-    return F.transform(turns, turn)
+        found = F.transform(ends, turn)
+        # after the last close there is nothing, or a piece that is not closed
+        return F.slice(found, 1, F.size(ends) - F.when(F.element_at(ends, -1) == "", 1).otherwise(0))
+
+    return let(F.split(hidden, CLOSE, -1), lambda ends: let(pieces(formatted), lambda parts: let(
+        sums_before(F.transform(ends, lambda p: F.char_length(p) + len(CLOSE))), lambda at: turns(ends, parts, at))))
 
 
 def plain(turns: Column) -> Column:
@@ -88,16 +99,13 @@ def format_chat(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     same = F.assert_true(F.col("turns") == F.col("source"), F.lit("a conversation does not survive the round trip"))
     # places of the texts: each turn is opening, role, middle, text, close
     size = lambda x: F.char_length(x["role"]) + F.char_length(x["text"]) + len(OPEN) + len(MID) + len(CLOSE)
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<role:string,start:int,length:int>>").alias("found"))
-    def step(acc: Column, x: Column) -> Column:
-        here = F.struct(x["role"].alias("role"), (acc["at"] + len(OPEN) + F.char_length(x["role"]) + len(MID)).alias("start"), F.char_length(x["text"]).alias("length"))
-        return F.struct((acc["at"] + size(x)).alias("at"), F.concat(acc["found"], F.array(here)).alias("found"))
-
-    places = F.aggregate("parsed", start, step, lambda acc: acc["found"])
+    here = lambda at: F.transform("parsed", lambda x, i: F.struct(
+        x["role"].alias("role"), (at[i] + 1 + len(OPEN) + F.char_length(x["role"]) + len(MID)).alias("start"), F.char_length(x["text"]).alias("length")))
+    places = let(sums_before(F.transform("parsed", size)), here)
     mask = F.transform(F.filter(places, lambda x: unescape(x["role"]) == loss_role), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
     return c.select(F.col("conv").alias(conv_col), "formatted", "turns", mask.alias("loss_mask"), same.alias("checked")).filter(F.col("checked").isNull()).drop("checked")
 
 
 def masked_text(formatted: Column, mask: Column) -> Column:
     """All text under the loss mask, unescaped, in order, nothing between."""
-    return F.array_join(F.transform(mask, lambda m: unescape(F.substring(formatted, m["start"], m["length"]))), "")
+    return let(pieces(formatted), lambda parts: F.array_join(F.transform(mask, lambda m: unescape(cut(parts, m["start"] - 1, m["start"] - 1 + m["length"]))), ""))
