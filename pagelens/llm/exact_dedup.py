@@ -1,12 +1,16 @@
 """Operator 10, exact dedup: Patricia-trie owners.
 
-Texts are equal when identical after lower-casing A-Z. Each task inserts the full byte strings,
-prefixed by their length and content hash, into one compressed radix trie whose terminal nodes hold
-the owner id and the number of rows; so copies collapse before anything is shuffled, and a group with
-a third of all rows costs one terminal per task. When a trie outgrows its budget, its largest
-subtrees are emitted and cut off (their terminals are partial results that merge later). The
-terminals are dealt by (length, hash), and each such partition merges its byte strings in a trie of
-its own, which holds one length and hash at a time.
+Texts are equal when identical after lower-casing A-Z. Each task inserts the full byte strings of its
+documents into one compressed radix trie whose terminal nodes hold the owner id and the number of
+rows; so copies collapse before anything is shuffled, and a group with a third of all rows costs one
+terminal per task. When a trie outgrows its budget, its largest subtrees are emitted and cut off
+(their terminals are partial results that merge later).
+
+The terminals are dealt by length and content hash, equal texts together. A partition goes through
+buckets of a length class (bits of the length) and some bits of the hash; each bucket has one trie of
+the byte strings of all its texts. They arrive in byte order, so all subtrees beside the path of the
+last text are whole: a trie over its budget emits those as results and cuts them off, and nothing has
+to be merged again.
 
 Defined cases: a null text counts as empty; a null id never owns a group that has another id;
 repeated rows count in ``group_size`` and, having the owner's id, are all flagged kept; an empty
@@ -16,7 +20,6 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,6 +30,8 @@ from pagelens.llm.common import lower_ascii, prepare, text_of
 
 #: Bytes of labels a task's trie may hold before subtrees are spilled.
 TRIE_BYTES = 48 << 20
+#: Bits of the content hash that tell the buckets of a length class apart.
+HASH_BITS = 12
 
 
 class Node:
@@ -98,6 +103,23 @@ class PatriciaTrie:
                 yield key, x.own, x.rows
             todo.extend((k, key) for k in x.kids.values())
 
+    def spill_behind(self, key: bytes) -> Iterator[tuple[bytes, int | None, int]]:
+        """Cut off and yield all subtrees beside the path to ``key``, and the terminals on it before ``key``."""
+        node, at = self.root, 0
+        while True:
+            on_path = key[at] if at < len(key) else None
+            for c in [c for c in node.kids if c != on_path]:
+                kid = node.kids.pop(c)
+                self.bytes -= self._size(kid)
+                yield from self.terminals(kid, key[:at])
+            if on_path is None:
+                return
+            if node.rows:
+                yield key[:at], node.own, node.rows
+                node.own, node.rows = None, 0
+            node = node.kids[on_path]
+            at += len(node.label)
+
     def spill(self, to: int) -> Iterator[tuple[bytes, int | None, int]]:
         """Cut off and yield the largest subtrees below the first fork until ``to`` bytes remain."""
         parent, prefix = self.root, b""
@@ -112,65 +134,65 @@ class PatriciaTrie:
             self.bytes -= size
 
 
-KEY = ">qq"
-PART = "n_bytes bigint, hash bigint, body binary, own bigint, rows bigint"
-
-
-def _rows(found: list[tuple[bytes, int | None, int]]) -> pd.DataFrame:
-    heads = [struct.unpack_from(KEY, k) for k, _, _ in found]
-    return pd.DataFrame({"n_bytes": [h[0] for h in heads], "hash": [h[1] for h in heads], "body": [k[16:] for k, _, _ in found],
-                         "own": pd.array([o for _, o, _ in found], dtype="Int64"), "rows": [n for _, _, n in found]})
+PART = "body binary, own bigint, rows bigint"
+OWNERS = "n_bytes bigint, text_sha256 string, keep_id bigint, group_size bigint"
+Found = Iterator[tuple[bytes, int | None, int]]
 
 
-def _chunks(found: Iterator[tuple[bytes, int | None, int]], limit: int = 8 << 20) -> Iterator[pd.DataFrame]:
+def _chunks(found: Found, limit: int = 8 << 20) -> Iterator[list[tuple[bytes, int | None, int]]]:
     out, size = [], 0
     for x in found:
         out.append(x)
         size += len(x[0])
         if size > limit:
-            yield _rows(out)
+            yield out
             out, size = [], 0
     if out:
-        yield _rows(out)
+        yield out
+
+
+def _partial(found: Found) -> Iterator[pd.DataFrame]:
+    for x in _chunks(found):
+        yield pd.DataFrame({"body": [k for k, _, _ in x], "own": pd.array([o for _, o, _ in x], dtype="Int64"), "rows": [n for _, _, n in x]})
+
+
+def _whole(found: Found) -> Iterator[pd.DataFrame]:
+    for x in _chunks(found):
+        yield pd.DataFrame({"n_bytes": [len(k) for k, _, _ in x], "text_sha256": [hashlib.sha256(k).hexdigest() for k, _, _ in x],
+                            "keep_id": pd.array([o for _, o, _ in x], dtype="Int64"), "group_size": [n for _, _, n in x]})
+
+
+def _id(own) -> int | None:
+    return None if own is pd.NA else int(own)
 
 
 def _local(keep: str, budget: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie = PatriciaTrie(keep)
         for pdf in batches:
-            for n, h, body, own in zip(pdf["n_bytes"].tolist(), pdf["hash"].tolist(), pdf["body"], pdf["id"].astype("Int64")):
-                trie.insert(struct.pack(KEY, n, h) + bytes(body), None if own is pd.NA else int(own), 1)
+            for body, own in zip(pdf["body"], pdf["id"].astype("Int64")):
+                trie.insert(bytes(body), _id(own), 1)
             if trie.bytes > budget:
-                yield from _chunks(trie.spill(budget // 2))
-        yield from _chunks(trie.terminals())
+                yield from _partial(trie.spill(budget // 2))
+        yield from _partial(trie.terminals())
 
     return run
 
 
-def _merge(keep: str):
+def _merge(keep: str, budget: int):
+    """Rows in the order of bucket and body to whole results, a trie for each bucket."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie, at, out = PatriciaTrie(keep), None, []
-
-        def flush():
-            out.extend((*struct.unpack_from(KEY, k), hashlib.sha256(k[16:]).hexdigest(), o, r) for k, o, r in trie.terminals())
-
-        def table():
-            return pd.DataFrame({"n_bytes": [x[0] for x in out], "hash": [x[1] for x in out], "text_sha256": [x[2] for x in out],
-                                 "keep_id": pd.array([x[3] for x in out], dtype="Int64"), "group_size": [x[4] for x in out]})
-
+        trie, at = PatriciaTrie(keep), None
         for pdf in batches:
-            for n, h, body, own, rows in zip(pdf["n_bytes"].tolist(), pdf["hash"].tolist(), pdf["body"], pdf["own"].astype("Int64"), pdf["rows"].tolist()):
-                if at is not None and at != (n, h):
-                    flush()
-                    trie = PatriciaTrie(keep)
-                at = (n, h)
-                trie.insert(struct.pack(KEY, n, h) + bytes(body), None if own is pd.NA else int(own), rows)
-            if out:
-                yield table()
-                out.clear()
-        if at is not None:
-            flush()
-            yield table()
+            for bucket, body, own, rows in zip(pdf["bucket"].tolist(), pdf["body"], pdf["own"].astype("Int64"), pdf["rows"].tolist()):
+                if bucket != at:
+                    yield from _whole(trie.terminals())
+                    trie, at = PatriciaTrie(keep), bucket
+                key = bytes(body)
+                trie.insert(key, _id(own), rows)
+                if trie.bytes > budget:
+                    yield from _whole(trie.spill_behind(key))
+        yield from _whole(trie.terminals())
 
     return run
 
@@ -183,11 +205,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     prepare(docs.sparkSession)
     norm = lower_ascii(text_of(F.col("__text")))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("__text")).select(
-        "id", norm.cast("binary").alias("body"), F.octet_length(norm).cast("bigint").alias("n_bytes"), F.xxhash64(norm).alias("hash"))
-    partial = rows.mapInPandas(_local(keep, trie_bytes), PART)
-    owners = partial.repartition("n_bytes", "hash").sortWithinPartitions("n_bytes", "hash").mapInPandas(
-        _merge(keep), "n_bytes bigint, hash bigint, text_sha256 string, keep_id bigint, group_size bigint")
-    members = rows.select("id", "n_bytes", "hash", F.sha2("body", 256).alias("text_sha256"))
-    return members.join(owners, ["n_bytes", "hash", "text_sha256"]).select(
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("__text")).select("id", norm.cast("binary").alias("body"))
+    partial = rows.mapInPandas(_local(keep, trie_bytes), PART).withColumns({"n_bytes": F.octet_length("body"), "hash": F.xxhash64("body")})
+    length_class = F.length(F.bin("n_bytes"))
+    bucket = (length_class * (1 << HASH_BITS) + F.pmod("hash", F.lit(1 << HASH_BITS))).cast("bigint")
+    dealt = partial.repartition("n_bytes", "hash").select(bucket.alias("bucket"), "body", "own", "rows")
+    owners = dealt.sortWithinPartitions("bucket", "body").mapInPandas(_merge(keep, trie_bytes), OWNERS)
+    members = rows.select("id", F.octet_length("body").cast("bigint").alias("n_bytes"), F.sha2("body", 256).alias("text_sha256"))
+    return members.join(owners, ["n_bytes", "text_sha256"]).select(
         F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

@@ -4,8 +4,10 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +114,38 @@ def test_personal_data(spark):
     assert one.select(redact(F.col("t"), F.col("s"))).first()[0] == "mail [email] now"
 
 
+def test_many_spans_in_one_text(spark):
+    """A text of a megabyte of addresses: places, redaction and groups of overlapping spans grow with the text."""
+    from pagelens.llm.common import before_each, cut, pieces, sums_before
+    from pagelens.llm.pii import BASE, islands, matches, redact
+
+    rng = random.Random(4)
+    text = " ".join(f"é😀 user{rng.randrange(10 ** 6)}@host{rng.randrange(99)}.example.com" for _ in range(32_000))
+    assert len(text) > 1_000_000
+    one = spark.createDataFrame([(text,)], "t string").select("t", matches(F.col("t"), BASE["email"]).alias("m"))
+    one = one.withColumn("s", F.transform("m", lambda m: F.struct(F.lit(0).alias("kind_no"), m["start"].alias("start"), m["end"].alias("end"))))
+    began = time.time()
+    r = one.select("m", redact(F.col("t"), F.col("s")).alias("out")).first()
+    assert time.time() - began < 10
+    assert [(m.start, m.end, m.value) for m in r.m] == [(m.start(), m.end(), m.group()) for m in re.finditer(BASE["email"].replace("|\\G", ""), text)]
+    assert r.out == re.sub(r"user\d+@host\d+\.example\.com", "[email]", text)
+    for n in (0, 1, 63, 64, 65, 129, 5000):
+        xs = [rng.randrange(100) for _ in range(n)]
+        got = spark.createDataFrame([(xs,)], "x array<int>").select(sums_before(F.col("x")).alias("s"), before_each(F.col("x"), lambda a, b: F.greatest(a, b), F.lit(0)).alias("g")).first()
+        assert list(got.s) == [sum(xs[:k]) for k in range(n)] and list(got.g) == [max(xs[:k], default=0) for k in range(n)]
+    short = text[:2000]
+    cuts = [(a, b) for a in (0, 1, 511, 512, 513, 1024, 1999, 2000) for b in (0, 1, 511, 512, 513, 1024, 1999, 2000)]
+    got = spark.createDataFrame([(short, a, b) for a, b in cuts], "t string, a int, b int").select("a", "b", cut(pieces(F.col("t")), F.col("a"), F.col("b")).alias("c")).collect()
+    assert all(r.c == short[r.a:max(r.a, r.b)] for r in got)
+    spans = sorted((a, a + rng.randrange(1, 9), 0) for a in (rng.randrange(900) for _ in range(120)))
+    want, last = [], 0
+    for s in spans:
+        want = want[:-1] + [want[-1] + [s]] if s[0] < last else want + [[s]]
+        last = max(last, s[1])
+    got = spark.createDataFrame([(spans,), ([],)], "s array<struct<start:int,end:int,kind_no:int>>").select(islands(F.col("s")).alias("i")).collect()
+    assert [[tuple(x) for x in i] for i in got[0].i] == want and got[1].i == []
+
+
 def test_chat_format(spark):
     from pagelens.llm.chat_format import format_chat, masked_text
 
@@ -128,6 +162,61 @@ def test_chat_format(spark):
     assert format_chat(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
 
 
+def chat_turns(formatted):
+    """The grammar character by character: turns, and whether all of the text is turns."""
+    turns, at, n = [], 0, len(formatted)
+
+    def until(stop):
+        nonlocal at
+        out = []
+        while at < n:
+            if formatted[at] == "\\" and at + 1 < n:
+                out.append(formatted[at + 1])
+                at += 2
+            elif formatted.startswith(stop, at):
+                at += len(stop)
+                return "".join(out)
+            elif formatted.startswith("</turn>\n", at):
+                return None
+            else:
+                out.append(formatted[at])
+                at += 1
+        return None
+
+    while at < n:
+        if not formatted.startswith("### ", at):
+            return turns, False
+        at += 4
+        role = until(": ")
+        text = until("</turn>\n") if role is not None else None
+        if text is None:
+            return turns, False
+        turns.append((role, text))
+    return turns, True
+
+
+def test_chat_parser_reads_the_grammar(spark):
+    from pagelens.llm.chat_format import format_chat, parse, plain
+
+    rng = random.Random(5)
+    bits = ["### ", "user", ": ", "</turn>\n", "\\", "a", "</turn>", "\n", "#", ":", "<", "😀", " ", "x"]
+    raw = ["".join(rng.choice(bits) for _ in range(rng.randrange(0, 14))) for _ in range(1500)]
+    raw += ["".join("### " + rng.choice(["u", "a\\: b"]) + ": " + "".join(rng.choice(bits) for _ in range(rng.randrange(0, 6))) + "</turn>\n" for _ in range(rng.randrange(1, 4))) for _ in range(1500)]
+    whole = 0
+    for r in spark.createDataFrame([(t,) for t in raw], "t string").select("t", plain(parse(F.col("t"))).alias("turns")).collect():
+        want, good = chat_turns(r.t)
+        whole += good and bool(want)
+        if good:
+            assert [tuple(x) for x in r.turns] == want, r.t
+        else:
+            assert any(x.role is None for x in r.turns), r.t
+    assert whole > 300
+    texts = ["a\\", "\\", "\\\\", "</turn>\n", "x" * 700 + "\\</turn>\n" + "y" * 700, "😀" * 600 + ": </turn>\n", None]
+    rows = [(c, k, "user" if k % 2 else "assistant", texts[(c + k) % len(texts)]) for c in range(8) for k in range(40 + c)]
+    for r in format_chat(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect():
+        assert chat_turns(r.formatted) == ([(a, t or "") for c, _, a, t in rows if c == r.conv_id], True)
+
+
 def test_mixing(spark):
     from pagelens.llm.mixing import pareto_mix
 
@@ -290,6 +379,28 @@ def test_exact_dedup(spark, corpus, keep, trie_bytes):
     for x, _, n in trie.terminals():
         out[x] += n
     assert out == flat
+    trie, done = PatriciaTrie(), []
+    for k, key in enumerate(sorted(rng.choices(list(flat), k=3000))):
+        trie.insert(key, k, 1)
+        if k % 50 == 0:
+            done += trie.spill_behind(key)
+    done += trie.terminals()
+    assert len({x for x, _, _ in done}) == len(done) and sum(n for _, _, n in done) == 3000
+
+
+def test_exact_dedup_tries_hold_many_texts(spark):
+    """Texts of one length class and hash bits share a trie; a trie that spills behind the last text gives the same."""
+    from pagelens.llm.exact_dedup import _merge
+
+    rng = random.Random(10)
+    keys = sorted({bytes(rng.choice(b"abc") for _ in range(rng.randrange(64, 128))) for _ in range(400)} | {b"a" * k for k in range(64, 128)})
+    rows = sorted((k, o) for k in keys for o in rng.sample(range(1000), 3))
+    pdf = pd.DataFrame({"bucket": [7] * len(rows), "body": [k for k, _ in rows], "own": [o for _, o in rows], "rows": [2] * len(rows)})
+    want = {hashlib.sha256(k).hexdigest(): (len(k), min(o for x, o in rows if x == k), 6) for k in keys}
+    for budget in (1, 20_000, 1 << 30):
+        got = pd.concat(_merge("min", budget)(iter([pdf[:200], pdf[200:201], pdf[201:]])))
+        assert len(got) == len(want)
+        assert {r.text_sha256: (r.n_bytes, r.keep_id, r.group_size) for r in got.itertuples()} == want
 
 
 def test_pipeline(spark):
