@@ -30,8 +30,8 @@ from pagelens.llm.common import lower_ascii, prepare, text_of
 
 #: Bytes of labels a task's trie may hold before subtrees are spilled.
 TRIE_BYTES = 48 << 20
-#: Bits of the content hash that tell the buckets of a length class apart.
-HASH_BITS = 12
+#: Bits of the content hash that tell the buckets of a length class in a partition apart; what is too much for a trie spills.
+HASH_BITS = 4
 
 
 class Node:
@@ -181,20 +181,20 @@ def _local(keep: str, budget: int):
 
 def _merge(keep: str, budget: int):
     """Rows in the order of bucket and body to whole results, a trie for each bucket."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def results(batches: Iterator[pd.DataFrame]) -> Found:
         trie, at = PatriciaTrie(keep), None
         for pdf in batches:
             for bucket, body, own, rows in zip(pdf["bucket"].tolist(), pdf["body"], pdf["own"].astype("Int64"), pdf["rows"].tolist()):
                 if bucket != at:
-                    yield from _whole(trie.terminals())
+                    yield from trie.terminals()
                     trie, at = PatriciaTrie(keep), bucket
                 key = bytes(body)
                 trie.insert(key, _id(own), rows)
                 if trie.bytes > budget:
-                    yield from _whole(trie.spill_behind(key))
-        yield from _whole(trie.terminals())
+                    yield from trie.spill_behind(key)
+        yield from trie.terminals()
 
-    return run
+    return lambda batches: _whole(results(batches))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min",
