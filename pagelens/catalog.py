@@ -583,6 +583,14 @@ def q_pages_overview(spark, sf_dir):
     return R.overview(_report(spark, sf_dir))
 
 
+@query("sink_text_run")
+def q_sink_text_run(spark, sf_dir):
+    """Summary, overview, failed pages and link validation of a run, written as text and read back."""
+    path = scratch_path(spark, "run-txt")
+    sinks.write_run_text(_graph_report(spark, sf_dir), _link_status(spark, sf_dir), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
 @query("failed_pages")
 def q_failed_pages(spark, sf_dir):
     return R.failed_pages(_graph_report(spark, sf_dir))

@@ -118,6 +118,9 @@ TOP_KEYWORDS = 15
 # first "/", i.e. "mozilla"
 DEFAULT_USER_AGENT = "Mozilla/5.0 (X11; Linux x86_64) pagelens/0.1"
 
+# layout of the text report (fixed values): widths of a section line, of a sub-section line and of a key
+SECTION_WIDTH, SUBSECTION_WIDTH, KEY_WIDTH = 74, 44, 24
+
 # URL schemes that resolve relative references / carry a network location (Python's urllib lists)
 USES_RELATIVE = ["", "ftp", "http", "gopher", "nntp", "imap", "wais", "file", "https", "shttp", "mms",
                  "prospero", "rtsp", "rtsps", "rtspu", "sftp", "svn", "svn+ssh", "ws", "wss"]
