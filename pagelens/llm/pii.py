@@ -10,8 +10,8 @@ and a written-out "at" and "dot" undone, are one by the base rules. Per kind the
 lowest threshold with the asked precision is calibrated on candidates not used in training;
 candidates above it are selected, the best of those that overlap, where no base span lies.
 
-Training and calibration take at most ``SAMPLE`` candidates, those with the smallest digests of text and
-place; every text and every candidate is searched and scored. Texts without digits or at-signs are
+Every text is searched, and every candidate trains (two thirds, by digests of text and place) or calibrates (the
+rest), and is scored. Texts without digits or at-signs are
 passed over by one cheap test. Nothing is grouped but the candidates of one document.
 
 Defined cases: a null or empty text has no spans; ids may be null or repeated, rows are kept apart by
@@ -43,7 +43,6 @@ GENERATORS = {
     "written": (("email",), r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:@|[(\[]at[)\]]|\x20at\x20)\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[(\[]dot[)\]]|\x20dot\x20)\x20?[A-Za-z0-9-]++)++"),
 }
 ANNOUNCES = r"(?i)(phone|call|tel|fax|mobile|mail|contact|card|credit|account|address|server|host|ip)\W*$"
-SAMPLE = 20_000
 PRECISION = 0.97
 CONTEXT = 24
 FEATURES = ("kind_no", "generator_no", "digits", "length", "groups", "plus", "paren", "dot", "dash", "blank", "at", "luhn", "in_range",
@@ -168,7 +167,7 @@ def _thresholds(scored: DataFrame, precision: float) -> DataFrame:
     return worst.groupBy("kind_no").agg((F.min("bin") / 100).alias("threshold"))
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, precision: float = PRECISION) -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = PRECISION) -> DataFrame:
     """One row per document: id, base (array of spans: kind_no, start, end) and added (the same, selected by the trees)."""
     spark = prepare(docs.sparkSession)
     text = F.col("text")
@@ -185,8 +184,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     c = c.withColumn("label", known.cast("double")).withColumn("on_base", F.exists("base", overlaps)).drop("base")
     c = _features(c).withColumn("draw", F.xxhash64("h", "kind_no", "start", "end", "generator_no"))
     c = written(c.select("row", "start", "end", "label", "on_base", "draw", *FEATURES), "pii-candidates")
-    kept = written(c.orderBy("draw", "row").limit(sample), "pii-sample")
-    train, held = kept.filter("draw % 3 <> 0"), kept.filter("draw % 3 = 0")
+    train, held = c.filter("draw % 3 <> 0"), c.filter("draw % 3 = 0")
     empty = rows.select("id", "base", none.alias("added"))
     labels = train.agg(F.min("label").alias("lo"), F.max("label").alias("hi")).first()
     if labels["lo"] is None or labels["lo"] == labels["hi"]:
