@@ -23,6 +23,7 @@ from pagelens.functions.urls import _split
 
 DISALLOW_RX = r"(?im)^\s*Disallow:\s*(\S*)"
 SITEMAP_RX = r"(?im)^\s*Sitemap:\s*(\S+)"
+PLAIN_RX = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#%]*(/(?!/)[A-Za-z0-9_.~/\-]*)\z"
 PREFIX_RX = r"(?s)^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?"
 LINE_BREAK_RX = r"\r\n|[\n\r\x{0b}\f\x{1c}\x{1d}\x{1e}\x{85}\x{2028}\x{2029}]"
 
@@ -40,19 +41,12 @@ def robots_summary(robots: DataFrame) -> DataFrame:
 
 
 def pct_quote(c: Column) -> Column:
-    """Python ``urllib.parse.quote`` with the default safe set ("/"). Strings made only of safe
-    characters (nearly all paths) skip the per-character pass."""
-    from pagelens.operators.parse import let
-
-    def quote(x):
-        enc = F.transform(
-            F.split(x, "(?!^)", -1),
-            lambda ch: F.when(ch.rlike(r"^[A-Za-z0-9_.~/\-]$") | (ch == ""), ch).otherwise(
-                F.regexp_replace(F.hex(F.encode(ch, "UTF-8")), "(..)", "%$1")),
-        )
-        return F.when(x.rlike(r"^[A-Za-z0-9_.~/\-]*$"), x).otherwise(F.array_join(enc, ""))
-
-    return let(c, quote)
+    """Python ``urllib.parse.quote`` with the default safe set ("/"): form encoding with the five signs that the two treat
+    otherwise put right ("+" itself is encoded, so every "+" there is a blank)."""
+    out = F.url_encode(c)
+    for encoded, sign in (("+", "%20"), ("%2F", "/"), ("%7E", "~"), ("*", "%2A")):
+        out = F.replace(out, F.lit(encoded), F.lit(sign))
+    return out
 
 
 def pct_unquote(c: Column) -> Column:
@@ -134,13 +128,15 @@ def url_key(url: Column) -> Column:
         # a path that begins with two slashes is written with an empty host before it
         return let(pct_quote(trimmed), lambda q: F.when(q == "", F.lit("/")).when(q.startswith("//"), F.concat(F.lit("//"), q)).otherwise(q))
 
-    return let(url, key)
+    # most URLs are a scheme, a host and a path of safe signs: that path is the key
+    return F.coalesce(F.nullif(F.regexp_extract(url, PLAIN_RX, 1), F.lit("")), let(url, key))
 
 
 def host_rules(rules: DataFrame, user_agents: list[str]) -> DataFrame:
     """The rule groups that apply to the ``user_agents`` on each host, as one row per host:
-    (host, rules MAP<agent token, STRUCT<paths ARRAY<STRUCT<path, rule_no, allow>>, lengths ARRAY<INT>>>): the first
-    rule of each path, sorted by path, and the lengths that paths have. The first non-default group whose agent is
+    (host, rules MAP<agent token, STRUCT<paths ARRAY<STRUCT<path, rule_no, allow>>, lengths ARRAY<INT>, ordered>>): the first
+    rule of each path, sorted by path, the lengths that paths have, and the same rules in file order with the start
+    that they ask for ("" of "*"). The first non-default group whose agent is
     a substring of the crawler's token wins, else the default group. A row holds groups of one robots file, so its
     size is bounded by the file."""
     tokens = sorted({agent_token(a) for a in user_agents})
@@ -152,7 +148,9 @@ def host_rules(rules: DataFrame, user_agents: list[str]) -> DataFrame:
     first = active.groupBy("host", "token", "path").agg(F.min(F.struct("rule_no", "allow")).alias("r"))
     group = first.groupBy("host", "token").agg(F.array_sort(F.collect_list(F.struct("path", "r.rule_no", "r.allow"))).alias("paths"))
     lengths = F.array_sort(F.array_distinct(F.transform("paths", lambda r: F.char_length(r["path"]))))
-    group = group.select("host", "token", F.struct("paths", lengths.alias("lengths")).alias("rules"))
+    ordered = F.array_sort(F.transform("paths", lambda r: F.struct(
+        r["rule_no"].alias("rule_no"), F.when(r["path"] == "*", F.lit("")).otherwise(r["path"]).alias("start"), r["allow"].alias("allow"))))
+    group = group.select("host", "token", F.struct("paths", lengths.alias("lengths"), ordered.alias("ordered")).alias("rules"))
     return group.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("token", "rules"))).alias("rules"))
 
 
@@ -173,17 +171,16 @@ def rule_of(paths: Column, path: Column) -> Column:
 FEW_RULES = 16
 
 
-def first_rule(rules: Column, key: Column) -> Column:
-    """The first rule in file order whose path is "*" or a prefix of the key; null if there is none.
+def first_allow(rules: Column, key: Column) -> Column:
+    """What the first rule in file order says whose path is "*" or a prefix of the key; null if there is none.
 
     The prefixes of the key that are as long as some path are looked up among the sorted paths, so a host
     with many rules costs its number of lengths times the logarithm of its number of rules."""
     starts = F.transform(F.filter(rules["lengths"], lambda n: n <= F.char_length(key)), lambda n: F.left(key, n))
     found = F.transform(F.concat(F.array(F.lit("*")), starts), lambda p: rule_of(rules["paths"], p))
-    looked_up = F.filter(found, lambda r: r.isNotNull())
-    tried = F.filter(rules["paths"], lambda r: (r["path"] == "*") | F.startswith(key, r["path"]))
-    hits = F.when(F.size(rules["paths"]) <= FEW_RULES, tried).otherwise(looked_up)
-    return F.array_min(F.transform(hits, lambda r: F.struct(r["rule_no"].alias("rule_no"), r["allow"].alias("allow"))))
+    looked_up = F.transform(F.filter(found, lambda r: r.isNotNull()), lambda r: F.struct(r["rule_no"].alias("rule_no"), r["allow"].alias("allow")))
+    tried = F.filter(rules["ordered"], lambda r: F.startswith(key, r["start"]))
+    return F.when(F.size(rules["paths"]) <= FEW_RULES, F.get(tried, 0)["allow"]).otherwise(F.array_min(looked_up)["allow"])
 
 
 def can_fetch_agents(urls: DataFrame, rules: DataFrame, user_agents: list[str], url_col: str = "url") -> DataFrame:
@@ -195,18 +192,20 @@ def can_fetch_agents(urls: DataFrame, rules: DataFrame, user_agents: list[str],
     robots row allows. The URL side is read once, its key is made once, and it is never regrouped.
     """
     from pagelens.functions.urls import netloc
-    from pagelens.operators.parse import let, members
+    from pagelens.operators.parse import members
 
     tokens = sorted({agent_token(a) for a in user_agents})
-    hr = host_rules(rules, user_agents).select(F.col("host").alias("_rhost"), F.col("rules").alias("_rules"))
-    u = urls.withColumn("_host", F.lower(netloc(F.col(url_col))))
+    of_token = [F.element_at("rules", F.lit(t)).alias(f"_rules{i}") for i, t in enumerate(tokens)]
+    hr = host_rules(rules, user_agents).select(F.col("host").alias("_rhost"), *of_token)
+    # host and key are made before the join: a URL that is not asked for further does not move
+    u = urls.withColumns({"_host": F.lower(netloc(F.col(url_col))), "_key": url_key(F.col(url_col))})
     j = u.join(hr, u["_host"] == hr["_rhost"], "left")
 
-    def verdict(key, token):
-        first = let(F.element_at("_rules", F.lit(token)), lambda mine: first_rule(mine, key))
-        return F.struct(F.lit(token).alias("agent"), F.coalesce(first["allow"], F.lit(True)).alias("allowed"))
+    def verdict(i, token):
+        allow = first_allow(F.col(f"_rules{i}"), F.col("_key"))
+        return F.struct(F.lit(token).alias("agent"), F.coalesce(allow, F.lit(True)).alias("allowed"))
 
-    each = let(url_key(F.col(url_col)), lambda k: F.array(*[verdict(k, t) for t in tokens]))
+    each = F.array(*[verdict(i, t) for i, t in enumerate(tokens)])
     # the outer form: no filter on the verdicts is inferred, which would compute them twice
     return members(j, [F.col(c) for c in urls.columns], each, "_v").select(*urls.columns, "_v.agent", "_v.allowed")
 
