@@ -25,8 +25,16 @@ def normalize_url(c: Column) -> Column:
     return F.when(s.rlike(SCHEME_PREFIX_RX), s).otherwise(F.concat(F.lit("https://"), s))
 
 
+#: The start of ``URL_RX``, which matches every text: scheme and netloc without a look at the rest.
+AUTHORITY_RX = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?"
+#: References whose resolution is known as they stand: absolute ones with a host of the web, whose scheme and parts are not
+#: rewritten, and paths from the root (those with "/." go the long way). No tabs or line ends (they are cut out), no empty query or fragment.
+_AS_IS_RX = r"^https?://[^/?#\t\r\n\[\]]+(?:/[^?#\t\r\n]*)?(?:\?[^#\t\r\n]+)?(?:#[^\t\r\n]+)?\z"
+_FROM_ROOT_RX = r"^/(?!/)[^?#\t\r\n]*(?:\?[^#\t\r\n]+)?(?:#[^\t\r\n]+)?\z"
+
+
 def _part(c: Column, g: int) -> Column:
-    return F.regexp_extract(c, URL_RX, g)
+    return F.regexp_extract(c, AUTHORITY_RX if g <= 2 else URL_RX, g)
 
 
 def scheme(c: Column) -> Column:
@@ -152,21 +160,31 @@ def url_error(c: Column) -> Column:
             opened & ~host.rlike(r"^[0-9A-Fa-f.]*:[0-9A-Fa-f:.]*(%.+)?$") & ~host.startswith("v"),
             F.concat(F.lit("'"), host, F.lit("' does not appear to be an IPv4 or IPv6 address")))
 
-    return F.when(c.rlike(r"[\[\]]"), _let(netloc(c), of))
+    return F.when(c.contains("[") | c.contains("]"), _let(netloc(c), of))
 
 
 def resolve_each(base: Column, items: Column, ref, into) -> Column:
     """``into(item, url, error)`` for every item of an array: its reference ``ref(item)`` resolved against ``base``, and why it could
     not be. The resolution stands once in the plan and the base is split once a row, however many items there are."""
 
-    def each(b, bad):
+    def joined(s, root, r):
+        # the first two are what ``_joined`` gives for such references, read off them
+        known = F.when(root.isNotNull() & r.rlike(_FROM_ROOT_RX) & ~r.contains("/."), F.concat(root, r)).when(root.isNotNull() & r.rlike(_AS_IS_RX), r)
+        return F.coalesce(known, _joined(base, s, r))
+
+    def each(b, root, bad):
         def one(x):
             return _let(F.struct(ref(x).alias("r")), lambda s: into(
-                x, F.when(s["r"].isNotNull(), _joined(base, b, s["r"])), F.when(s["r"] != "", F.coalesce(bad, url_error(s["r"])))))
+                x, F.when(s["r"].isNotNull(), joined(b, root, s["r"])), F.when(s["r"] != "", F.coalesce(bad, url_error(s["r"])))))
 
         return F.transform(items, one)
 
-    return _let(F.struct(_split(base).alias("b"), url_error(base).alias("bad")), lambda x: each(x["b"], x["bad"]))
+    def with_root(b, bad):
+        # the base up to its path, for bases of the web with a host
+        root = F.when(b["s"].isin("http", "https") & (b["n"] != ""), F.concat(b["s"], F.lit("://"), b["n"]))
+        return _let(F.struct(root.alias("root")), lambda x: each(b, x["root"], bad))
+
+    return _let(F.struct(_split(base).alias("b"), url_error(base).alias("bad")), lambda x: with_root(x["b"], x["bad"]))
 
 
 def resolve_link(base: Column, ref: Column) -> Column:
