@@ -15,6 +15,10 @@ REQUIRED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     # JSON-LD blocks with repeated keys still parse (last key wins, as in Python's json)
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # rows handed to Python at once: a worker holds one batch, whatever the table's size
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+    # a shuffled join whose smaller side is small in every partition looks it up and leaves the larger one unsorted
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "16m",
 }
 
 # Settings for a fresh local session (tests, bench). On a cluster the operator sets its own.
@@ -81,14 +85,22 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table scan dealt over all cores where it has too few splits for them.
+#: Rows of a stored table that one task is given at most, on average.
+ROWS_A_TASK = 200_000
+
 
-    One file of one row group is one task, however costly the work on its rows. Only scans with at most half as many
-    splits as the session has cores are dealt out, so what moves is small beside the cluster; larger tables stay as
-    their splits lie, with no exchange."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.isStreaming or 2 * df.rdd.getNumPartitions() > cores else df.repartition(cores)
+def spread(df: DataFrame) -> DataFrame:
+    """A table scan dealt over all cores, and over more tasks as its rows get more.
+
+    A split is cut by its bytes, yet what is done with a row (a page rendered and parsed, a URL checked) costs the same however
+    well the row is compressed: a split of keys alone holds millions of them. Scans with at most half as many splits as the
+    session has cores, or with more than ``ROWS_A_TASK`` rows a split, are dealt out before that work; so the longest task stays
+    as long as it is when the table grows. The rows are counted from the files' footers."""
+    if df.isStreaming:
+        return df
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    tasks = max(cores if 2 * splits <= cores else splits, -(-df.count() // ROWS_A_TASK))
+    return df if tasks == splits else df.repartition(tasks)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
