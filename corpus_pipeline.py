@@ -18,7 +18,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import drop_stored, maybe_among, stored, written
+from pagelens.llm.common import drop_stored, maybe_among, prepare, stored, written
 from pagelens.llm.exact_dedup import exact_dedup
 from pagelens.llm.mixing import pareto_mix
 from pagelens.llm.ngram_join import near_duplicates
@@ -36,6 +36,7 @@ def _stage(f):
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         drop_stored(spark, [p for p in _last if p in stored])
         _last.clear()
+        prepare(spark)
         before = len(stored)
         out = f(spark, docs, sf_dir)
         _last.extend(stored[before:])

@@ -32,6 +32,8 @@ from pagelens.llm.common import lower_ascii, prepare, text_of
 TRIE_BYTES = 48 << 20
 #: Bits of the content hash that tell the buckets of a length class in a partition apart; what is too much for a trie spills.
 HASH_BITS = 4
+#: Bytes of texts in a batch of results, which Python, Arrow and the executor each hold once more.
+CHUNK_BYTES = 1 << 20
 
 
 class Node:
@@ -139,7 +141,7 @@ OWNERS = "n_bytes bigint, text_sha256 string, keep_id bigint, group_size bigint"
 Found = Iterator[tuple[bytes, int | None, int]]
 
 
-def _chunks(found: Found, limit: int = 8 << 20) -> Iterator[list[tuple[bytes, int | None, int]]]:
+def _chunks(found: Found, limit: int = CHUNK_BYTES) -> Iterator[list[tuple[bytes, int | None, int]]]:
     out, size = [], 0
     for x in found:
         out.append(x)

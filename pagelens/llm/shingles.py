@@ -8,8 +8,12 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Texts are hashed in slices of about this many bytes, so that a slice's arrays stay small.
+#: Texts are hashed in slices of about this many bytes, so that a slice's arrays (some 70 bytes for each of a text) stay small.
 SLICE_BYTES = 1 << 20
+#: The same where words are hashed: an executor has a Python worker for each core, and keeps them while it does other work.
+HASHED_BYTES = 1 << 18
+#: Longest tables of powers a worker keeps; what a longer text needs goes with it.
+KEPT_POWERS = 1 << 21
 _SEED = 20240229
 _U = np.uint64
 
@@ -31,8 +35,11 @@ def _tables() -> tuple[np.ndarray, np.ndarray, int, int]:
     return values, space, base, pow(base, -1, 1 << 64)
 
 
-@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _kept_powers(n) if n <= KEPT_POWERS else _made_powers(n)
+
+
+def _made_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     _, _, base, inverse = _tables()
     out = []
     for b in (base, inverse):
@@ -42,11 +49,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+_kept_powers = lru_cache(maxsize=2)(_made_powers)
+
+
 def word_hashes(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of the texts (bytes), and the index of its text."""
     values, space, _, _ = _tables()
     joined = b"\n".join(bodies) + b"\n"
-    size = 1 << max(20, (len(joined) + 1).bit_length())
+    size = 1 << max(19, (len(joined) + 1).bit_length())
     up, down = _powers(size)
     raw = np.frombuffer(joined, np.uint8)
     gap = space[raw]
@@ -82,7 +92,7 @@ def shingle_sets(bodies: list[bytes], width: int) -> Iterator[np.ndarray]:
             yield mix(x + _U(b - a))
 
 
-def sliced(texts, limit: int = SLICE_BYTES) -> Iterator[list[bytes]]:
+def sliced(texts, limit: int = HASHED_BYTES) -> Iterator[list[bytes]]:
     """Lowered (A-Z) UTF-8 bytes of the texts, in slices of about ``limit`` bytes."""
     out, size = [], 0
     for t in texts:
